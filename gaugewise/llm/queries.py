@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewise.llm import byte_bpe, exact_dedup, simhash
+from gaugewise.llm import byte_bpe, exact_dedup, language_id, mixing, simhash
 from gaugewise.llm.common import table
 
 
+def op4_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, documents = mixing.mix(table(spark, sf_dir, "documents"))
+    return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_ecoc_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -26,6 +35,8 @@ def op10_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_block_mixing": op4_block_mixing,
+    "op5_ecoc_language_id": op5_ecoc_language_id,
     "op6_simhash_trie": op6_simhash_trie,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_heavy_hitter_dedup": op10_heavy_hitter_dedup,

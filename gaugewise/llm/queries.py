@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewise.llm import byte_bpe, exact_dedup, language_id, mixing, simhash
+from gaugewise.llm import byte_bpe, exact_dedup, language_id, lm_scoring, mixing, simhash
 from gaugewise.llm.common import table
 
 
+def op2_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op4_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, documents = mixing.mix(table(spark, sf_dir, "documents"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
@@ -35,6 +39,7 @@ def op10_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lattice_likelihood": op2_lattice_likelihood,
     "op4_block_mixing": op4_block_mixing,
     "op5_ecoc_language_id": op5_ecoc_language_id,
     "op6_simhash_trie": op6_simhash_trie,

@@ -125,8 +125,8 @@ def vocabulary_path(folder: str = TOKENIZERS_DIR, name: str = VOCABULARY) -> str
     return f"{folder}/{name}"
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, split: str | None = None, with_ids: bool = True) -> DataFrame:
-    """One row per row of df: doc_id, n_tokens, ids and offsets (byte spans; both only with_ids), ids_sha256, decoded_sha256.
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, split: str | None = None, with_ids: bool = True, with_offsets: bool = False) -> DataFrame:
+    """One row per row of df: doc_id, n_tokens, ids (with_ids), offsets (byte spans; with_offsets), ids_sha256, decoded_sha256.
 
     Each match of the pattern is encoded by itself, without special tokens; their strings are ordinary text. Null
     counts as the empty text, which has no tokens. ids_sha256 is of the decimal ids joined by commas, decoded_sha256
@@ -135,7 +135,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """
     base = id_and_text(df, id_col, text_col)
     path, split = path or vocabulary_path(), split or pattern()
-    more = (("ids", "array<int>"), ("offsets", "array<struct<start:int,end:int>>")) if with_ids else ()
+    more = (("ids", "array<int>"),) * with_ids + (("offsets", "array<struct<start:int,end:int>>"),) * with_offsets
     schema = schema_of(base, ("n_tokens", "long"), *more, ("ids_sha256", "string"), ("decoded_sha256", "string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,16 +143,17 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         text_of = [str(i) for i in range(max(bpe.tokens) + 1)].__getitem__
         for batch in batches:
             for part in passes(batch):
-                n, all_ids, all_offsets, id_sums, sums = [], [], [], [], []
+                n, ids_of, offsets_of, id_sums, sums = [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     ids = bpe.encode(text)
                     n.append(len(ids))
                     id_sums.append(hashlib.sha256(",".join(map(text_of, ids)).encode()).hexdigest())
                     sums.append(hashlib.sha256(bpe.decode_bytes(ids)).hexdigest())
                     if with_ids:
-                        all_ids.append(ids)
-                        all_offsets.append([{"start": a, "end": b} for a, b in bpe.offsets(ids)])
-                lists = [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_offsets, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))] if with_ids else []
+                        ids_of.append(np.array(ids, np.int32))
+                    if with_offsets:
+                        offsets_of.append([{"start": a, "end": b} for a, b in bpe.offsets(ids)])
+                lists = [pa.array(ids_of, pa.list_(pa.int32()))] * with_ids + [pa.array(offsets_of, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))] * with_offsets
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), *lists, pa.array(id_sums, pa.string()), pa.array(sums, pa.string())], schema.names)
 
     return base.mapInArrow(run, schema)

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewise.llm.common import id_and_text, written
+from gaugewise.llm.common import fresh, id_and_text, written
 
 #: Counters of the Misra-Gries summary: it holds every digest of more than 1/(CAPACITY + 1) of the rows, and its size bounds what is broadcast.
 CAPACITY = 255
@@ -45,7 +45,7 @@ def frequent(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """One row per row of df: doc_id, digest (SHA-256, binary), keep_id, group_size, kept.
+    """One row per row of df: doc_id, digest (SHA-256, binary), keep_id, group_size, kept, row (its place in df).
 
     Rows are equal when their texts are identical; null counts as the empty text. The row with the largest doc_id
     stays (null is the smallest); of repeated rows with that doc_id and text exactly one is kept. An empty table
@@ -62,5 +62,12 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = rest.groupBy("digest").agg(best, F.count("*").alias("group_size"))
     rest_rows = rest.join(groups, "digest")
     return hot_rows.unionByName(rest_rows).select(
-        "doc_id", "digest", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept")
+        "doc_id", "digest", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "row"
     )
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    """The rows of df that exact_duplicates() keeps, with df's columns. df must read alike twice, as files do."""
+    row = fresh(df, "row")
+    dropped = exact_duplicates(df, id_col, text_col, capacity).where("not kept").select(F.col("row").alias(row))
+    return df.withColumn(row, F.monotonically_increasing_id()).join(written(dropped, "exact-dropped"), row, "left_anti").select(*df.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewise.llm import byte_bpe, exact_dedup, language_id, lm_scoring, mixing, simhash
+from gaugewise.llm import byte_bpe, exact_dedup, language_id, lm_scoring, mixing, simhash, toxicity
 from gaugewise.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op2_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
+def op3_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, documents = mixing.mix(table(spark, sf_dir, "documents"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
@@ -40,6 +44,7 @@ def op10_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lattice_likelihood": op2_lattice_likelihood,
+    "op3_noisy_channel_toxicity": op3_noisy_channel_toxicity,
     "op4_block_mixing": op4_block_mixing,
     "op5_ecoc_language_id": op5_ecoc_language_id,
     "op6_simhash_trie": op6_simhash_trie,

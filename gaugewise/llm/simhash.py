@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugewise.llm.common import id_and_text, passes, schema_of, text_bytes, written
+from gaugewise.llm.common import fresh, id_and_text, passes, schema_of, text_bytes, written
 from gaugewise.llm.components import connected_components
 
 #: Lengths of the five blocks of a fingerprint, from its highest bit. Of two fingerprints that differ in at most
@@ -41,16 +41,16 @@ def fingerprint(text: bytes, width: int = 4) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) for every row; null text counts as empty."""
-    base = id_and_text(df, id_col, text_col)
+    """doc_id, row (its place in df) and fp (the fingerprint as a signed long) for every row; null text counts as empty."""
+    base = id_and_text(df, id_col, text_col).select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in passes(batch):
                 fp = np.array([fingerprint(x, width) for x in text_bytes(part.column("text"))], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(fp.view(np.int64))], ["doc_id", "row", "fp"])
 
-    return base.mapInArrow(run, schema_of(base, ("fp", "long")))
+    return base.mapInArrow(run, schema_of(base, ("row", "long"), ("fp", "long")))
 
 
 class _Trie:
@@ -192,18 +192,27 @@ def near_links(fps: DataFrame) -> DataFrame:
     return turned.withColumn("key", key).repartition("rot", "key").sortWithinPartitions("rot", "key").select("rot", "rfp").mapInArrow(_join_tries, "u long, v long")
 
 
-def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: doc_id, fp, component_id (the smallest doc_id reachable over links of at most four bits).
+def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+    """One row per row of df: doc_id, fp, component_id (the smallest doc_id reachable over links of at most four bits), kept, row.
 
     Null or empty texts and texts without words have fingerprint 0 and are linked like any other. A null doc_id is
-    never a component_id unless the whole component has none. Repeated rows get equal results; an empty table gives
-    an empty one. Other columns of df are not looked at.
+    never a component_id unless the whole component has none. kept marks one row of each component, the first with
+    that id. Repeated rows get equal results but for that; an empty table gives an empty one. Other columns of df are
+    not looked at.
     """
-    fps = written(fingerprints(df, id_col, text_col), "simhash-fp")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
+    fps = written(fingerprints(df, id_col, text_col, width), "simhash-fp")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = written(fps.groupBy("fp").agg(F.min(first).alias("first")), "simhash-classes")
     labels = connected_components(written(near_links(classes.select("fp")), "simhash-links"))
-    named = classes.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    named = classes.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = written(named, "simhash-named")
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    ids = written(named.join(smallest, "root").select("fp", "component_id"), "simhash-ids")
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+    smallest = named.groupBy("root").agg(F.min("first").alias("first"))
+    ids = written(named.select("fp", "root").join(smallest, "root").select("fp", "first"), "simhash-ids")
+    return fps.join(ids, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"), "row")
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """One row of df for each component of simhash_components(), with df's columns. df must read alike twice, as files do."""
+    row = fresh(df, "row")
+    dropped = simhash_components(df, id_col, text_col, width).where("not kept").select(F.col("row").alias(row))
+    return df.withColumn(row, F.monotonically_increasing_id()).join(written(dropped, "simhash-dropped"), row, "left_anti").select(*df.columns)

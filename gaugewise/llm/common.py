@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,6 +85,21 @@ def passes(batch: pa.RecordBatch, column: str = "text", most: int = PASS_BYTES)
         yield batch.slice(start)
 
 
+def in_blocks(base: DataFrame, most: int) -> DataFrame:
+    """base (doc_id, text) with a block number: neighbouring rows of about `most` bytes of text. Numbers hold only once the result is written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for part in passes(batch):
+                held += part.column("text").nbytes
+                if held > most:
+                    block, held = block + 1, part.column("text").nbytes
+                yield part.append_column("block", pa.array([block] * len(part), pa.int64()))
+
+    return base.mapInArrow(run, schema_of(base, ("text", "string"), ("block", "long")))
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewise.llm import byte_bpe, exact_dedup, language_id, lm_scoring, mixing, progressive_jpeg, simhash, toxicity
+from gaugewise.llm import byte_bpe, exact_dedup, language_id, lm_scoring, mixing, progressive_jpeg, simhash, suffix_dedup, toxicity
 from gaugewise.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op8_two_stage_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progressive_jpeg.media(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ecoc_language_id": op5_ecoc_language_id,
     "op6_simhash_trie": op6_simhash_trie,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_two_stage_suffix": op8_two_stage_suffix,
     "op9_progressive_jpeg": op9_progressive_jpeg,
     "op10_heavy_hitter_dedup": op10_heavy_hitter_dedup,
 }

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewise.llm import byte_bpe, exact_dedup, language_id, lm_scoring, mixing, progressive_jpeg, simhash, suffix_dedup, toxicity
+from gaugewise.llm import byte_bpe, chaining, exact_dedup, language_id, lm_scoring, mixing, progressive_jpeg, simhash, suffix_dedup, toxicity
 from gaugewise.llm.common import table
 
 
+def op1_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.linked_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_collinear_chaining": op1_collinear_chaining,
     "op2_lattice_likelihood": op2_lattice_likelihood,
     "op3_noisy_channel_toxicity": op3_noisy_channel_toxicity,
     "op4_block_mixing": op4_block_mixing,

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from gaugewise.llm.common import arrow_of, id_and_text, in_blocks, schema_of, text_bytes
+from gaugewise.llm.common import arrow_of, id_and_text, in_blocks, schema_of, text_bytes, written
 
 #: A string of so many bytes is a repeat.
 LENGTH = 50
@@ -365,4 +365,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     told = by_block(texts).applyInArrow(hashes, "part int, block long, hashes binary").groupBy("part").applyInArrow(shared, "block long, part int, twice binary")
     sent = by_block(texts).cogroup(by_block(told)).applyInArrow(surroundings, "chunk int, block long, hash binary, doc binary, windows binary, times binary, places binary, bytes binary")
     found = sent.groupBy("chunk").applyInArrow(owners, "block long, start binary, windows binary, least binary")
-    return by_block(texts).cogroup(by_block(found)).applyInArrow(cut, schema)
+    out = written(by_block(texts).cogroup(by_block(found)).applyInArrow(cut, schema), "suffix-result")
+    spark.sql(f"DROP TABLE {name}")
+    return out

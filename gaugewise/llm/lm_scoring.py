@@ -6,19 +6,23 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugewise.llm.byte_bpe import TOKENIZERS_DIR
-from gaugewise.llm.common import crc_mod, passes, schema_of, text_bytes, written
+from gaugewise.llm.common import arrow_of, crc_mod, passes, schema_of, text_bytes, written
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Bytes of text in a block: the documents that are scored together with the words that occur in them.
-BLOCK_BYTES = 24_000_000
+#: The most frequent words, whose probabilities are broadcast; their number bounds it. Rarer words are joined.
+FREQUENT = 100_000
+#: Distinct words that a worker counts before it passes the counts on.
+COUNTED = 600_000
 #: What every piece is counted beyond its occurrences.
 PRIOR = 0.02
 #: Rounds in which the pieces' weights are re-estimated from all segmentations.
@@ -117,6 +121,13 @@ class Lattice:
         self.first = np.vstack((np.log(first / first.sum(axis=0)), none))
         self.later = np.vstack((np.log(later / later.sum(axis=0)), none))
 
+    @classmethod
+    def of(cls, known: Pieces, first: np.ndarray, later: np.ndarray) -> Lattice:
+        """From log weights that are ready."""
+        out = cls.__new__(cls)
+        out.known, out.first, out.later = known, first, later
+        return out
+
     @staticmethod
     def _sum(terms: list[np.ndarray]) -> np.ndarray:
         t = np.stack(terms)
@@ -150,33 +161,35 @@ class Lattice:
             out[at] = self._forward(*self.known.found(raw), *raw.shape)[-1] + self.later[self.known.end]
         return out
 
-    def expected(self, words: list[bytes], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often each piece is used over all segmentations of the words, each word weighed by kind."""
-        kinds, known = weight.shape[1], self.known
-        a, b = np.zeros((len(known.first) + 1, kinds)), np.zeros((known.end + 2, kinds))
-        b[known.end] = weight.sum(axis=0)
-        for at, raw in self._by_length(words):
+    def only(self, kind: int) -> Lattice:
+        """The lattice of one kind."""
+        return Lattice.of(self.known, self.first[:, [kind]], self.later[:, [kind]])
+
+    def expected(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How often each piece is used over all segmentations of the words, in a lattice of one kind."""
+        known = self.known
+        a, b = np.zeros(len(self.first)), np.zeros(len(self.later))
+        for _, raw in self._by_length(words):
             n, length = raw.shape
             later, first = known.found(raw)
             alpha = self._forward(later, first, n, length)
-            beta: list[np.ndarray] = [None] * length + [np.broadcast_to(self.later[known.end], (n, kinds))]
+            beta: list[np.ndarray] = [None] * length + [np.broadcast_to(self.later[known.end], (n, 1))]
             for i in range(length - 1, -1, -1):
                 beta[i] = self._sum([beta[i + k + 1] + self.later[later[k][:, i]] for k in range(min(length - i, LONGEST)) if k == 0 or (later[k][:, i] <= known.end).any()])
-            base = np.log(np.maximum(weight[at], 1e-300)) - alpha[-1] - self.later[known.end]
-
-            def add(to: np.ndarray, ids: np.ndarray, logs: np.ndarray) -> None:
-                used = ids < len(to) - 1
-                share = np.exp(logs[used])
-                for kind in range(kinds):
-                    to[:, kind] += np.bincount(ids[used], share[:, kind], len(to))
-
+            whole = -alpha[-1] - self.later[known.end]
+            ids, logs = [], []
             for k in range(min(length, LONGEST)):
                 for i in range(length - k):
-                    ids = later[k][:, i]
-                    if k == 0 or (ids <= known.end).any():
-                        add(b, ids, alpha[i] + self.later[ids] + beta[i + k + 1] + base)
-                add(a, first[k], self.first[first[k]] + beta[k + 1] + base)
-            add(a, np.zeros(n, np.int32), self.first[0] + beta[0] + base)
+                    at = np.flatnonzero(later[k][:, i] <= known.end)
+                    if len(at):
+                        ids.append(later[k][at, i])
+                        logs.append((alpha[i][at] + self.later[ids[-1]] + beta[i + k + 1][at] + whole[at])[:, 0])
+            if ids:
+                b += np.bincount(np.concatenate(ids), np.exp(np.concatenate(logs)), len(b))
+            for k in range(min(length, LONGEST)):
+                a += np.bincount(first[k], np.exp(self.first[first[k]] + beta[k + 1] + whole)[:, 0], len(a))
+            a[0] += np.exp(self.first[0] + beta[0] + whole).sum()
+            b[known.end] += n
         return a[:-1], b[:-1]
 
 
@@ -186,20 +199,20 @@ def _summed(words: DataFrame, kinds: int, path: str, lattice: Lattice | None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces(path)
-        own = None
-        if size is not None:
-            own = Lattice.__new__(Lattice)
-            own.known, (own.first, own.later) = known, size
+        own = size and [Lattice.of(known, *size).only(k) for k in range(kinds)]
         a, b = np.zeros((len(known.first), kinds)), np.zeros((known.end + 1, kinds))
         for batch in batches:
             words = batch.column("word").to_pylist()
             if own is None:
-                x, y = (np.repeat(z[:, None], kinds, axis=1) for z in known.counted(words))
-            else:
-                seen = np.array(batch.column("c").flatten().to_numpy()).reshape(len(words), kinds) > 0
-                x, y = own.expected(words, seen.astype(float))
-            a += x
-            b += y
+                x, y = known.counted(words)
+                a += x[:, None]
+                b += y[:, None]
+                continue
+            seen = batch.column("c").flatten().to_numpy().reshape(len(words), kinds) > 0
+            for k in np.flatnonzero(seen.any(axis=0)):
+                x, y = own[k].expected([words[i] for i in np.flatnonzero(seen[:, k])])
+                a[:, k] += x
+                b[:, k] += y
         both = np.vstack((a, b))
         at, kind = np.nonzero(both)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(kind.astype(np.int32)), pa.array(both[at, kind])], ["at", "kind", "n"])
@@ -211,45 +224,27 @@ def _summed(words: DataFrame, kinds: int, path: str, lattice: Lattice | None) ->
     return both[: len(known.first)], both[len(known.first) :]
 
 
-def _blocks(base: DataFrame) -> DataFrame:
-    """base with a block number: neighbouring rows of about BLOCK_BYTES of text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            for part in passes(batch):
-                held += part.column("text").nbytes
-                if held > BLOCK_BYTES:
-                    block, held = block + 1, part.column("text").nbytes
-                yield part.append_column("block", pa.array(np.full(len(part), block)))
-
-    return base.mapInArrow(run, schema_of(base, ("held_out", "boolean"), ("kind", "int"), ("text", "string"), ("block", "long")))
-
-
-def _block_words(blocked: DataFrame, kinds: int) -> DataFrame:
-    """block, word, n (occurrences in training texts, by kind) for every word that occurs in a block."""
+def _counted(texts: DataFrame) -> DataFrame:
+    """word, kind, n: occurrences in the training texts of a kind; kind -1 and n 0 for the words of held-out texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, seen, other = None, [Counter() for _ in range(kinds)], set()
+        seen: dict[int, Counter] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            words = list(other.union(*seen))
-            for s in range(0, len(words), 50_000):
-                part = words[s : s + 50_000]
-                n = np.array([[k[w] for k in seen] for w in part], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part, pa.binary()), pa.ListArray.from_arrays(np.arange(0, n.size + 1, kinds, dtype=np.int32), n.ravel())], ["block", "word", "n"])
+            for kind, words in seen.items():
+                n = pa.array(np.fromiter(words.values(), np.int64, len(words)) if kind >= 0 else np.zeros(len(words), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(np.full(len(words), kind, np.int32)), n], ["word", "kind", "n"])
+            seen.clear()
 
         for batch in batches:
-            for b, held_out, kind, text in zip(batch.column("block").to_pylist(), batch.column("held_out").to_pylist(), batch.column("kind").to_pylist(), text_bytes(batch.column("text"))):
-                if b != block:
-                    if block is not None:
-                        yield from out()
-                    block, seen, other = b, [Counter() for _ in range(kinds)], set()
-                (other if held_out else seen[kind]).update(words_of(text))
-        if block is not None:
-            yield from out()
+            for part in passes(batch):
+                for held_out, kind, text in zip(part.column("held_out").to_pylist(), part.column("kind").to_pylist(), text_bytes(part.column("text"))):
+                    seen.setdefault(-1 if held_out else kind, Counter()).update(words_of(text))
+                if sum(map(len, seen.values())) > COUNTED:
+                    yield from out()
+        yield from out()
 
-    return blocked.select("block", "held_out", "kind", "text").mapInArrow(run, "block long, word binary, n array<long>")
+    return texts.select("held_out", "kind", "text").mapInArrow(run, "word binary, kind int, n long")
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind_col: str | None = "lang", holdout: int = 10, path: str | None = None) -> DataFrame:
@@ -264,8 +259,9 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind_co
     one kind. Null and empty texts are one end. With nothing to learn from, words are left to the lattice. Repeated
     rows get equal results; an empty table gives an empty one.
 
-    Words go to their counts by a shuffle of each block's distinct words; nothing that grows with the vocabulary is
-    broadcast. The driver gets sums, and a number a piece and kind.
+    A text's frequent words are summed where the text is read; of its rarer words only the words go to their
+    probabilities, by a shuffle, and come back as sums. The driver gets sums, a number a piece and kind, and the
+    FREQUENT most frequent words.
     """
     path = path or f"{TOKENIZERS_DIR}/{VOCABULARY}"
     kind_of = F.coalesce(F.col(kind_col).cast("string"), F.lit("")) if kind_col else F.lit("")
@@ -275,12 +271,10 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind_co
     kind = F.coalesce(F.array_position(F.array(*map(F.lit, names)), kind_of) - 1, F.lit(-1)).cast("int") if names else F.lit(-1)
     kind = F.when(kind < 0, kinds - 1).otherwise(kind).cast("int")
     base = df.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), kind.alias("kind"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    blocked = written(_blocks(base), "lm-texts")
-    block_words = written(_block_words(blocked, kinds), "lm-block-words")
-    c = [F.sum(F.col("n")[k]).alias(f"c{k}") for k in range(kinds)]
-    words = written(block_words.groupBy("word").agg(*c).select("word", F.array(*[f"c{k}" for k in range(kinds)]).alias("c")), "lm-words")
+    c = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(kinds)]
+    words = written(_counted(base).groupBy("word").agg(*c).select("word", F.array(*[f"c{k}" for k in range(kinds)]).alias("c")), "lm-words")
     docs = np.zeros(kinds)
-    for r in blocked.where(~F.col("held_out")).groupBy("kind").count().collect():
+    for r in base.where(~F.col("held_out")).groupBy("kind").count().collect():
         docs[r.kind] = r["count"]
     of = lambda k: F.col("c")[k]
     total_of = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x)
@@ -306,38 +300,64 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind_co
         lattice = Lattice(known, first + PRIOR, later + PRIOR)
     weights = lattice.first, lattice.later
 
+    smoothed = n + 0.1 * (v + 1)
+    columns = [f"p{k}" for k in range(kinds)]
+
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Lattice.__new__(Lattice)
-        own.known, (own.first, own.later) = pieces(path), weights
+        own = Lattice.of(pieces(path), *weights)
         for batch in batches:
             c = batch.column("c").flatten().to_numpy().reshape(len(batch), kinds)
             total = c.sum(axis=1)
             seen = np.maximum(c - discount, 0) / np.maximum(tokens, 1) + left * shared * total[:, None] / max(words_n, 1)
             with np.errstate(divide="ignore"):
                 p = np.logaddexp(np.log(seen), own.log(batch.column("word").to_pylist()) + np.log(left * (1 - shared))) / math.log(10)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(total), pa.ListArray.from_arrays(np.arange(0, p.size + 1, kinds, dtype=np.int32), p.ravel().astype(np.float32))], ["word", "c", "p"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(total), *map(pa.array, p.T.copy())], ["word", "c", *columns])
 
-    weighed = written(words.mapInArrow(weigh, "word binary, c long, p array<float>"), "lm-weighed")
-    told = block_words.select("block", "word").join(weighed, "word").select("block", "word", "c", "p")
-    schema = schema_of(base, ("held_out", "boolean"), ("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"))
+    weighed = written(words.mapInArrow(weigh, "word binary, c long, " + ", ".join(f"{x} double" for x in columns)), "lm-weighed")
+    steps = weighed.where("c > 0").groupBy(F.floor(F.log("c") * 20).alias("step")).count().orderBy(F.desc("step")).collect()
+    enough = [s.step for s, so_far in zip(steps, accumulate(s["count"] for s in steps)) if so_far <= FREQUENT]
+    top = weighed.where((F.col("c") > 0) & (F.floor(F.log("c") * 20) >= min(enough, default=1 << 30))).toArrow()
     end_p = np.log10((docs + 0.5) / (tokens + 1))
+    common = df.sparkSession.sparkContext.broadcast((top.column("word").to_pylist(), np.append(top.column("c").to_numpy(), ends), np.vstack([np.column_stack([top.column(x).to_numpy() for x in columns]), end_p])))
     prior = np.log10((docs + 0.1) / (docs.sum() + 0.1 * kinds))
-    smoothed = n + 0.1 * (v + 1)
-
-    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
-        place = {w: i for i, w in enumerate(told.column("word").to_pylist())}
-        c = np.append(told.column("c").to_numpy(), ends)
-        p = np.vstack([np.vstack([x.flatten().to_numpy().reshape(-1, kinds) for x in told.column("p").chunks] or [np.empty((0, kinds))]).astype(np.float64), end_p])
-        base_p = np.log10((c + 0.1) / smoothed)
-        out: list[tuple] = []
-        for chunk in texts.column("text").chunks:
-            for text in text_bytes(chunk):
-                at = np.array([*map(place.__getitem__, words_of(text)), len(p) - 1])
-                by_kind = p[at].sum(axis=0) + prior
-                top = by_kind.max()
-                out.append((len(at), int((c[at] > 0).sum()), float(base_p[at].sum()), float(top + np.log10((10 ** (by_kind - top)).sum()))))
-        count, seen, base_sum, p_sum = zip(*out)
-        columns = [texts.column("doc_id"), texts.column("held_out"), pa.array(count, pa.int64()), pa.array(seen, pa.int64()), pa.array([n] * len(out), pa.int64()), pa.array(base_sum, pa.float64()), pa.array(p_sum, pa.float64())]
-        return pa.table(columns, schema.names)
-
-    return blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
+    summed = ["n_known", "base", *columns]
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a text with the sums over its frequent words, and a row for each of its rarer words."""
+        top, c, p = common.value
+        place = {w: i for i, w in enumerate(top)}
+        values = np.column_stack(((c > 0).astype(float), np.log10((c + 0.1) / smoothed), p))
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for part in passes(batch):
+                counts, sums, rare, rare_n, rare_row = [], [], [], [], []
+                for text in text_bytes(part.column("text")):
+                    tokens = words_of(text)
+                    at = np.array([place.get(w, -1) for w in tokens] + [len(top)])
+                    counts.append(len(at))
+                    sums.append(values[at[at >= 0]].sum(axis=0))
+                    others = Counter([tokens[i] for i in np.flatnonzero(at < 0)])
+                    rare += others.keys()
+                    rare_n += others.values()
+                    rare_row.append(np.full(len(others), row))
+                    row += 1
+                none = pa.nulls(len(part), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row - len(part), row)), part.column("doc_id"), part.column("held_out"), none, pa.array(counts, pa.int64()), *map(pa.array, np.array(sums).T.copy())], names)
+                if rare:
+                    k = len(rare)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rare_row)), pa.nulls(k, id_type), pa.nulls(k, pa.bool_()), pa.array(rare, pa.binary()), pa.array(rare_n, pa.int64()), *[pa.nulls(k, pa.float64())] * len(summed)], names)
+
+    names = ["row", "doc_id", "held_out", "word", "n", *summed]
+    id_type = arrow_of(base.schema["doc_id"].dataType)
+    shape = schema_of(base, ("held_out", "boolean"), ("word", "binary"), ("n", "long"), *[(x, "double") for x in summed])
+    shape = T.StructType([T.StructField("row", T.LongType()), *shape.fields])
+    found = written(base.select("doc_id", "held_out", "text").mapInArrow(look_up, shape), "lm-found")
+    joined = found.where(F.col("word").isNotNull()).select("row", "word", "n").join(weighed, "word")
+    times = [F.when(F.col("c") > 0, F.col("n")).otherwise(0).cast("double").alias("n_known"), (F.col("n") * F.log10((F.col("c") + 0.1) / smoothed)).alias("base"), *[(F.col("n") * F.col(x)).alias(x) for x in columns]]
+    rarer = joined.select("row", *times).groupBy("row").agg(*[F.sum(x).alias(f"{x}_rare") for x in summed])
+    both = found.where(F.col("word").isNull()).join(rarer, "row", "left").select("doc_id", "held_out", "n", *[(F.col(x) + F.coalesce(f"{x}_rare", F.lit(0.0))).alias(x) for x in summed])
+    by_kind = F.array(*[F.col(x) + float(w) for x, w in zip(columns, prior)])
+    total = F.array_max("by_kind") + F.log10(F.aggregate("by_kind", F.lit(0.0), lambda acc, x: acc + F.pow(F.lit(10.0), x - F.array_max("by_kind"))))
+    return both.withColumn("by_kind", by_kind).select(
+        "doc_id", "held_out", F.col("n").alias("n_tokens"), F.round("n_known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), total.alias("score")
+    )

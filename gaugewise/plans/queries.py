@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugewise.operators import convert, evaluate, score, sequence, stats, verdict
+from gaugewise.functions import kernels
+from gaugewise.operators import convert, evaluate, image, score, sequence, stats, verdict
 from gaugewise.operators.sequence import Sequence
 from gaugewise.registry import Params
 from gaugewise.sources import tables
@@ -240,6 +241,56 @@ def q_neighbours(spark, sf_dir):
     return g.join(base, ["category_id", "cd_index"]).select(*KEYS, r6(F.col("cd_nm") - F.col("base_nm")).alias("change"))
 
 
+def _thumbs(spark, sf_dir):
+    """8-bit thumbnails and their masks (positive values), an image a row."""
+    u8 = convert.to_uint8(tables.thumbnails(spark, sf_dir), "f", "image_id")
+    masks = u8.select("image_id", "y", "x", (F.col("f") > 0).cast("int").alias("m"))
+    return image.images_of(u8), image.images_of(masks, "m", "bits").withColumn("category_id", F.lit(0))
+
+
+def q_l1(spark, sf_dir):
+    images, _ = _thumbs(spark, sf_dir)
+    return image.image_features(images).select("image_id", *[r6(c).alias(c) for c in kernels.L1])
+
+
+def q_l1_hist(spark, sf_dir):
+    images, _ = _thumbs(spark, sf_dir)
+    h = image.image_features(images).select("image_id", F.posexplode("hist").alias("bin", "share"))
+    return h.where("share > 0").groupBy("bin").agg(r6(F.sum("share")).alias("share"), F.count("*").alias("n"))
+
+
+def q_mask_image(spark, sf_dir):
+    images, masks = _thumbs(spark, sf_dir)
+    return image.mask_features(masks, images).select("image_id", *[r6(c).alias(c) for c in kernels.LM])
+
+
+def q_mask_l3(spark, sf_dir):
+    images, masks = _thumbs(spark, sf_dir)
+    at = {"sx": 1.5, "sy": 2.25, "ex": 6.25, "ey": 5.5, "px_nm": 0.5}
+    segments = images.select("image_id", F.lit(0).alias("category_id"), F.lit(0).cast("long").alias("cd_index"), *[F.lit(v).alias(k) for k, v in at.items()])
+    return image.mask_evidence(segments, masks, images).select("image_id", *[r6(c).alias(c) for c in ("mdist_s", "mdist_e")], "minside")
+
+
+def q_evidence(spark, sf_dir):
+    images = tables.slabs(spark, sf_dir)
+    segments = tables.slab_segments(images).withColumns({"ribbon_tx": F.lit(0.0), "ribbon_ty": F.lit(1.0)})
+    out = image.image_evidence(segments, images)
+    return out.select("image_id", "cd_index", *[F.col(c) if c.startswith("edge_valid") else r6(c).alias(c) for c in kernels.EVIDENCE])
+
+
+def q_convention(spark, sf_dir):
+    images = tables.slabs(spark, sf_dir)
+    out = image.convention_scores(tables.slab_segments(images), images)
+    return out.select("convention", "y_flip", "origin", "scale", r6("median_dist_px").alias("median_dist_px"))
+
+
+def q_slab_sigma(spark, sf_dir):
+    """Noise of whole slabs beside the size of the slab: the part of the evidence that SQL can follow."""
+    images = tables.slabs(spark, sf_dir)
+    f = image.image_features(images).select("image_id", "noise_sigma", "sat_lo", "dyn_range")
+    return f.join(images.select("image_id", "h", "w"), "image_id").select("image_id", "h", "w", *[r6(c).alias(c) for c in ("noise_sigma", "sat_lo", "dyn_range")])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     k: v for k, v in list(globals().items()) if k.startswith("q_")
 } | {f"q_impact_{k}": _impact(k) for k in ("median", "mean", "trimmed_mean")}
@@ -349,7 +400,53 @@ SELECT {cols}, {_r("any_value(threshold)", "threshold")}, {_r(f"avg(CASE WHEN {b
   count(*) FILTER (WHERE {bad}) AS n_bad, count(*) FILTER (WHERE NOT {bad}) AS n_good, count(*) FILTER (WHERE {score_} IS NULL) AS n_nan FROM {src} JOIN cut USING ({cols}) GROUP BY {cols}"""
 
 
+#: Neighbours with the border mirrored, within an h x w image of pixels (image_id, y, x, v).
+def _moved(src: str, h: str, w: str) -> str:
+    return f"""off AS (SELECT * FROM (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx)),
+nb AS (SELECT p.image_id, p.y, p.x, dy, dx, q.v FROM (SELECT * FROM {src}) p CROSS JOIN off JOIN {src} q ON q.image_id = p.image_id
+  AND q.y = {h} - 1 - abs({h} - 1 - abs(p.y + dy)) AND q.x = {w} - 1 - abs({w} - 1 - abs(p.x + dx))),
+fl AS (SELECT image_id, y, x, sum(v * CASE WHEN dy = 0 AND dx = 0 THEN -4e0 WHEN dy = 0 OR dx = 0 THEN 1e0 ELSE 0e0 END) AS lap,
+  sum(v * dx * (2e0 - abs(dy))) / 8 AS gx, sum(v * dy * (2e0 - abs(dx))) / 8 AS gy FROM nb GROUP BY 1, 2, 3),
+gm AS (SELECT *, sqrt(gx*gx + gy*gy) AS gr, median(lap) OVER (PARTITION BY image_id) AS ml FROM fl),
+ns AS (SELECT image_id, 1.4826e0*median(abs(lap - ml)) / sqrt(20e0) AS noise, quantile_cont(gr, 0.9) AS g90 FROM gm GROUP BY 1)"""
+
+
+_THUMB = f"{_PIX}, {_moved('u8', '8', '8')}"
+_BND = """mk AS (SELECT image_id, y, x, f > 0 AS m FROM u8),
+bd AS (SELECT p.image_id, p.y, p.x FROM mk p LEFT JOIN mk q ON q.image_id = p.image_id AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 AND q.m WHERE p.m GROUP BY 1, 2, 3 HAVING count(q.y) < 9)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "q_l1": f"""WITH {_THUMB}, b AS (SELECT image_id, avg(CASE WHEN v = 0 THEN 1e0 ELSE 0e0 END) AS sat_lo, avg(CASE WHEN v = 255 THEN 1e0 ELSE 0e0 END) AS sat_hi, quantile_cont(v, 0.99) - quantile_cont(v, 0.01) AS dyn FROM u8 GROUP BY 1),
+tl AS (SELECT a.image_id, a.y // 2 AS ty, a.x // 2 AS tx, 2*o.v + 2*c.v - 4e0*a.v AS lap, gr FROM u8 a JOIN u8 o ON o.image_id = a.image_id AND o.x = a.x AND o.y = xor(a.y, 1)
+  JOIN u8 c ON c.image_id = a.image_id AND c.y = a.y AND c.x = xor(a.x, 1) JOIN gm ON gm.image_id = a.image_id AND gm.y = a.y AND gm.x = a.x),
+tm AS (SELECT *, median(lap) OVER (PARTITION BY image_id, ty, tx) AS ml FROM tl),
+te AS (SELECT image_id, ty, tx, quantile_cont(gr, 0.9) / greatest(1.4826e0*median(abs(lap - ml)) / sqrt(20e0), 1e-9) AS en FROM tm GROUP BY 1, 2, 3),
+tv AS (SELECT image_id, stddev_pop(en) / greatest(avg(en), 1e-9) AS cv FROM te GROUP BY 1)
+SELECT image_id, {_r('noise', 'noise_sigma')}, {_r('sat_lo', 'sat_lo')}, {_r('sat_hi', 'sat_hi')}, {_r('dyn', 'dyn_range')}, {_r('g90 / greatest(noise, 1e-9)', 'struct_energy')}, {_r('cv', 'tile_energy_cv')} FROM ns JOIN b USING (image_id) JOIN tv USING (image_id)""",
+    "q_l1_hist": f"WITH {_PIX}, h AS (SELECT image_id, v AS bin, count(*) / 64e0 AS share FROM u8 GROUP BY 1, 2) SELECT bin, {_r('sum(share)', 'share')}, count(*) AS n FROM h GROUP BY 1",
+    "q_mask_image": f"""WITH RECURSIVE {_THUMB}, {_BND}, px AS (SELECT image_id, y*8 + x AS k, y, x, m FROM mk),
+reach AS (SELECT image_id, k AS start, k FROM px WHERE m UNION SELECT r.image_id, r.start, q.k FROM reach r JOIN px p ON p.image_id = r.image_id AND p.k = r.k
+  JOIN px q ON q.image_id = r.image_id AND q.m AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1),
+outer_bg AS (SELECT image_id, k FROM px WHERE NOT m AND (y IN (0, 7) OR x IN (0, 7)) UNION SELECT r.image_id, q.k FROM outer_bg r JOIN px p ON p.image_id = r.image_id AND p.k = r.k
+  JOIN px q ON q.image_id = r.image_id AND NOT q.m AND abs(q.y - p.y) + abs(q.x - p.x) = 1),
+comp AS (SELECT image_id, k, min(start) AS c FROM reach GROUP BY 1, 2), cs AS (SELECT comp.image_id, c, count(*) AS area, count(bd.y) AS per FROM comp LEFT JOIN bd ON bd.image_id = comp.image_id AND bd.y*8 + bd.x = comp.k GROUP BY 1, 2),
+ca AS (SELECT image_id, count(*) AS n, median(per / (2*sqrt(pi()*area))) FILTER (WHERE area >= 16) AS rough FROM cs GROUP BY 1),
+hl AS (SELECT px.image_id, count(*) FILTER (WHERE m) AS inside, count(*) FILTER (WHERE NOT m AND o.k IS NULL) AS holes FROM px LEFT JOIN outer_bg o ON o.image_id = px.image_id AND o.k = px.k GROUP BY 1),
+ga AS (SELECT image_id, median(gr) AS g FROM bd JOIN gm USING (image_id, y, x) GROUP BY 1)
+SELECT hl.image_id, round(g / greatest(noise, 1e-9), 6) + 0e0 AS mask_grad_agree, CAST(coalesce(n, 0) AS DOUBLE) AS mask_n_components, round(holes / nullif(inside + holes, 0)::DOUBLE, 6) + 0e0 AS mask_hole_frac,
+  round(rough, 6) + 0e0 AS mask_boundary_rough, {_r('inside / 64e0', 'mask_area_frac')} FROM hl JOIN ns USING (image_id) LEFT JOIN ca USING (image_id) LEFT JOIN ga USING (image_id)""",
+    "q_mask_l3": f"""WITH {_PIX}, {_BND}, pt AS (SELECT * FROM (VALUES ('s', 1.5e0, 2.25e0), ('e', 6.25e0, 5.5e0)) t(side, px, py)),
+cr AS (SELECT side, CAST(floor(py) AS INT) + dy AS y, CAST(floor(px) AS INT) + dx AS x, CASE WHEN dy = 0 THEN 1 - (py - floor(py)) ELSE py - floor(py) END * CASE WHEN dx = 0 THEN 1 - (px - floor(px)) ELSE px - floor(px) END AS wt
+  FROM pt, (VALUES (0), (1)) a(dy), (VALUES (0), (1)) b(dx)),
+dd AS (SELECT image_id, side, cr.y, cr.x, any_value(wt) AS wt, min(sqrt((bd.y - cr.y)**2 + (bd.x - cr.x)**2)) AS d FROM bd, cr GROUP BY 1, 2, 3, 4),
+dm AS (SELECT image_id, 0.5e0*sum(wt*d) FILTER (WHERE side = 's') AS ds, 0.5e0*sum(wt*d) FILTER (WHERE side = 'e') AS de FROM dd GROUP BY 1)
+SELECT mk.image_id, round(ds, 6) + 0e0 AS mdist_s, round(de, 6) + 0e0 AS mdist_e, m AS minside FROM mk LEFT JOIN dm USING (image_id) WHERE y = 4 AND x = 4""",
+    "q_slab_sigma": f"""WITH e AS (SELECT label, CAST(floor(vec_id / 640) AS BIGINT) AS part, row_number() OVER (PARTITION BY label, CAST(floor(vec_id / 640) AS BIGINT) ORDER BY vec_id) - 1 AS y, embedding FROM embeddings),
+u8 AS (SELECT concat_ws('_', label, part) AS image_id, y, generate_subscripts(embedding, 1) - 1 AS x, CAST(unnest(embedding) AS DOUBLE) AS f FROM e),
+v8 AS (SELECT image_id, y, x, CAST(least(greatest(floor(128e0 + 40e0*f), 0), 255) AS INT) AS v FROM u8),
+sz AS (SELECT image_id, CAST(max(y) + 1 AS INT) AS h, CAST(max(x) + 1 AS INT) AS w FROM v8 GROUP BY 1), vs AS (SELECT v8.*, h, w FROM v8 JOIN sz USING (image_id)),
+{_moved('vs', 'p.h', 'p.w')}
+SELECT sz.image_id, h, w, {_r('any_value(noise)', 'noise_sigma')}, {_r('avg(CASE WHEN v = 0 THEN 1e0 ELSE 0e0 END)', 'sat_lo')}, {_r('quantile_cont(v, 0.99) - quantile_cont(v, 0.01)', 'dyn_range')} FROM v8 JOIN sz USING (image_id) JOIN ns USING (image_id) GROUP BY 1, 2, 3""",
     "q_to_nm": f"WITH {PARTS} SELECT {_K}, {_r('value_nm', 'value_nm')} FROM g",
     "q_unit_norm": f"WITH {PARTS}, r AS (SELECT {_RAW}[cd_index % {len(SPELLINGS)} + 1] || CASE WHEN category_id = 0 THEN ' ' ELSE '' END AS raw FROM p) SELECT raw, {_NORM} AS unit, count(*) AS n FROM r GROUP BY raw",
     "q_unknown_units": f"WITH {PARTS}, r AS (SELECT *, {_RAW}[cd_index % {len(SPELLINGS)} + 1] AS raw FROM p) SELECT category_id, raw, count(*) AS n FROM r WHERE {_NORM} IS NULL GROUP BY 1, 2",

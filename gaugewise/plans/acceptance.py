@@ -1,0 +1,112 @@
+"""Acceptance on synthetic failures: which features must respond to which failure, and which must stay silent."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gaugewise.operators import convert, image, score, sequence, stats, verdict
+from gaugewise.registry import BY_NAME
+from gaugewise.sources import synth
+
+#: A response ends at RESPOND or more and never falls by over SLACK; silence stays under SILENT at all strengths.
+RESPOND, SILENT, SLACK = 3.0, 1.5, 0.5
+
+#: Failure: features that respond / features that stay silent; scope after a colon (affected rows where none is named).
+CELLS = {
+    "defocus": "rise_s rise_e / delta_s delta_e cd_resid",
+    "low_contrast": "cnr_s cnr_e / rise_s delta_s",
+    "noise_up": "cnr_s cnr_e noise_sigma:all / delta_median_s:all",
+    "edge_jump": "delta_s s_resid dstep_s cd_resid / delta_e e_resid dstep_e",
+    "systematic_bias": "delta_median_s:all / s_resid dstep_s",
+    "oblique": "obliquity cd_resid / delta_s cnr_s",
+    "missing": "n_cd:all / delta_s:all cd_resid:all cnr_s:all",
+    "double_edge": "margin_s npk_s / cnr_s",
+    "plateau_defect": "plateau_cv / delta_s",
+    "saturation": "sat_lo:all /",
+    "mask_shift": "mdist_s mdist_e mgrad_s mgrad_e mask_grad_agree:all / cnr_s delta_s",
+    "mask_ragged": "mask_boundary_rough:all mask_n_components:all / mdist_s",
+    "rotated_frame": "angle_median:all n_cd:all / delta_s",
+    "partial_damage": "tile_energy_cv:all / delta_s:unaffected",
+}
+
+
+def cells() -> list[tuple[str, str, str, str]]:
+    """failure, feature, scope, kind."""
+    out = []
+    for failure, row in CELLS.items():
+        for kind, names in zip(("respond", "silent"), row.split("/")):
+            out += [(failure, *((name + ":affected").split(":")[:2]), kind) for name in names.split()]
+    return out
+
+
+def features(data: DataFrame) -> dict[str, DataFrame]:
+    """Features of generated data at each level, with failure and sev_rank."""
+    images = data.select("image_id", "h", "w", "pixels")
+    tags = data.select("image_id", "failure", "sev_rank")
+    r = synth.records(data).withColumn("value_nm", convert.to_nm(F.col("value"), F.col("unit")))
+    px = convert.infer_px_nm(r, "value_nm", "image_id")
+    r = r.join(px, "image_id")
+    w = Window.partitionBy("image_id", "category_id").orderBy("cd_index")
+    r = r.withColumn("cd_index", F.row_number().over(w).cast("long") - 1)
+    geometry = sequence.geometry(r, "px_nm", "value_nm")
+    keys = ["image_id", "category_id", "cd_index"]
+    l3 = geometry.join(image.image_evidence(geometry, images), keys).join(image.mask_evidence(geometry, synth.masks(data), images), keys)
+    l2 = sequence.summarize(l3).join(tags, "image_id")
+    l1 = image.image_features(images).join(tags, "image_id")
+    lm = image.mask_features(synth.masks(data), images).join(tags, "image_id")
+    return {"l3": l3, "l2": l2, "l1": l1, "lm": lm}
+
+
+def scores(levels: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Scores against cohorts of the images without a failure: by category, and over all images for l1."""
+    good = F.col("failure") == "none"
+    out = {}
+    for level, df in levels.items():
+        if level == "l1":
+            hist = df.select("image_id", "failure", F.posexplode("hist").alias("bin", "share")).where("share > 0")
+            target = verdict.template(hist.where(good), "image_id")
+            df = df.join(verdict.hist_emd(hist, target, "image_id"), "image_id")
+        keys = () if level == "l1" else ("category_id",)
+        out[level] = score.apply_z(df, stats.cohort_stats(df.where(good), *keys), *keys)
+    return out
+
+
+def medians(scored: dict[str, DataFrame]) -> DataFrame:
+    """failure, sev_rank, feature, scope, kind, z: the median score of each cell at each strength; signed where silence is asked."""
+    parts = []
+    for level, df in scored.items():
+        own = [c for c in cells() if BY_NAME[c[1]].level == level]
+        if not own:
+            continue
+        each = []
+        for failure, name, scope, kind in own:
+            signed = kind == "silent" and f"zs_{name}" in df.columns
+            z = F.col(f"zs_{name}" if signed else f"z_{name}")
+            within = {"affected": F.col("affected") == 1, "unaffected": F.col("affected") == 0, "all": F.lit(True)}[scope] if level == "l3" else F.lit(True)
+            value = F.when((F.col("failure") == failure) & within, z)
+            each.append(F.struct(F.lit(name).alias("feature"), F.lit(scope).alias("scope"), F.lit(kind).alias("kind"), F.lit(failure).alias("of"), value.alias("z")))
+        long = df.select("failure", "sev_rank", F.explode(F.array(*each)).alias("e")).select("failure", "sev_rank", "e.*").where("failure = of")
+        parts.append(long.groupBy("failure", "sev_rank", "feature", "scope", "kind").agg(F.median("z").alias("z")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def judged(medians: DataFrame) -> DataFrame:
+    """failure, feature, scope, kind, zs (by strength), ok."""
+    rows = medians.groupBy("failure", "feature", "scope", "kind").agg(F.sort_array(F.collect_list(F.struct("sev_rank", "z"))).alias("_r"))
+    zs = F.transform("_r", lambda r: r["z"])
+    steps = F.zip_with(F.slice(zs, 2, 100), zs, lambda b, a: b >= a - SLACK)
+    respond = (F.element_at(zs, -1) >= RESPOND) & ~F.exists(steps, lambda ok: F.coalesce(~ok, F.lit(False)))
+    silent = F.coalesce(F.array_max(F.transform(zs, F.abs)), F.lit(0.0)) < SILENT
+    return rows.select("failure", "feature", "scope", "kind", zs.alias("zs"), F.coalesce(F.when(F.col("kind") == "respond", respond).otherwise(silent), F.lit(False)).alias("ok"))
+
+
+def run(spark: SparkSession, p: synth.SynthParams = synth.SynthParams(), path: str | None = None) -> DataFrame:
+    """All cells over generated data; with a path, the images are written there first and not made anew by every step."""
+    data = synth.generate(spark, p)
+    if path:
+        data.write.mode("overwrite").parquet(path)
+        data = spark.read.parquet(path)
+    return judged(medians(scores(features(data))))

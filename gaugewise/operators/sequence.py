@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugewise.operators.convert import finite, length_px
 from gaugewise.registry import Params
@@ -51,7 +52,7 @@ def unit_tangents(df: DataFrame, x: str, y: str, tx: str, ty: str, seq: Sequence
     return df.withColumns({tx: F.when(F.col("_one"), 1.0).otherwise(ux), ty: F.when(F.col("_one"), 0.0).otherwise(uy)}).drop("_dx", "_dy", "_one")
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _theil_sen(index: pa.Array, values: pa.Array, at: pa.Array) -> pa.Array:
     """The fit at `at` of the line through a window: medians of the pairwise slopes and of the intercepts."""
     n = len(at)

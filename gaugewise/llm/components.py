@@ -15,9 +15,9 @@ def _to_smallest(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node and root (the least node of its component) for every node of a table of edges u, v.
+    """node and root (the least node of its component) for every node of a table of edges u, v that is not such a root itself.
 
-    Directions, repeats and loops of edges do not matter; a node that has only a loop is left out. Hubs are no
+    Directions, repeats and loops of edges do not matter. Hubs are no
     problem: the least neighbour is pre-aggregated, and the join that hands it out can be split by Spark.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()

@@ -99,6 +99,22 @@ def test_robust_stats(spark):
     assert stats.robust_stats(df.limit(0), "v", "k").count() == 0
 
 
+def test_large_cohorts_agree_with_small_ones(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(k, r.choice((r.gauss(0, 1), float(r.randint(0, 3)), r.gauss(50, 400)))) for k in (0, 1, None) for _ in range(600)] + [(2, r.gauss(0, 1)) for _ in range(9000)] + [(7, 2.0), (8, 1.0), (8, 5.0)] + [(9, 3.0)] * 40
+    df = frame(spark, rows, "k int, v double")
+    small, large = (sorted([tuple(x) for x in stats.robust_stats(df, "v", "k", one_task=n).collect()], key=str) for n in (10**9, 0))
+    assert [(a[0], a[1]) for a in small] == [(b[0], b[1]) for b in large]
+    assert all(abs(a[i] - b[i]) < 1e-9 for a, b in zip(small, large) for i in (2, 3))
+    q = {"a": 0.0, "b": 0.31, "c": 1.0}
+    got = {x.k: tuple(x)[2:] for x in stats.exact_quantiles(df, "v", q, "k").collect()}
+    want = {x.k: tuple(x)[1:] for x in df.groupBy("k").agg(*[F.percentile("v", F.lit(p)) for p in q.values()]).collect()}
+    assert got.keys() == want.keys() and all(abs(x - y) < 1e-9 for k in got for x, y in zip(got[k], want[k]))
+    assert stats.threshold_from_quantile(frame(spark, [(float(i),) for i in range(100)], "v double"), "v", 0.9).first().threshold == pytest.approx(89.1)
+
+
 def test_mode_and_cohorts(spark):
     df = frame(spark, [(0, 1.0), (0, -1.0), (0, 0.0), (1, 0.0), (2, -1.0)], "k int, p double")
     assert {r.k: r.m for r in df.groupBy("k").agg(stats.mode_sign(F.col("p")).alias("m")).collect()} == {0: 1.0, 1: 0.0, 2: -1.0}

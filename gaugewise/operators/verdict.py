@@ -50,17 +50,20 @@ def histogram(df: DataFrame, value: str, *image: str) -> DataFrame:
     return counts.select(*image, "bin", (F.col("n") / F.sum("n").over(Window.partitionBy(*image))).alias("share"))
 
 
-def template(hist: DataFrame, *image: str, bins: int = 256) -> DataFrame:
+def template(hist: DataFrame, *image: str) -> DataFrame:
     """The median share of each bin over all images, made to sum to one; bins that an image lacks count as 0.
 
-    A bin's median is 0 unless more than half of the images have it, so only the shares that there are need sorting.
+    Equal shares of a bin are counted first, so what is put in order is the distinct shares: no more than an image has
+    pixels, however many images there are.
     """
     images = hist.select(*image).distinct().agg(F.count("*").alias("_images"))
-    each = hist.groupBy("bin").agg(F.sort_array(F.collect_list("share")).alias("_s"), F.count("*").alias("_n")).crossJoin(F.broadcast(images))
-    at = lambda k: F.when(k >= F.col("_images") - F.col("_n"), F.try_element_at("_s", (k - (F.col("_images") - F.col("_n")) + 1).cast("int"))).otherwise(0.0)
-    lower, upper = F.floor((F.col("_images") - 1) / 2), F.floor(F.col("_images") / 2)
-    each = each.select("bin", ((at(lower) + at(upper)) / 2).alias("share")).where("share > 0")
-    return each.select("bin", (F.col("share") / F.sum("share").over(Window.partitionBy(F.lit(0)))).alias("share"))  # a row a bin
+    each = hist.groupBy("bin", "share").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy("bin")
+    each = each.withColumns({"_all": F.sum("_c").over(w), "_upto": F.sum("_c").over(w.orderBy("share"))}).crossJoin(F.broadcast(images))  # one row
+    upto = F.col("_images") - F.col("_all") + F.col("_upto")
+    at = lambda r: F.coalesce(F.max(F.when((upto > r) & (upto - F.col("_c") <= r), F.col("share"))), F.lit(0.0))
+    out = each.groupBy("bin").agg(((at(F.floor((F.col("_images") - 1) / 2)) + at(F.floor(F.col("_images") / 2))) / 2).alias("share")).where("share > 0")
+    return out.select("bin", (F.col("share") / F.sum("share").over(Window.partitionBy(F.lit(0)))).alias("share"))  # a row a bin
 
 
 def hist_emd(hist: DataFrame, target: DataFrame, *image: str, bins: int = 256) -> DataFrame:

@@ -185,13 +185,13 @@ def q_hist(spark, sf_dir):
 
 
 def q_template(spark, sf_dir):
-    t = verdict.template(verdict.histogram(_bytes(spark, sf_dir), "v", "image_id"), "image_id", bins=16)
+    t = verdict.template(verdict.histogram(_bytes(spark, sf_dir), "v", "image_id"), "image_id")
     return t.select("bin", r6("share").alias("share"))
 
 
 def q_hist_emd(spark, sf_dir):
     h = verdict.histogram(_bytes(spark, sf_dir), "v", "image_id")
-    return verdict.hist_emd(h, verdict.template(h, "image_id", bins=16), "image_id", bins=16).select("image_id", r6("hist_emd").alias("hist_emd"))
+    return verdict.hist_emd(h, verdict.template(h, "image_id"), "image_id", bins=16).select("image_id", r6("hist_emd").alias("hist_emd"))
 
 
 RECALL = ["threshold", "recall", "fpr_actual"]

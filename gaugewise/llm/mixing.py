@@ -6,6 +6,8 @@ DataFrame functions only. Every step is a projection, a pre-aggregation, a windo
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,6 @@ REPEATS = 3
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Rounds of the permutations.
 ROUNDS = 24
-#: Documents that a bucket of a source holds on average; a bucket is sorted by one task.
-BUCKET_DOCS = 20_000
 
 
 def n_words(text: Column) -> Column:
@@ -67,10 +67,11 @@ def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
     Returns documents (doc_id, source, size, row, start: the place of its first word in the source's stream) and sources
     (source, source_size, blocks). A source's stream is its documents in order of a bucket by hash of id and text, and then of id; the
-    stream's positions are sums over buckets plus sums within a bucket, so that no task sorts a whole source.
+    stream's positions are sums over buckets plus sums within a bucket. With n documents in all there are about as many
+    buckets as one bucket has documents at most, the square root of n, so that no task sorts a whole source.
     """
     sized = written(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("mark"), F.monotonically_increasing_id().alias("row")), "mix-sizes")
-    buckets = F.lit(int(sized.count() // BUCKET_DOCS + 1))
+    buckets = F.lit(math.isqrt(sized.count()) + 1)
     sized = sized.withColumn("bucket", F.pmod(F.col("mark"), buckets))
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     in_order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,6 +114,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     shares = written(shares.select("source", "source_size", "target", "blocks", uses.alias("uses")), "mix-shares")
     slots = drawn(df.sparkSession, shares, seed)
     times = slots.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.count("*").alias("times"))
+    times = written(times, "mix-times")  # a row a block: Spark would take it for as small as the table of sources that it comes from
     spans = documents.where("size > 0").select("row", "source", "start", (F.col("start") + F.col("size")).alias("end"))
     spans = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))))
     spans = spans.withColumn("words", F.least("end", (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block))
@@ -126,7 +128,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
     """df's rows as often as the mix takes them, whole: taken / size times, rounded up or down by a hash of the id so that sums hold.
 
-    Rows without words are left out: the mix takes no words of theirs. The columns are those of df.
+    Rows without words are left out: the mix takes no words of theirs. The columns are those of df, which must read
+    alike twice, as files do. All else is as in mix().
     """
     row, copies = fresh(df, "row"), fresh(df, "copies")
     _, documents = mix(df, id_col, text_col, source_col, seed)

@@ -144,8 +144,10 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int = 64) -> np.n
     at = np.arange(len(a))
     for off in range(0, most, 8):
         x = w[a[at] + off] ^ w[b[at] + off]
-        same = 8 - (np.floor(np.log2(np.maximum(x >> np.uint64(0), np.uint64(1)).astype(np.float64) * (1 + 1e-12))).astype(np.int64) // 8 + 1)
-        out[at] += np.where(x == 0, 8, np.maximum(same, 0))
+        same = np.zeros(len(x), np.int8)
+        for k in range(8):  # leading bytes that agree
+            same += x < np.uint64(1 << 8 * k)
+        out[at] += same
         at = at[x == 0]
         if not len(at):
             break
@@ -301,39 +303,44 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         order = np.argsort(h, kind="stable")
         heads = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1], [True])))
         filled = np.cumsum(size[order])
-        answer = [None] * len(h)
-        a = 0
+        runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # first window, windows, least document, of all distinct surroundings
+        first_run, n_runs, lowest = (np.zeros(len(h), np.int64) for _ in range(3))
+        so_far = a = 0
         while a < len(heads) - 1:  # whole hashes, about SORTED bytes together
             start = filled[heads[a] - 1] if heads[a] else 0
             b = max(a + 1, int(np.searchsorted(filled[heads[1:] - 1], start + SORTED, "right")))
             at = order[heads[a] : heads[b]]
             own: dict[bytes, int] = {}
-            number = np.array([own.setdefault(raw[which[i]][end_in[i] - size[i] : end_in[i]], len(own)) for i in at.tolist()])
+            ends = end_in[at]
+            number = np.array([own.setdefault(raw[w][s:e], len(own)) for w, s, e in zip(which[at].tolist(), (ends - size[at]).tolist(), ends.tolist())])
             least = np.full(len(own), np.iinfo(np.int64).max)
             np.minimum.at(least, number, doc[at])
             windows = np.zeros(len(own), np.int64)
             windows[number] = win[at]
-            found = np.split(least_owners(list(own), windows, least), np.cumsum(windows)[:-1])
-            for i, k in zip(at.tolist(), number.tolist()):
-                answer[i] = found[k]
+            found = least_owners(list(own), windows, least)
+            begin = np.cumsum(windows) - windows
+            new = np.ones(len(found), bool)
+            new[1:] = found[1:] != found[:-1]
+            new[begin] = True
+            place = np.flatnonzero(new)
+            of = np.searchsorted(begin, place, "right") - 1
+            runs.append((place - begin[of], np.diff(np.append(place, len(found))), found[place]))
+            each = np.bincount(of, minlength=len(own))
+            first_run[at], n_runs[at] = (so_far + np.cumsum(each) - each)[number], each[number]
+            lowest[at] = np.minimum.reduceat(found, begin)[number]
+            so_far += len(place)
             a = b
+        run_first, run_windows, run_least = (np.concatenate(x) for x in zip(*runs))
         rows, base = [], 0
-        for r, (block, t, p) in enumerate(zip(sent.column("block").to_pylist(), times, places)):
-            ends = np.cumsum(t)
-            start, length, least = [], [], []
-            for i in range(len(t)):
-                own = answer[base + i]
-                at = p[ends[i] - t[i] : ends[i]]
-                if t[i] == 1 and own.min() == doc[base + i]:
-                    continue  # there is none before it
-                cut = np.flatnonzero(own[1:] != own[:-1]) + 1
-                s, e = np.concatenate(([0], cut)), np.concatenate((cut, [len(own)]))
-                start.append((at[:, None] + s).ravel())
-                length.append(np.tile(e - s, len(at)))
-                least.append(np.tile(own[s], len(at)))
+        for block, t, p in zip(sent.column("block").to_pylist(), times, places):
+            i = np.repeat(np.arange(base, base + len(t)), t)
+            told = np.repeat((t > 1) | (lowest[base : base + len(t)] != doc[base : base + len(t)]), t)  # else there is none before it
+            i, p = i[told], p[told].astype(np.int64)
             base += len(t)
-            if start:
-                rows.append((block, np.concatenate(start).astype(np.uint32).tobytes(), np.concatenate(length).astype(np.uint8).tobytes(), np.concatenate(least).tobytes()))
+            if len(i):
+                n_each = n_runs[i]
+                run = np.arange(n_each.sum()) - np.repeat(np.cumsum(n_each) - n_each, n_each) + np.repeat(first_run[i], n_each)
+                rows.append((block, (np.repeat(p, n_each) + run_first[run]).astype(np.uint32).tobytes(), run_windows[run].astype(np.uint8).tobytes(), run_least[run].tobytes()))
         return _batch(["block", "start", "windows", "least"], rows, [pa.int64(), pa.binary(), pa.binary(), pa.binary()])
 
     more = (("spans", "array<struct<start:long,end:long>>"), ("kept", "binary")) * with_text

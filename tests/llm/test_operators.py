@@ -289,6 +289,14 @@ def test_chain_is_the_best_one():
         assert worth(chains[0]) == pytest.approx(best.max())
 
 
+def test_second_passage_after_a_long_one():
+    """A near predecessor is taken where the best one is too far away."""
+    first = np.arange(0, 200, 5)
+    second = np.arange(300, 360, 5)
+    chains = chaining.best_chains(np.concatenate((first, second)), np.concatenate((first, second)))
+    assert sorted(map(len, chains)) == [len(second), len(first)]
+
+
 # 2
 
 

@@ -297,6 +297,22 @@ def test_second_passage_after_a_long_one():
     assert sorted(map(len, chains)) == [len(second), len(first)]
 
 
+def linked(spark, rows):
+    return {r.doc_id: r for r in chaining.linked_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+
+
+def test_fuzzy_passages_at_the_rule(spark):
+    """Sixty words with every sixth, seventh or eighth changed: 83 to 88 % are equal."""
+    rows, n = [], 0
+    for every in (6, 7, 8):
+        for k in range(10):
+            base, n = words(60, 5000 + n).split(), n + 1
+            own = [("zz" + w if i % every == every - 1 else w) for i, w in enumerate(base)]
+            rows += [(2 * n, f"{words(50, 6000 + n)} {' '.join(base)} {words(50, 7000 + n)}"), (2 * n + 1, f"{words(50, 8000 + n)} {' '.join(own)} {words(50, 9000 + n)}")]
+    got = linked(spark, rows)
+    assert all(got[i].class_id == i // 2 * 2 for i in got)
+
+
 # 2
 
 

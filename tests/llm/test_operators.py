@@ -301,6 +301,17 @@ def linked(spark, rows):
     return {r.doc_id: r for r in chaining.linked_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
 
 
+def test_parts_first_seen_elsewhere(spark):
+    """A passage is found though its parts have other first owners, each of them too short for a passage."""
+    passage = words(60, 900).split()
+    own = lambda k: words(50, 910 + k)
+    parts = [(1, f"{own(1)} {' '.join(passage[:28])} {own(2)}"), (2, f"{own(3)} {' '.join(passage[26:])} {own(4)}")]
+    rows = parts + [(k, f"{own(2 * k)} {' '.join(passage)} {own(2 * k + 1)}") for k in range(3, 9)]
+    got = linked(spark, rows)
+    assert [got[k].class_id for k in range(1, 9)] == [1, 2] + [3] * 6
+    assert all(any(p.columns >= 60 for p in got[k].passages) for k in range(4, 9))
+
+
 def test_fuzzy_passages_at_the_rule(spark):
     """Sixty words with every sixth, seventh or eighth changed: 83 to 88 % are equal."""
     rows, n = [], 0

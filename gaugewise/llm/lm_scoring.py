@@ -6,7 +6,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewise.llm.byte_bpe import TOKENIZERS_DIR
 from gaugewise.llm.common import arrow_of, crc_mod, passes, schema_of, text_bytes, written
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -23,18 +22,16 @@ VOCABULARY = "piece_bpe_32k.model"
 FREQUENT = 100_000
 #: Distinct words that a worker counts before it passes the counts on.
 COUNTED = 600_000
-#: What every piece is counted beyond its occurrences.
-PRIOR = 0.02
+#: How many pieces the vocabulary's own weights are worth beside those that are counted, on either side of a word's first piece.
+PRIOR = 100.0
 #: Rounds in which the pieces' weights are re-estimated from all segmentations.
-ROUNDS = 2
-#: Pieces of up to so many bytes are used.
-LONGEST = 16
-#: The most kinds of text that the model tells apart; the rarer ones are one.
-KINDS = 8
+ROUNDS = 4
+#: The share of words' ends among what goes on a word, before re-estimation.
+ENDS = 0.4
 #: How much of the mass left for words new to a kind of text goes to words known from others.
 SHARED = 0.2
 #: Bytes of words that are segmented at a time.
-AT_ONCE = 60_000
+AT_ONCE = 300_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -42,68 +39,110 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def vocabulary(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+class Edges:
+    """The pieces at all places of many words.
+
+    Nodes are numbered place by place: first the words' beginnings, then the nodes after one byte, and so on; within a
+    place the longer words come first, so that the words which reach it are the first ones. The last node is where
+    pieces that begin a word start from. Edges (piece, start, end) are in order of `end`.
+    """
+
+    def __init__(self, known: Pieces, words: list[bytes]):
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        self.order = np.argsort(-size, kind="stable")
+        size = size[self.order]
+        n = len(words)
+        raw = np.frombuffer(b"".join([words[i] for i in self.order.tolist()]), np.uint8)
+        longest = int(size[0]) if n else 0
+        reach = np.searchsorted(-size, -np.arange(longest), "left")  # words longer than each place
+        base = np.concatenate(([0], np.cumsum(reach)))
+        place = np.repeat(np.arange(longest), reach)
+        word = np.arange(len(place)) - base[place]
+        chars = raw[(np.cumsum(size) - size)[word] + place]
+        self.bounds = n + base  # the nodes after j bytes are bounds[j-1]:bounds[j]
+        self.last = np.where(size > 0, self.bounds[np.maximum(size - 1, 0)] + np.arange(n), np.arange(n))
+        self.none = n + len(chars)
+        start = np.where(place > 0, n + base[np.maximum(place - 1, 0)] + word, word)
+        pieces, starts, ends = [], [], []
+        live, node, step = np.arange(len(chars)), known.next[0, chars], 1
+        while len(live):
+            end = n + base[place[live] + step - 1] + word[live]
+            goes_on = known.later_at[node]
+            at = np.flatnonzero(goes_on >= 0)
+            pieces.append(goes_on[at] + len(known.first))
+            starts.append(start[live[at]])
+            ends.append(end[at])
+            at = np.flatnonzero((known.first_at[node] >= 0) & (place[live] == 0))
+            pieces.append(known.first_at[node[at]])
+            starts.append(np.full(len(at), self.none))
+            ends.append(end[at])
+            more = np.flatnonzero((known.deeper[node]) & (place[live] + step < size[word[live]]))
+            live = live[more]
+            node = known.next[node[more], chars[base[place[live] + step] + word[live]]]
+            at = np.flatnonzero(node >= 0)
+            live, node, step = live[at], node[at], step + 1
+        self.piece, self.start, self.end = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (pieces, starts, ends))
+        by_end = np.argsort(self.end, kind="stable")
+        self.piece, self.start, self.end = self.piece[by_end], self.start[by_end], self.end[by_end]
+        self.n = n
+
+
 class Pieces:
     """The pieces of an existing vocabulary: those that begin a word (the empty one too), and those that go on.
 
     Every single byte can go on a word, so that every word has a segmentation. The last id that goes on is the end of
-    the word. A trie finds the pieces at all places of many words at once.
+    the word. A trie finds the pieces at all places of many words at once. Texts are lower-cased in A-Z, so pieces with
+    such letters are left out; all others are in.
     """
 
     def __init__(self, path: str):
         import sentencepiece
 
-        sp = self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
         first, later = {b"": 0}, {bytes([b]): b for b in range(256)}
+        scores: list[dict[int, float]] = [{}, {}]
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
-            if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or piece.lower() != piece or len(piece.encode()) > LONGEST:
+            if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or any("A" <= c <= "Z" for c in piece):
                 continue
             if piece.startswith("▁") and "▁" not in piece[1:]:
-                first.setdefault(piece[1:].encode(), len(first))
+                scores[0][first.setdefault(piece[1:].encode(), len(first))] = sp.get_score(i)
             elif "▁" not in piece:
-                later.setdefault(piece.encode(), len(later))
+                scores[1][later.setdefault(piece.encode(), len(later))] = sp.get_score(i)
         self.first, self.later, self.end = first, later, len(later)
+        self.begin = self._weights(scores[0], len(first)), self._weights(scores[1], len(later) + 1)
+        self.begin[1][self.end] = ENDS / (1 - ENDS) * self.begin[1].sum()
+        self.begin = tuple(x / x.sum() for x in self.begin)
         nodes: dict[bytes, int] = {b"": 0}
         for piece in [*first, *later]:
             for i in range(1, len(piece) + 1):
                 nodes.setdefault(piece[:i], len(nodes))
-        dead = len(nodes)
-        self.next = np.full((dead + 1, 256), dead, np.int32)
+        self.next = np.full((len(nodes), 256), -1, np.int32)
+        self.first_at, self.later_at = np.full(len(nodes), -1, np.int64), np.full(len(nodes), -1, np.int64)
         for piece, node in nodes.items():
             if piece:
                 self.next[nodes[piece[:-1]], piece[-1]] = node
-        self.first_at = np.full(dead + 1, len(first), np.int32)
-        self.later_at = np.full(dead + 1, self.end + 1, np.int32)
+        self.deeper = (self.next >= 0).any(axis=1)
         for piece, i in first.items():
-            self.first_at[nodes[piece]] = i
+            if piece:
+                self.first_at[nodes[piece]] = i
         for piece, i in later.items():
             self.later_at[nodes[piece]] = i
 
-    def counted(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """How often each piece is used when the vocabulary's own merges segment the words."""
-        a, b = np.zeros(len(self.first)), np.zeros(self.end + 1)
-        for word in self.sp.encode([w.decode("utf-8", "replace") for w in words], out_type=str, num_threads=1):
-            b[self.end] += 1
-            if word and not word[0].startswith("▁"):
-                a[0] += 1
-            for piece in word:
-                if piece.startswith("▁"):
-                    if (i := self.first.get(piece[1:].encode())) is not None:
-                        a[i] += 1
-                elif (i := self.later.get(bytes([int(piece[3:5], 16)]) if len(piece) == 6 and piece.startswith("<0x") else piece.encode())) is not None:
-                    b[i] += 1
-        return a, b
-
-    def found(self, words: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """words: one a row, all of one length. By length less one: the ids of the pieces that go on at each place, and of those that begin."""
-        later, first = [], []
-        node = np.zeros(words.shape, np.int32)
-        for n in range(min(LONGEST, words.shape[1])):
-            width = words.shape[1] - n
-            node = self.next[node[:, :width], words[:, n:]]
-            later.append(self.later_at[node])
-            first.append(self.first_at[node[:, 0]])
-        return later, first
+    @staticmethod
+    def _weights(scores: dict[int, float], n: int) -> np.ndarray:
+        """Weights before re-estimation: from log probabilities, or, if the scores are merge ranks below zero, by Zipf's law."""
+        out = np.full(n, 1e-5)
+        logs = min(scores.values(), default=0.0) > -50
+        for i, score in scores.items():
+            out[i] = math.exp(score) if logs else 1 / (2 - score)
+        return out
 
 
 @lru_cache(1)
@@ -116,112 +155,136 @@ class Lattice:
 
     def __init__(self, known: Pieces, first: np.ndarray, later: np.ndarray):
         """first, later: weights of pieces, by piece and kind."""
-        none = np.full((1, first.shape[1]), -np.inf)
         self.known = known
-        self.first = np.vstack((np.log(first / first.sum(axis=0)), none))
-        self.later = np.vstack((np.log(later / later.sum(axis=0)), none))
+        self.log = np.log(np.vstack((first / first.sum(axis=0), later / later.sum(axis=0))))
 
     @classmethod
-    def of(cls, known: Pieces, first: np.ndarray, later: np.ndarray) -> Lattice:
-        """From log weights that are ready."""
+    def of(cls, known: Pieces, log: np.ndarray) -> Lattice:
+        """From log weights that are ready: the pieces that begin a word, then those that go on."""
         out = cls.__new__(cls)
-        out.known, out.first, out.later = known, first, later
+        out.known, out.log = known, log
         return out
 
+    @property
+    def end(self) -> np.ndarray:
+        return self.log[len(self.known.first) + self.known.end]
+
     @staticmethod
-    def _sum(terms: list[np.ndarray]) -> np.ndarray:
-        t = np.stack(terms)
-        top = t.max(axis=0)
-        return top + np.log(np.exp(t - top).sum(axis=0))
-
-    def _forward(self, later: list[np.ndarray], first: list[np.ndarray], n: int, length: int) -> list[np.ndarray]:
-        alpha = [np.broadcast_to(self.first[0], (n, self.first.shape[1]))]
-        for j in range(1, length + 1):
-            terms = [alpha[j - k - 1] + self.later[later[k][:, j - k - 1]] for k in range(min(j, LONGEST)) if k == 0 or (later[k][:, j - k - 1] <= self.known.end).any()]
-            if j <= LONGEST:
-                terms.append(self.first[first[j - 1]])
-            alpha.append(self._sum(terms))
+    def _sums(terms: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log sums over runs of terms that begin at `at`."""
+        top = np.maximum.reduceat(terms, at)
+        return top + np.log(np.add.reduceat(np.exp(terms - np.repeat(top, np.diff(np.append(at, len(terms))), axis=0)), at))
+
+    def _forward(self, edges: Edges) -> np.ndarray:
+        """By node: the log sum over all ways to get there."""
+        alpha = np.empty((edges.none + 1, self.log.shape[1]), self.log.dtype)
+        alpha[: edges.n], alpha[edges.none] = self.log[0], 0.0
+        heads = np.flatnonzero(np.concatenate(([True], edges.end[1:] != edges.end[:-1]))) if len(edges.end) else np.empty(0, np.int64)
+        cuts = np.append(heads, len(edges.end))[np.append(edges.bounds - edges.n, 0)[: len(edges.bounds)]] if len(heads) else [0]
+        for j in range(1, len(edges.bounds)):
+            lo, hi = cuts[j - 1], cuts[j]
+            nodes = slice(edges.bounds[j - 1], edges.bounds[j])
+            alpha[nodes] = self._sums(alpha[edges.start[lo:hi]] + self.log[edges.piece[lo:hi]], heads[edges.bounds[j - 1] - edges.n : edges.bounds[j] - edges.n] - lo)
         return alpha
 
     @staticmethod
-    def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(sizes, kind="stable")
-        for same in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(order) else []:
-            length = int(sizes[same[0]])
-            step = max(1, AT_ONCE // max(length, 1))
-            for s in range(0, len(same), step):
-                at = same[s : s + step]
-                yield at, np.frombuffer(b"".join([words[i] for i in at]), np.uint8).reshape(len(at), length)
-
-    def log(self, words: list[bytes]) -> np.ndarray:
-        """The natural logarithm of each word's probability in each kind."""
-        out = np.empty((len(words), self.first.shape[1]))
-        for at, raw in self._by_length(words):
-            out[at] = self._forward(*self.known.found(raw), *raw.shape)[-1] + self.later[self.known.end]
+    def _batches(words: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+        size = np.cumsum([len(w) for w in words])
+        cut = np.flatnonzero(np.diff(size // AT_ONCE, prepend=0)) if len(words) else []
+        for at in np.split(np.arange(len(words)), cut):
+            if len(at):
+                yield at, [words[i] for i in at.tolist()]
+
+    def log_p(self, words: list[bytes], whole: np.ndarray | None = None) -> np.ndarray:
+        """The natural logarithm of each word's probability in each kind; whole: log weights of the words as pieces of their own, which end where the word does."""
+        out = np.empty((len(words), self.log.shape[1]))
+        for at, batch in self._batches(words):
+            edges = Edges(self.known, batch)
+            total = self._forward(edges)[edges.last] + self.end
+            out[at[edges.order]] = total if whole is None else np.logaddexp(total, whole[at[edges.order]])
         return out
 
-    def only(self, kind: int) -> Lattice:
-        """The lattice of one kind."""
-        return Lattice.of(self.known, self.first[:, [kind]], self.later[:, [kind]])
-
-    def expected(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """How often each piece is used over all segmentations of the words, in a lattice of one kind."""
-        known = self.known
-        a, b = np.zeros(len(self.first)), np.zeros(len(self.later))
-        for _, raw in self._by_length(words):
-            n, length = raw.shape
-            later, first = known.found(raw)
-            alpha = self._forward(later, first, n, length)
-            beta: list[np.ndarray] = [None] * length + [np.broadcast_to(self.later[known.end], (n, 1))]
-            for i in range(length - 1, -1, -1):
-                beta[i] = self._sum([beta[i + k + 1] + self.later[later[k][:, i]] for k in range(min(length - i, LONGEST)) if k == 0 or (later[k][:, i] <= known.end).any()])
-            whole = -alpha[-1] - self.later[known.end]
-            ids, logs = [], []
-            for k in range(min(length, LONGEST)):
-                for i in range(length - k):
-                    at = np.flatnonzero(later[k][:, i] <= known.end)
-                    if len(at):
-                        ids.append(later[k][at, i])
-                        logs.append((alpha[i][at] + self.later[ids[-1]] + beta[i + k + 1][at] + whole[at])[:, 0])
-            if ids:
-                b += np.bincount(np.concatenate(ids), np.exp(np.concatenate(logs)), len(b))
-            for k in range(min(length, LONGEST)):
-                a += np.bincount(first[k], np.exp(self.first[first[k]] + beta[k + 1] + whole)[:, 0], len(a))
-            a[0] += np.exp(self.first[0] + beta[0] + whole).sum()
-            b[known.end] += n
-        return a[:-1], b[:-1]
-
-
-def _summed(words: DataFrame, kinds: int, path: str, lattice: Lattice | None) -> tuple[np.ndarray, np.ndarray]:
-    """The pieces' counts over all distinct words (word, c by kind), by kind. The driver gets a number a piece and kind."""
-    size = None if lattice is None else (lattice.first, lattice.later)
+    def expected(self, words: list[bytes], kind: int = 0) -> np.ndarray:
+        """How often each piece is used over all segmentations of the words, in one kind."""
+        own = Lattice.of(self.known, np.ascontiguousarray(self.log[:, [kind]], np.float32))
+        known, n = self.known, np.zeros(len(self.log))
+        for _, batch in self._batches(words):
+            edges = Edges(known, batch)
+            alpha = own._forward(edges)[:, 0]
+            beta = np.empty(edges.none + 1, np.float32)
+            beta[edges.last] = own.end[0]
+            goes_on = np.flatnonzero(edges.start != edges.none)
+            goes_on = goes_on[np.argsort(edges.start[goes_on], kind="stable")]
+            start, end, piece = edges.start[goes_on], edges.end[goes_on], edges.piece[goes_on]
+            heads = np.flatnonzero(np.concatenate(([True], start[1:] != start[:-1]))) if len(start) else np.empty(0, np.int64)
+            nodes = start[heads]
+            places = np.append(np.searchsorted(nodes, np.append(0, edges.bounds)), len(nodes)) if len(heads) else np.zeros(len(edges.bounds) + 2, np.int64)
+            ends = np.append(heads, len(start))
+            for j in range(len(edges.bounds) - 2, -1, -1):
+                a, b = places[j], places[j + 1]
+                if b > a:
+                    lo, hi = ends[a], ends[b]
+                    beta[nodes[a:b]] = self._sums(beta[end[lo:hi]] + own.log[piece[lo:hi], 0], heads[a:b] - lo)
+            total = alpha[edges.last] + own.end[0]
+            word = np.arange(edges.none)
+            word = np.where(word < edges.n, word, word - (edges.bounds[np.searchsorted(edges.bounds, word, "right") - 1]))
+            n += np.bincount(edges.piece, np.exp(alpha[edges.start] + own.log[edges.piece, 0] + beta[edges.end] - total[word[edges.end]]), len(n))
+            n[0] += np.exp(own.log[0, 0] + beta[: edges.n] - total).sum()
+            n[len(known.first) + known.end] += edges.n
+        return n
+
+
+def _summed(words: DataFrame, kinds: int, path: str, log: np.ndarray) -> np.ndarray:
+    """The pieces' expected counts over all distinct words (word, c by kind), by piece and kind. The driver gets a number a piece and kind."""
+    shared = words.sparkSession.sparkContext.broadcast(log)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pieces(path)
-        own = size and [Lattice.of(known, *size).only(k) for k in range(kinds)]
-        a, b = np.zeros((len(known.first), kinds)), np.zeros((known.end + 1, kinds))
+        own = Lattice.of(pieces(path), shared.value)
+        n = np.zeros(own.log.shape)
         for batch in batches:
             words = batch.column("word").to_pylist()
-            if own is None:
-                x, y = known.counted(words)
-                a += x[:, None]
-                b += y[:, None]
-                continue
             seen = batch.column("c").flatten().to_numpy().reshape(len(words), kinds) > 0
-            for k in np.flatnonzero(seen.any(axis=0)):
-                x, y = own[k].expected([words[i] for i in np.flatnonzero(seen[:, k])])
-                a[:, k] += x
-                b[:, k] += y
-        both = np.vstack((a, b))
-        at, kind = np.nonzero(both)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(kind.astype(np.int32)), pa.array(both[at, kind])], ["at", "kind", "n"])
+            for k in np.flatnonzero(seen.any(axis=0)).tolist():
+                n[:, k] += own.expected([words[i] for i in np.flatnonzero(seen[:, k]).tolist()], k)
+        at, kind = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(kind.astype(np.int32)), pa.array(n[at, kind])], ["at", "kind", "n"])
 
-    known = pieces(path)
     got = words.mapInArrow(run, "at int, kind int, n double").groupBy("at", "kind").agg(F.sum("n").alias("n")).toArrow()
-    both = np.zeros((len(known.first) + known.end + 1, kinds))
-    both[got.column("at").to_numpy(), got.column("kind").to_numpy()] = got.column("n").to_numpy()
-    return both[: len(known.first)], both[len(known.first) :]
+    out = np.zeros(log.shape)
+    out[got.column("at").to_numpy(), got.column("kind").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+class Model:
+    """The lattice of each kind of text, with the training words as further pieces of it.
+
+    In a kind, a token is the text's end (by the number of texts), or a word. A word is drawn as one piece, which its
+    training count there less a discount weighs, or out of what the discounts leave: as one piece that the counts of
+    other kinds weigh (SHARED of it), or by the pieces of the vocabulary. One recursion sums all of these. A kind
+    without training words has the lattice alone.
+    """
+
+    def __init__(self, path: str, log: np.ndarray, words: np.ndarray, distinct: np.ndarray, once: np.ndarray, twice: np.ndarray, texts: np.ndarray):
+        """Numbers by kind: words, distinct words, those that occur once and twice, and texts in training."""
+        self.path, self.log, self.words, self.texts = path, log, words, texts
+        self.end = (texts + 0.5) / (words + texts + 1)
+        self.discount = (once + 0.5) / (once + 2 * twice + 1)
+        self.left = np.where(words > 0, self.discount * distinct / np.maximum(words, 1), 1.0)
+        self.shared = SHARED if words.sum() else 0.0
+        self.prior = (texts + 0.1) / (texts + 0.1).sum()
+
+    def whole(self, counts: np.ndarray) -> np.ndarray:
+        """Log weights of words as pieces, from their counts by kind."""
+        seen = np.maximum(counts - self.discount, 0) / np.maximum(self.words, 1)
+        with np.errstate(divide="ignore"):
+            return np.log((1 - self.end) * (seen + self.left * self.shared * counts.sum(axis=1, keepdims=True) / max(self.words.sum(), 1)))
+
+    def log10_p(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """The log10 probability of each word in each kind."""
+        known = pieces(self.path)
+        log = self.log.copy()
+        log[: len(known.first)] += np.log((1 - self.end) * self.left * (1 - self.shared))
+        return Lattice.of(known, log).log_p(words, self.whole(counts)) / math.log(10)
 
 
 def _counted(texts: DataFrame) -> DataFrame:
@@ -247,79 +310,70 @@ def _counted(texts: DataFrame) -> DataFrame:
     return texts.select("held_out", "kind", "text").mapInArrow(run, "word binary, kind int, n long")
 
 
+def train(base: DataFrame, names: list[str], path: str) -> tuple[Model, DataFrame, int, int]:
+    """From base (held_out, kind: an index of names, text): the model, all words with their counts (word, c by kind), tokens, distinct tokens."""
+    kinds = len(names)
+    c = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)) for k in range(kinds)]
+    words = written(_counted(base).groupBy("word").agg(F.array(*c).alias("c")), "lm-words")
+    texts = np.zeros(kinds)
+    for r in base.where(~F.col("held_out")).groupBy("kind").count().collect():
+        texts[r.kind] = r["count"]
+    each = words.select(F.posexplode("c").alias("kind", "n")).where("n > 0").groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two"))
+    stats = np.zeros((4, kinds))
+    for r in each.collect():
+        stats[:, r.kind] = r.n, r.v, r.one, r.two
+    training = words.where(F.exists("c", lambda n: n > 0))
+    known = pieces(path)
+    log = Lattice(known, *(np.repeat(x[:, None], kinds, axis=1) for x in known.begin)).log
+    for _ in range(ROUNDS):
+        n = _summed(training, kinds, path, log) + PRIOR * np.concatenate(known.begin)[:, None]
+        log = Lattice(known, n[: len(known.first)], n[len(known.first) :]).log
+    ends = int(texts.sum())
+    return Model(path, log, *stats, texts), words, int(stats[0].sum()) + ends, training.count() + (ends > 0)
+
+
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind_col: str | None = "lang", holdout: int = 10, path: str | None = None) -> DataFrame:
     """One row per row of df: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows whose crc32 of the id as text is not divisible by `holdout`. Tokens are lower-cased words and
     one end. score is the log10 probability of the text: a sum over kinds of text, each weighed by its share of the
-    training texts. In a kind a word has its training count there less a discount; the mass so left goes to words
-    known from other kinds, and to the marginal probability of the word's lattice. The lattice is over the pieces of
-    an existing vocabulary; their weights are re-estimated from all segmentations of the distinct training words, and
-    single bytes reach every word. kind_col names the kinds of training texts and is not an input of a score; None is
-    one kind. Null and empty texts are one end. With nothing to learn from, words are left to the lattice. Repeated
-    rows get equal results; an empty table gives an empty one.
+    training texts, of the product over tokens of their marginal probabilities, each summed over all segmentations of
+    the word by the forward recursion (see Model). Pieces are those of an existing vocabulary, re-estimated from all
+    segmentations of the distinct training words of a kind, and the training words. kind_col names the kinds of
+    training texts (null is one) and is not an input of a score; None is one kind. It must be a column of few values,
+    such as languages: the driver holds a number a piece and kind.
+
+    Null and empty texts are one end. With nothing to learn from, words are left to the lattice. Very long words and
+    texts are taken whole. Repeated rows get equal results; other columns of df are not looked at; an empty table gives
+    an empty one.
 
     A text's frequent words are summed where the text is read; of its rarer words only the words go to their
     probabilities, by a shuffle, and come back as sums. The driver gets sums, a number a piece and kind, and the
     FREQUENT most frequent words.
     """
-    path = path or f"{TOKENIZERS_DIR}/{VOCABULARY}"
+    path = path or vocabulary()
     kind_of = F.coalesce(F.col(kind_col).cast("string"), F.lit("")) if kind_col else F.lit("")
     held = crc_mod(F.col(id_col), holdout) == 0
-    names = [r.kind for r in df.where(~held).groupBy(kind_of.alias("kind")).count().orderBy(F.desc("count"), "kind").limit(KINDS - 1).select("kind").collect()]
-    kinds = len(names) + 1
-    kind = F.coalesce(F.array_position(F.array(*map(F.lit, names)), kind_of) - 1, F.lit(-1)).cast("int") if names else F.lit(-1)
-    kind = F.when(kind < 0, kinds - 1).otherwise(kind).cast("int")
+    names = sorted(r.kind for r in df.where(~held).select(kind_of.alias("kind")).distinct().collect()) or [""]
+    kinds = len(names)
+    kind = F.coalesce(F.array_position(F.array(*map(F.lit, names)), kind_of) - 1, F.lit(0)).cast("int")  # of held-out texts it is not looked at
     base = df.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), kind.alias("kind"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    c = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(kinds)]
-    words = written(_counted(base).groupBy("word").agg(*c).select("word", F.array(*[f"c{k}" for k in range(kinds)]).alias("c")), "lm-words")
-    docs = np.zeros(kinds)
-    for r in base.where(~F.col("held_out")).groupBy("kind").count().collect():
-        docs[r.kind] = r["count"]
-    of = lambda k: F.col("c")[k]
-    total_of = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x)
-    sums = words.agg(
-        F.count_if(total_of > 0).alias("v"),
-        *[x.alias(f"{name}{k}") for k in range(kinds) for name, x in (("n", F.sum(of(k))), ("v", F.count_if(of(k) > 0)), ("one", F.count_if(of(k) == 1)), ("two", F.count_if(of(k) == 2)))],
-    ).first()
-    each = {name: np.array([float(sums[f"{name}{k}"] or 0) for k in range(kinds)]) for name in ("n", "v", "one", "two")}
-    words_n = int(each["n"].sum())
-    ends = int(docs.sum())
-    n, v = words_n + ends, sums.v + (ends > 0)
-    discount = (each["one"] + 0.5) / (each["one"] + 2 * each["two"] + 1)
-    tokens = each["n"] + docs
-    left = np.where(tokens > 0, discount * each["v"] / np.maximum(tokens, 1), 1.0)
-    left = np.where(left > 0, left, 1.0 / (tokens + 2))
-    shared = SHARED if words_n else 0.0
-    known = pieces(path)
-    training = words.where(total_of > 0)
-    first, later = _summed(training, kinds, path, None)
-    lattice = Lattice(known, first + PRIOR, later + PRIOR)
-    for _ in range(ROUNDS):
-        first, later = _summed(training, kinds, path, lattice)
-        lattice = Lattice(known, first + PRIOR, later + PRIOR)
-    weights = lattice.first, lattice.later
-
+    model, words, n, v = train(base, names, path)
+    shared = df.sparkSession.sparkContext.broadcast(model)
     smoothed = n + 0.1 * (v + 1)
     columns = [f"p{k}" for k in range(kinds)]
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Lattice.of(pieces(path), *weights)
         for batch in batches:
             c = batch.column("c").flatten().to_numpy().reshape(len(batch), kinds)
-            total = c.sum(axis=1)
-            seen = np.maximum(c - discount, 0) / np.maximum(tokens, 1) + left * shared * total[:, None] / max(words_n, 1)
-            with np.errstate(divide="ignore"):
-                p = np.logaddexp(np.log(seen), own.log(batch.column("word").to_pylist()) + np.log(left * (1 - shared))) / math.log(10)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(total), *map(pa.array, p.T.copy())], ["word", "c", *columns])
+            p = shared.value.log10_p(batch.column("word").to_pylist(), c)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(c.sum(axis=1)), *map(pa.array, p.T.copy())], ["word", "c", *columns])
 
     weighed = written(words.mapInArrow(weigh, "word binary, c long, " + ", ".join(f"{x} double" for x in columns)), "lm-weighed")
     steps = weighed.where("c > 0").groupBy(F.floor(F.log("c") * 20).alias("step")).count().orderBy(F.desc("step")).collect()
     enough = [s.step for s, so_far in zip(steps, accumulate(s["count"] for s in steps)) if so_far <= FREQUENT]
     top = weighed.where((F.col("c") > 0) & (F.floor(F.log("c") * 20) >= min(enough, default=1 << 30))).toArrow()
-    end_p = np.log10((docs + 0.5) / (tokens + 1))
-    common = df.sparkSession.sparkContext.broadcast((top.column("word").to_pylist(), np.append(top.column("c").to_numpy(), ends), np.vstack([np.column_stack([top.column(x).to_numpy() for x in columns]), end_p])))
-    prior = np.log10((docs + 0.1) / (docs.sum() + 0.1 * kinds))
+    common = df.sparkSession.sparkContext.broadcast((top.column("word").to_pylist(), np.append(top.column("c").to_numpy(), int(model.texts.sum())), np.vstack([np.column_stack([top.column(x).to_numpy() for x in columns]), np.log10(model.end)])))
     summed = ["n_known", "base", *columns]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,27 +381,35 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind_co
         top, c, p = common.value
         place = {w: i for i, w in enumerate(top)}
         values = np.column_stack(((c > 0).astype(float), np.log10((c + 0.1) / smoothed), p))
+        values = np.vstack((values, np.zeros((1, values.shape[1]))))  # the last row is of words that are not here
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in passes(batch):
-                counts, sums, rare, rare_n, rare_row = [], [], [], [], []
-                for text in text_bytes(part.column("text")):
-                    tokens = words_of(text)
-                    at = np.array([place.get(w, -1) for w in tokens] + [len(top)])
-                    counts.append(len(at))
-                    sums.append(values[at[at >= 0]].sum(axis=0))
-                    others = Counter([tokens[i] for i in np.flatnonzero(at < 0)])
-                    rare += others.keys()
-                    rare_n += others.values()
-                    rare_row.append(np.full(len(others), row))
-                    row += 1
+                tokens, starts, rare, rare_n, rare_row = [], [], [], [], []
+                each = [words_of(t) for t in text_bytes(part.column("text"))]
+                counts = np.array([len(x) + 1 for x in each], np.int64)
+                for x in each:
+                    starts.append(len(tokens))
+                    tokens += x
+                    tokens.append(None)  # the end
+                at = np.fromiter(map(place.get, tokens, repeat(-1)), np.int64, len(tokens))
+                at[np.cumsum(counts) - 1] = len(top)
+                sums = np.add.reduceat(values[at], starts, axis=0)
+                away = np.flatnonzero(at < 0)
+                bounds = np.searchsorted(away, [*starts, len(tokens)]).tolist()
+                for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                    if b > a:
+                        others = Counter([tokens[j] for j in away[a:b].tolist()])
+                        rare += others.keys()
+                        rare_n += others.values()
+                        rare_row.append(np.full(len(others), row + i))
                 none = pa.nulls(len(part), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row - len(part), row)), part.column("doc_id"), part.column("held_out"), none, pa.array(counts, pa.int64()), *map(pa.array, np.array(sums).T.copy())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(part))), part.column("doc_id"), part.column("held_out"), none, pa.array(counts), *map(pa.array, sums.T.copy())], shape.names)
+                row += len(part)
                 if rare:
                     k = len(rare)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rare_row)), pa.nulls(k, id_type), pa.nulls(k, pa.bool_()), pa.array(rare, pa.binary()), pa.array(rare_n, pa.int64()), *[pa.nulls(k, pa.float64())] * len(summed)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rare_row)), pa.nulls(k, id_type), pa.nulls(k, pa.bool_()), pa.array(rare, pa.binary()), pa.array(rare_n, pa.int64()), *[pa.nulls(k, pa.float64())] * len(summed)], shape.names)
 
-    names = ["row", "doc_id", "held_out", "word", "n", *summed]
     id_type = arrow_of(base.schema["doc_id"].dataType)
     shape = schema_of(base, ("held_out", "boolean"), ("word", "binary"), ("n", "long"), *[(x, "double") for x in summed])
     shape = T.StructType([T.StructField("row", T.LongType()), *shape.fields])
@@ -356,7 +418,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind_co
     times = [F.when(F.col("c") > 0, F.col("n")).otherwise(0).cast("double").alias("n_known"), (F.col("n") * F.log10((F.col("c") + 0.1) / smoothed)).alias("base"), *[(F.col("n") * F.col(x)).alias(x) for x in columns]]
     rarer = joined.select("row", *times).groupBy("row").agg(*[F.sum(x).alias(f"{x}_rare") for x in summed])
     both = found.where(F.col("word").isNull()).join(rarer, "row", "left").select("doc_id", "held_out", "n", *[(F.col(x) + F.coalesce(f"{x}_rare", F.lit(0.0))).alias(x) for x in summed])
-    by_kind = F.array(*[F.col(x) + float(w) for x, w in zip(columns, prior)])
+    by_kind = F.array(*[F.col(x) + float(w) for x, w in zip(columns, np.log10(model.prior))])
     total = F.array_max("by_kind") + F.log10(F.aggregate("by_kind", F.lit(0.0), lambda acc, x: acc + F.pow(F.lit(10.0), x - F.array_max("by_kind"))))
     return both.withColumn("by_kind", by_kind).select(
         "doc_id", "held_out", F.col("n").alias("n_tokens"), F.round("n_known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), total.alias("score")

@@ -327,23 +327,57 @@ def test_fuzzy_passages_at_the_rule(spark):
 # 2
 
 
+def by_hand(lattice, word):
+    """The probability of a word by kind, without logarithms."""
+    known, f = lattice.known, len(lattice.known.first)
+    paths = {0: np.exp(lattice.log[0])}
+    for j in range(1, len(word) + 1):
+        total = np.zeros(lattice.log.shape[1])
+        if word[:j] in known.first:
+            total += np.exp(lattice.log[known.first[word[:j]]])
+        for i in range(j):
+            if word[i:j] in known.later:
+                total += paths[i] * np.exp(lattice.log[f + known.later[word[i:j]]])
+        paths[j] = total
+    return paths[len(word)] * np.exp(lattice.end)
+
+
 def test_lattice_sums_all_segmentations():
-    known = lm_scoring.pieces(f"{byte_bpe.TOKENIZERS_DIR}/{lm_scoring.VOCABULARY}")
+    known = lm_scoring.pieces(lm_scoring.vocabulary())
+    assert "▁С"[1:].encode() in known.first and b"the" in known.first and b"T" not in known.first
     rng = np.random.default_rng(0)
     lattice = lm_scoring.Lattice(known, rng.random((len(known.first), 2)) + 0.01, rng.random((known.end + 1, 2)) + 0.01)
-    for word in (b"the", b"stings", "über".encode(), b"\x00\xff", b"a" * 40):
-        paths = {0: np.exp(lattice.first[0])}
-        for j in range(1, len(word) + 1):
-            total = np.zeros(2)
-            if word[:j] in known.first:
-                total += np.exp(lattice.first[known.first[word[:j]]])
-            for i in range(j):
-                if word[i:j] in known.later:
-                    total += paths[i] * np.exp(lattice.later[known.later[word[i:j]]])
-            paths[j] = total
-        assert np.allclose(lattice.log([word])[0], np.log(paths[len(word)] * np.exp(lattice.later[known.end])))
-    a, b = lattice.only(0).expected([b"the", b"stings"])
-    assert b[known.end] == pytest.approx(2) and a.sum() == pytest.approx(2)
+    words_ = [b"the", b"stings", "über".encode(), b"\x00\xff", b"a" * 40, b"x", b"-" * 70, b"the", "Стой".encode()]
+    for word, got in zip(words_, lattice.log_p(words_)):
+        assert np.allclose(got, np.log(by_hand(lattice, word)))
+    assert lattice.log_p([]).shape == (0, 2)
+    n = lattice.expected(words_[:4], 1)  # an expected count is how the log probability follows the log weight
+    for i in np.flatnonzero(n > 1e-3):
+        more = lattice.log.copy()
+        more[i] += 1e-4
+        assert n[i] == pytest.approx((lm_scoring.Lattice.of(known, more).log_p(words_[:4]).sum(axis=0) - lattice.log_p(words_[:4]).sum(axis=0))[1] / 1e-4, rel=1e-2, abs=1e-3)
+
+
+def test_lm_is_the_marginal_of_whole_documents(spark, table):
+    """Scores against a plain sum over kinds of products over tokens of sums over segmentations and whole words."""
+    from gaugewise.llm.common import crc_mod
+
+    df = table.where(F.length("text") < 3000)
+    names = sorted({r.lang or "" for r in df.where(crc_mod(F.col("doc_id"), 10) != 0).select("lang").collect()})
+    base = df.select("doc_id", (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"), F.coalesce(F.array_position(F.array(*map(F.lit, names)), F.coalesce("lang", F.lit(""))) - 1, F.lit(0)).cast("int").alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
+    model, words_, _, _ = lm_scoring.train(base, names, lm_scoring.vocabulary())
+    counts = {bytes(r.word): np.array(r.c, float) for r in words_.collect()}
+    lattice = lm_scoring.Lattice.of(lm_scoring.pieces(model.path), model.log)
+    of = {}
+    for w, c in counts.items():
+        kept = np.maximum(c - model.discount, 0) / np.maximum(model.words, 1) + model.left * model.shared * c.sum() / max(model.words.sum(), 1)
+        of[w] = (1 - model.end) * (kept + model.left * (1 - model.shared) * by_hand(lattice, w))
+    assert all((sum(x for w, x in of.items() if counts[w].sum()) + model.end < 1 + 1e-9).tolist())
+    want = Counter()
+    for i, t in everything(df):
+        by_kind = [math.log(p) + math.log(e) + sum(math.log(of[w][k]) for w in t.encode().lower().split()) for k, (p, e) in enumerate(zip(model.prior, model.end))]
+        want[str(i), round((max(by_kind) + math.log(sum(math.exp(x - max(by_kind)) for x in by_kind))) / math.log(10), 4)] += 1
+    assert Counter((str(r.doc_id), round(r.score, 4)) for r in lm_scoring.score(df).collect()) == want
 
 
 def test_lm(spark, table, documents):

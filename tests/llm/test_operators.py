@@ -468,10 +468,31 @@ def test_mixing(spark, table, documents):
         again = mixing.mix(df.repartition(5))[1].collect()
         assert Counter((r.doc_id, r.size, r.taken) for r in again) == Counter((r.doc_id, r.size, r.taken) for r in got)
         assert slots.groupBy("shard").agg(F.count("*").alias("n")).where(f"n > {mixing.SHARD}").count() == 0
+        other = mixing.mix(df, seed=8)[1].collect()  # of the odd table all sources are at their limits
+        assert (Counter((r.doc_id, r.taken) for r in other) == Counter((r.doc_id, r.taken) for r in got)) == (df is table)
     assert mixing.repeated(documents).columns == documents.columns
     assert mixing.mix(empty(spark))[1].count() == 0
 
 
+def test_draws_are_multinomial_and_totals_hold(spark):
+    """Many small shards: counts by shard stray as draws do, and each source's slots are whole passes over its blocks and a part of one."""
+    shares = spark.createDataFrame([("a", 500, 1300), ("b", 40, 90), (None, 700, 610), ("c", 9, 0), ("d", 3, 9)], "source string, blocks long, uses long")
+    rows = mixing.drawn(shares, 3, 16).collect()
+    n = 1300 + 90 + 610 + 9
+    by_shard = Counter(r.shard for r in rows)
+    assert len(rows) == n and set(by_shard) == set(range(-(-n // 16))) and all(by_shard[s] == 16 for s in range(n // 16))
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(by_shard[s])) for s in (0, 7, max(by_shard)))
+    assert Counter(r.source for r in rows) == {"a": 1300, "b": 90, None: 610, "d": 9}
+    for source, blocks, uses in (("a", 500, 1300), ("b", 40, 90), (None, 700, 610), ("d", 3, 9)):
+        times = Counter(r.block for r in rows if r.source == source)
+        assert set(times) <= set(range(blocks)) and set(times.values()) <= {uses // blocks, -(-uses // blocks)} and sum(times.values()) == uses
+    of_a = list(Counter(r.shard for r in rows if r.source == "a").values())
+    p = 1300 / n
+    assert 0.6 < np.var(of_a) / (16 * p * (1 - p)) < 1.6
+    assert Counter(map(tuple, rows)) == Counter(map(tuple, mixing.drawn(shares, 3, 16).collect())) != Counter(map(tuple, mixing.drawn(shares, 4, 16).collect()))
+    assert mixing.drawn(shares.limit(0), 3).count() == 0
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100, 1023):
         got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit("key"))).collect()]

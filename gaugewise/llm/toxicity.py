@@ -23,21 +23,22 @@ SYMBOLS = 28
 ORDER = 4
 #: The most labelled rows that the classifier is fitted on, by a hash of their ids; it bounds what is broadcast.
 LABELLED = 40_000
-#: The most words that the classifier weighs.
-FEATURES = 5_000
 #: Words that a worker remembers how to restore.
 REMEMBERED = 400_000
 #: Distinct words that a worker counts before it passes the counts on.
 COUNTED = 400_000
 
 _S = "a-z0-9@$!|+"
-#: Letters set apart by single separators.
-SPACED = re.compile(rf"(?<!\S)[{_S}](?:[ ._*-][{_S}]){{3,}}(?=[\s.,;:?!]|$)")
-#: Signs within, before or after letters, and runs of three or more letters.
-SUSPECT = re.compile(r"[a-z][0-9@$!|+._*-]+(?=[a-z])|^[0-9@$|+!]+(?=[a-z])|[a-z][0-9@$]+$|([a-z])\1\1")
+#: Three letters or more, or signs for them, set apart by separators.
+SPACED = re.compile(rf"(?<!\S)[{_S}](?:[ ._*-]+[{_S}]){{2,}}(?=[\s.,;:?!]|$)")
+#: What the channel can have changed in a word: a sign that can stand for a letter, a separator, a run of one letter. All else comes out of the decoder as it is.
+CHANGED = re.compile(r"[0-9@$!|+._*\-]|([^\W\d_])\1")
+_LETTER = re.compile(r"[^\W\d_]")
 _SINGLE = frozenset("abcdefghijklmnopqrstuvwxyz0123456789@$!|+")
 _TAIL = re.compile(r"([@$!|+])\1{2,}$")
-_EDGES = ".,;:?!\"'()[]{}<>#%&=/\\~^`*-_"
+_EDGES = ".,;:?\"'()[]{}<>#%&=/\\~^`*-_"
+#: Signs alone are a word up to so many of them; longer ones are numbers.
+SIGNS = 6
 _NOT_LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _CODE = np.zeros(256, np.int64)
 _CODE[97:123] = np.arange(1, 27)
@@ -114,15 +115,27 @@ class Restorer:
                 out.append((letter * 2, SIGN * 1.5))
         return out
 
+    @staticmethod
+    def core(token: str) -> str:
+        """A lower-case token without the marks around it; a sign before a letter and one other than ! after it are its own."""
+        core = _TAIL.sub("", token.strip(_EDGES).rstrip("!" + _EDGES))
+        return core if re.match(r"!+\w", core) else core.lstrip("!" + _EDGES)
+
+    def restored(self, token: str) -> str:
+        """A lower-case token with its core decoded, if the channel can have changed it. Addresses of mail are left alone."""
+        core = self.core(token)
+        if not CHANGED.search(core) or "@" in core[1:-1] and "." in core:
+            return token
+        if not _LETTER.search(core) and (not 3 <= len(core) <= SIGNS or any(c not in LEET for c in core)):
+            return token
+        at = token.index(core)
+        return token[:at] + self.word(core) + token[at + len(core) :]
+
     def _suspects(self, tokens: set[str]) -> dict[str, str]:
         """Of the tokens those that come out otherwise, with what they come to."""
         unknown = tokens - self.clean
         for token in unknown - self.memory.keys():
-            core = _TAIL.sub("", token.strip(_EDGES))
-            fixed = token
-            if SUSPECT.search(core) and not ("@" in core[1:-1] and "." in core):
-                at = token.index(core)
-                fixed = token[:at] + self.word(core) + token[at + len(core) :]
+            fixed = self.restored(token)
             if len(self.clean) + len(self.memory) >= REMEMBERED:
                 self.clean.clear()
                 self.memory.clear()
@@ -140,7 +153,7 @@ class Restorer:
         """The text in lower case, letters set apart restored, and its distinct tokens."""
         text = text.lower()
         tokens = set(text.split())
-        if len(_SINGLE & tokens) >= 2 and (apart := SPACED.sub(lambda m: self.word(m.group()), text)) != text:
+        if len(_SINGLE & tokens) >= 2 and (apart := SPACED.sub(lambda m: self.word(m.group()) if _LETTER.search(m.group()) else m.group(), text)) != text:
             return apart, set(apart.split())
         return text, tokens
 
@@ -189,18 +202,20 @@ def _word_counts(labelled: DataFrame, restorer: Restorer) -> DataFrame:
 class Model:
     """Log odds of words, each once a text, and a logistic curve from their sum to a score."""
 
-    def __init__(self, weights: dict[bytes, float], slope: float, offset: float):
-        self.weights, self.slope, self.offset = weights, slope, offset
+    def __init__(self, weights: dict[bytes, float], slope: float, offset: float, tells: bool = True):
+        """tells: whether it has seen both labels."""
+        self.weights, self.slope, self.offset, self.tells = weights, slope, offset, tells
 
     def total(self, words: set[bytes]) -> float:
         return sum(sorted(self.weights[w] for w in words & self.weights.keys()))
 
     def score(self, total: float) -> float:
-        return 1 / (1 + math.exp(-min(max(self.slope * total + self.offset, -500.0), 500.0)))
+        x = self.slope * total + self.offset
+        return 0.0 if x < -500 else 1 / (1 + math.exp(-x))
 
 
 def _weights(counts: DataFrame) -> dict[bytes, float]:
-    """The words whose split over labels is no accident: a likelihood-ratio test against the number of words tried."""
+    """The words whose split over labels is no accident: a likelihood-ratio test against the number of words tried. They are words of the labelled sample, which bounds them."""
     whole = counts.where(F.length("word") == 0).agg(F.sum("bad"), F.sum("good")).first()
     bad, good = (float(x or 0) for x in whole)
     if not bad or not good:
@@ -210,7 +225,7 @@ def _weights(counts: DataFrame) -> dict[bytes, float]:
     test = 2 * (part(b, True, bad) + part(g, True, good) + part(F.lit(bad) - b, False, bad) + part(F.lit(good) - g, False, good))
     kept = counts.where((F.length("word") > 0) & (b + g < n)).withColumn("test", test)
     tried = max(2, counts.count())
-    kept = kept.where(F.col("test") > 2 * math.log(tried) + 2).orderBy(F.desc("test"), "word").limit(FEATURES)
+    kept = kept.where(F.col("test") > 2 * math.log(tried) + 2)
     return {bytes(r.word): math.log((r.bad + 0.5) / (bad + 1)) - math.log((r.good + 0.5) / (good + 1)) for r in kept.select("word", "bad", "good").collect()}
 
 
@@ -243,7 +258,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, l
     counts = _word_counts(labelled, restorer).persist()
     weights = _weights(counts)
     counts.unpersist()
-    model = Model(weights, 0.0, 0.0)
+    model = Model(weights, 0.0, -math.inf, False)
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,6 +268,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, l
     seen = labelled.mapInArrow(totals, "total int, toxic int").groupBy("total").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).collect()
     if seen:
         model.slope, model.offset = _curve([(r.total / 4, r.bad, r.good) for r in sorted(seen)])
+        model.tells = any(r.bad for r in seen) and any(r.good for r in seen)
     return restorer, model
 
 
@@ -262,8 +278,13 @@ def score(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     The character model is of all texts. The classifier learns from labels of the rows whose crc32 of the id as text
     is not divisible by `holdout`; labels and ids are never inputs of a score. A document with several labels is toxic
     if one says so; null labels and ids teach nothing. Null texts are scored as empty ones, at the rate of texts
-    without a telling word. With no label of one kind every score is that rate, or 0.5 without labels. Repeated rows
-    get equal results; an empty table gives an empty one.
+    without a telling word. With labels of one kind alone every score is that rate, and without labels it is 0.
+    Long texts are read whole, and their distinct words decoded; ties between restored words go to the first in order
+    of letters. Repeated rows get equal results; other columns are not looked at; an empty table gives an empty one.
+
+    Every token that the channel could have changed is decoded (signs that can stand for letters, separators, runs of a
+    letter), also letters set apart over several tokens; what it could not have changed comes out as it is. Numbers
+    (no letters, more than SIGNS signs or a sign that stands for none) and addresses of mail are left alone.
     """
     restorer, model = train(documents, labels, id_col, text_col, label_col, holdout)
     base = id_and_text(documents, id_col, text_col).withColumn("held_out", crc_mod(F.col("doc_id"), holdout) == 0)
@@ -282,8 +303,13 @@ def score(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", holdout: int = 5) -> DataFrame:
-    """documents without the rows that are scored toxic; the columns, and all else, as in score()."""
+    """documents without the rows that are scored toxic; the columns, and all else, as in score().
+
+    All rows stay where the labels are not of both kinds, as nothing then tells texts apart.
+    """
     restorer, model = train(documents, labels, id_col, text_col, label_col, holdout)
+    if not model.tells:
+        return documents
     at = documents.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

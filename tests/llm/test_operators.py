@@ -415,8 +415,39 @@ def test_toxicity(spark, documents):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
     none = toxicity.score(empty(spark), labels)
     assert none.count() == 0 and none.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
-    unlabelled = toxicity.score(df, own.limit(0)).collect()
-    assert {r.score for r in unlabelled} == {0.5} or len({r.score for r in unlabelled}) == 1
+    assert {r.score for r in toxicity.score(df, own.limit(0)).collect()} == {0.0}
+    for labels_ in (own.limit(0), own.where("toxic = 1"), own.where("toxic = 0")):
+        assert toxicity.without_toxic(df, labels_).count() == df.count()
+    odd_labels = spark.createDataFrame([(i, i % 2) for i in range(16)], "doc_id long, toxic int")
+    rows = toxicity.score(odd(spark), odd_labels).collect()
+    assert len(rows) == odd(spark).count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    assert len({(r.score, r.predicted) for r in rows if r.doc_id == 9}) == 1 and toxicity.without_toxic(odd(spark), odd_labels).columns == odd(spark).columns
+    assert toxicity.without_toxic(empty(spark), odd_labels).count() == 0
+
+
+def test_decoder(spark):
+    """Against all ways through the channel, one by one; and every form of obfuscation reaches it."""
+    from itertools import groupby, product
+
+    prose = [("you idiot are a moron and an ass with shit on the street of the good books " + w) for w in ("idiot", "moron", "shit", "ass", "all", "good")] * 40
+    restorer = toxicity.Restorer(toxicity.char_counts(spark.createDataFrame([(p,) for p in prose], "text string")))
+
+    def cost(text):
+        state, total = 0, 0.0
+        for c in [*(ord(x) - 96 if "a" <= x <= "z" else 0 if x == " " else 27 for x in text), 0]:
+            total += float(restorer.cost[state * toxicity.SYMBOLS + c])
+            state = (state * toxicity.SYMBOLS + c) % toxicity.SYMBOLS ** (toxicity.ORDER - 1) if c else 0
+        return total
+
+    for noisy in ("1d10t", "m.o.r0n", "sh1t", "iddiot", "goood", "4$$", "a l l", "mmorron", "!diot", "b00ks"):
+        options = [restorer.options(c, len(list(run))) for c, run in groupby(noisy)]
+        ways = [("".join(t for t, _ in way), sum(c for _, c in way)) for way in product(*options)]
+        best = min(cost(t) + c for t, c in ways)
+        got = restorer.word(noisy)
+        assert any(t.strip() == got and cost(t) + c < best + 1e-3 for t, c in ways)
+    for noisy, want in (("1d10t!", "idiot!"), ("(m0r0n)", "(moron)"), ("iddiot", "idiot"), ("mmorron", "moron"), ("455", "ass"), ("4$$", "ass"), ("!diot", "idiot"), ("shi+", "shit"), ("good", "good"), ("sh.i.t", "shit"), ("12345678", "12345678"), ("2026", "2026"), ("a@b.de", "a@b.de")):
+        assert restorer.text(f"the {noisy} of") == f"the {want} of"
+    assert [restorer.text(t) for t in ("you m o r o n now", "you m - o - r - o - n", "you a s s", "1 2 3 4")] == ["you moron now", "you moron", "you ass", "1 2 3 4"]
 
 
 def test_language(spark, table, documents):

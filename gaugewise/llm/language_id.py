@@ -16,16 +16,20 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Texts handed to one numpy pass.
 PASS = 400_000
+#: n-grams whose ratios are looked up at a time.
+SLICE = 500_000
 #: The share of the weight between the two nearest codewords below which a prediction is flagged.
 AMBIGUOUS = 0.7
 
 
 def codewords(n: int, seed: int = 1) -> np.ndarray:
-    """One row of -1 and +1 for each of n classes.
+    """One row of -1 and +1 for each of n classes; a single class is on the + side of one bit.
 
     Up to five classes: every way to part the classes in two (2 ** (n - 1) - 1 bits). More: of 200 random codes of
     10 log2(n) bits, the one whose closest rows are farthest apart.
     """
+    if n == 1:
+        return np.ones((1, 1))
     if n <= 5:
         parts = [p for p in range(1, 2 ** max(n - 1, 1))]
         return np.array([[1 if i and p >> (i - 1) & 1 else -1 for p in parts] for i in range(n)], np.float64)
@@ -98,7 +102,7 @@ class OutputCodes:
         p = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
         ratios, weights = [], []
         for bit in self.code.T:
-            yes, no = p[bit > 0].mean(axis=0), p[bit < 0].mean(axis=0)
+            yes, no = (p[side].mean(axis=0) if side.any() else np.full(BUCKETS, 1 / BUCKETS) for side in (bit > 0, bit < 0))
             ratios.append(np.log(yes / no))
             weights.append(np.abs(yes - no).sum() / 2)  # how well the bit's two sides can be told apart
         self.ratio = np.ascontiguousarray(np.array(ratios, np.float32).T)
@@ -107,7 +111,13 @@ class OutputCodes:
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The class of each text, its share of the weight, and whether the second-nearest codeword is close."""
         mixed, starts = grams(texts)
-        sums = sum(np.add.reduceat(np.vstack((self.ratio[m], np.zeros((1, self.ratio.shape[1]), np.float32))), starts[:-1], axis=0, dtype=np.float64) for m in mixed)
+        sums = np.zeros((len(texts), self.ratio.shape[1]))
+        of = np.repeat(np.arange(len(texts)), np.diff(starts))
+        for a in range(0, len(of), SLICE):  # a very long text is summed slice by slice
+            own = of[a : a + SLICE]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            for m in mixed:
+                sums[own[first]] += np.add.reduceat(self.ratio[m[a : a + SLICE]], first, axis=0, dtype=np.float64)
         margin = np.clip(sums / len(ORDERS), -30, 30)
         loss = np.log1p(np.exp(-margin[:, None, :] * self.code[None])) * self.weight  # text, class, bit
         loss = loss.sum(axis=2) / max(self.weight.mean(), 1e-9) / max(1, len(self.langs) // 2)
@@ -142,7 +152,9 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     Learns from the text and non-null language of the rows whose crc32 of the id as text is not divisible by
     `holdout`; the id decides only that, and language is never an input of a prediction. Null texts and texts without
     a letter are `und` with score 0 and flagged. With nothing to learn from, every row is. With one language learned,
-    every other row is of it. Repeated rows get equal results; an empty table gives an empty one.
+    every other row is of it, with score 1. Of equally near codewords the first language in order of names is taken;
+    long texts are read whole, slice by slice. Repeated rows get equal results; other columns of df are not looked at;
+    an empty table gives an empty one.
     """
     held = crc_mod(F.col(id_col), holdout) == 0
     model = train(df.where(~held & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")))

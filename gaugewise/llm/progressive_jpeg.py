@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 
 from gaugewise.llm.common import id_and_text, passes, schema_of, text_bytes
 
-#: Payload bytes of one unit: 64 coefficients of three components.
+#: A payload is a multiple of so many bytes: three blocks of 64 coefficients.
 UNIT = 192
-#: Units in one stored image; longer payloads are stored as several images, one after the other.
-IMAGE_UNITS = 512
+#: A stored image has chroma of half the width: a unit of its scans (MCU) is two blocks of luma and one of each chroma, 16 x 8 samples.
+SAMPLING, MCU = ((2, 1), (1, 1), (1, 1)), 4
+#: MCUs in one stored image; longer payloads are stored as several images, one after the other.
+IMAGE_MCUS = 384
 #: Payload bytes that are coded side by side.
 PASS = 1_500_000
 #: Scans of a stored payload: components, first and last coefficient, bits already sent, bits left to send.
@@ -101,6 +103,8 @@ class Image:
     quantised_by: list[int] = field(default_factory=list)
     quantisers: dict[int, np.ndarray] = field(default_factory=dict)
     scans: list[tuple] = field(default_factory=list)
+    #: A number of two bytes that a comment of the image holds.
+    comment: int = 0
 
     @cached_property
     def units(self) -> tuple[int, int]:
@@ -159,6 +163,8 @@ def parse(data: bytes, start: int = 0) -> tuple[Image, int]:
                 image.quantised_by.append(c[2])
         elif marker in (0xC0, 0xC1, 0xC3) or 0xC5 <= marker <= 0xCF and marker != 0xCC:
             raise ValueError("not a progressive image")
+        elif marker == 0xFE and len(body) == 2:
+            image.comment = body[0] << 8 | body[1]
         elif marker == 0xDD:
             interval = body[0] << 8 | body[1]
         elif marker == 0xDA:
@@ -418,9 +424,10 @@ def _scan_head(parts: tuple[int, ...], first: int, last: int, high: int, low: in
     return _segment(0xDA, bytes((len(parts), *(x for c in parts for x in (c + 1, 0)), first, last, high << 4 | low)))
 
 
-@lru_cache(IMAGE_UNITS + 1)
-def _payload_head(units: int) -> bytes:
-    return _head(8 * units, 8, ((1, 1),) * 3, b"\1" * 64, 1)
+@lru_cache(4 * IMAGE_MCUS)
+def _payload_head(mcus: int, blocks: int) -> bytes:
+    """blocks: how many are the payload's, as a comment of the image; the rest fill the last MCU."""
+    return _head(16 * mcus, 8, SAMPLING, b"\1" * 64, 1) + _segment(0xFE, struct.pack(">H", blocks))
 
 
 def _laid_out(data: np.ndarray, lengths: np.ndarray, number: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -442,45 +449,55 @@ def store(payloads: list[bytes]) -> list[bytes]:
     """Progressive images, one after the other for a long payload, whose coefficients are the payload's bytes.
 
     A byte is the coefficient of eight bits that its own bits stand for in a scan: 128 to 255 as they are, 0 to 127
-    less 255. So all coefficients differ from zero, and both kinds of scan have a fixed length.
+    less 255. So all coefficients differ from zero, and both kinds of AC scan have a fixed length. Blocks go to MCUs in
+    order: two of luma, one of each chroma.
     """
-    raw = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 3, 64).astype(np.int16)
+    own = np.array([len(p) // 64 for p in payloads])
+    mcus = -(-own // MCU)
+    raw = np.frombuffer(b"".join([p + b"\x80" * (int(m) * MCU * 64 - len(p)) for p, m in zip(payloads, mcus)]), np.uint8).reshape(-1, MCU, 64).astype(np.int16)
     value = np.where(raw >= 128, raw, raw - 255)
-    units = np.array([len(p) // UNIT for p in payloads])
-    number = np.concatenate([np.arange(n) % IMAGE_UNITS for n in units])
-    scans = []
+    number = np.concatenate([np.arange(n) % IMAGE_MCUS for n in mcus])
+    scans, per_mcu = [], []
     for parts, first, last, high, low in SCRIPT:
         if first == 0 and not high:
             acc, n = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
-            for c in parts:
-                d = (value[:, c, 0] >> low).astype(np.int64)
+            dc = (value[:, :, 0] >> low).astype(np.int64)
+            for d in (dc[:, 0], dc[:, 1] - dc[:, 0], dc[:, 2], dc[:, 3]):
                 size = np.ceil(np.log2(np.abs(d) + 1)).astype(np.int64)
                 acc = acc << 4 + size | size << size | np.where(d < 0, d + (1 << size) - 1, d)
                 n += 4 + size
             size = -(-n // 8)
             acc = acc << (size * 8 - n) | (1 << (size * 8 - n)) - 1
-            data = np.stack([acc >> np.maximum(8 * (size - 1 - i), 0) & 255 for i in range(5)], axis=1).astype(np.uint8)
+            data = np.stack([acc >> np.maximum(8 * (size - 1 - i), 0) & 255 for i in range(7)], axis=1).astype(np.uint8)
             scans.append(_laid_out(data, size, number))
-        elif first == 0:
-            bits = np.concatenate((value[:, list(parts), 0] & 1, np.ones((len(raw), 5), np.int16)), axis=1)
+            per_mcu.append(1)
+            continue
+        if first == 0:
+            bits = np.concatenate((value[:, :, 0] & 1, np.ones((len(raw), 8 - MCU), np.int16)), axis=1)
             scans.append(_laid_out(np.packbits(bits.astype(bool), axis=1), np.ones(len(raw), np.int64), number))
-        elif not high:
-            v = value[:, parts[0], first : last + 1]
+            per_mcu.append(1)
+            continue
+        luma = parts[0] == 0
+        blocks = value[:, :2].reshape(-1, 64) if luma else value[:, parts[0] + 1]
+        places = np.stack((2 * number, 2 * number + 1), axis=1).ravel() if luma else number
+        per_mcu.append(2 if luma else 1)
+        if not high:
+            v = blocks[:, first : last + 1]
             data = np.where(v > 0, v >> 1, 127 - (-v >> 1)).astype(np.uint8)
-            scans.append(_laid_out(data, np.full(len(raw), data.shape[1]), number))
+            scans.append(_laid_out(data, np.full(len(v), data.shape[1]), places))
         else:
-            ones = np.ones((len(raw), 7), bool)
-            bits = np.concatenate((ones[:, :1], ~ones[:, :1], (np.abs(value[:, parts[0], 1:]) & 1).astype(bool), ones), axis=1)
-            scans.append(_laid_out(np.packbits(bits, axis=1), np.full(len(raw), 9), number))
+            ones = np.ones((len(blocks), 7), bool)
+            bits = np.concatenate((ones[:, :1], ~ones[:, :1], (np.abs(blocks[:, 1:]) & 1).astype(bool), ones), axis=1)
+            scans.append(_laid_out(np.packbits(bits, axis=1), np.full(len(blocks), 9), places))
     heads = [_scan_head(*s) for s in SCRIPT]
     out, at = [], 0
-    for n in units:
+    for n, blocks in zip(mcus.tolist(), own.tolist()):
         parts = []
-        for a in range(at, at + n, IMAGE_UNITS):
-            b = min(a + IMAGE_UNITS, at + n)
-            parts.append(_payload_head(b - a))
-            for head, (data, place) in zip(heads, scans):
-                parts += (head, data[place[a] : place[b]])
+        for a in range(at, at + n, IMAGE_MCUS):
+            b = min(a + IMAGE_MCUS, at + n)
+            parts.append(_payload_head(b - a, min(blocks - (a - at) * MCU, IMAGE_MCUS * MCU)))
+            for head, (data, place), k in zip(heads, scans, per_mcu):
+                parts += (head, data[place[a * k] : place[b * k]])
             parts.append(b"\xff\xd9")
         out.append(b"".join(parts))
         at += n
@@ -496,19 +513,22 @@ def split(data: bytes) -> list[Image]:
     return out
 
 
-def read(stored: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """The payloads back from stored images, and for each the sums of its red, green and blue samples."""
+def read(stored: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
+    """The payloads back from stored images, and for each the full-resolution RGB tensor of its images, side by side.
+
+    All images are 8 samples high, so those of many payloads are one wide image to the inverse transform and the
+    upsampling of chroma.
+    """
     images = [split(x) for x in stored]
     flat = [y for x in images for y in x]
-    blocks = coefficients(flat)
-    value = np.stack([np.concatenate([b[c] for b in blocks]) for c in range(3)], axis=1)
-    payload = np.where(value > 0, value, value + 255).astype(np.uint8)
-    quantiser = flat[0].quantisers[0]
-    rgb = _to_rgb([_samples(value[:, c], quantiser) for c in range(3)]).sum(axis=1, dtype=np.int64)
-    units = np.array([sum(y.units[1] for y in x) for x in images])
-    starts = np.cumsum([0, *units])
-    raw = payload.tobytes()
-    return [raw[a * UNIT : b * UNIT] for a, b in zip(starts[:-1], starts[1:])], np.add.reduceat(rgb, starts[:-1], axis=0)
+    planes = [np.concatenate(x) for x in zip(*coefficients(flat))]
+    value = np.concatenate((planes[0].reshape(-1, 2, 64), planes[1][:, None], planes[2][:, None]), axis=1)
+    raw = np.where(value > 0, value, value + 255).astype(np.uint8).reshape(-1, 64)
+    wide = Image(16 * len(value), 8, list(SAMPLING), flat[0].ids, flat[0].quantised_by, flat[0].quantisers)
+    rgb = tensor(wide, planes)
+    mcus = np.cumsum([0, *[sum(y.units[1] for y in x) for x in images]]).tolist()
+    payloads = [raw[a * MCU :][: sum(y.comment for y in x)].tobytes() for a, x in zip(mcus, images)]
+    return payloads, [rgb[:, 16 * a : 16 * b] for a, b in zip(mcus, mcus[1:])]
 
 
 def _code_scan(parts_of_unit: list[list[tuple[int, int]]], all_blocks: list[np.ndarray], first: int, last: int, high: int, low: int, interval: int) -> bytes:
@@ -612,17 +632,18 @@ def encode_blocks(image: Image, blocks: list[np.ndarray], quantiser: bytes, inte
 # Spark
 
 
-def media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False) -> DataFrame:
-    """One row per row of df: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature (and media, with_media).
+def media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False, with_tensor: bool = False) -> DataFrame:
+    """One row per row of df: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature (and media; and height, width, rgb: the full-resolution tensor by rows).
 
     A text's UTF-8, filled up with spaces to a positive multiple of 192 bytes, is stored as the coefficients of
-    progressive images; everything else but n_bytes comes from the stored bytes: the payload read back, and as feature
-    the mean red, green and blue of the decoded samples. Null counts as the empty text. Repeated rows and equal texts
+    progressive images with chroma of half the width; everything else but n_bytes comes from the stored bytes: the
+    payload read back, and the full-resolution RGB tensor after the inverse transform and upsampling, whose mean red,
+    green and blue are the feature. Null counts as the empty text. Repeated rows and equal texts
     get equal values; a long text is many images, so memory follows the batch's bytes only through the text itself. An
     empty table gives an empty one. Other columns of df are not looked at.
     """
     base = id_and_text(df, id_col, text_col)
-    more = (("media", "binary"),) * with_media
+    more = (("media", "binary"),) * with_media + (("height", "int"), ("width", "int"), ("rgb", "binary")) * with_tensor
     schema = schema_of(base, ("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -631,14 +652,17 @@ def media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_me
             for part in passes(batch, most=PASS):
                 raw = text_bytes(part.column("text"))
                 stored = store([x + b" " * (-len(x) % UNIT if x else UNIT) for x in raw])
-                back, sums = read(stored)
-                means = sums / (np.array([len(x) // 3 for x in back])[:, None])
+                back, rgb = read(stored)
+                means = [x.reshape(-1, 3).mean(axis=0) for x in rgb]
                 columns = [
                     pa.array([len(x) for x in raw], pa.int64()), pa.array([len(x) for x in back], pa.int64()), pa.array(map(sha, back), pa.string()),
                     pa.array([zlib.crc32(x[-16:]) for x in back], pa.int64()), pa.array([len(x) for x in stored], pa.int64()), pa.array(map(sha, stored), pa.string()),
-                    pa.array([f"{r:.4f},{g:.4f},{b:.4f}" for r, g, b in means.tolist()], pa.string()),
+                    pa.array([f"{r:.4f},{g:.4f},{b:.4f}" for r, g, b in means], pa.string()),
                 ]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns, *[pa.array(stored, pa.binary())] * with_media], schema.names)
+                columns += [pa.array(stored, pa.binary())] * with_media
+                if with_tensor:
+                    columns += [pa.array([len(x) for x in rgb], pa.int32()), pa.array([x.shape[1] for x in rgb], pa.int32()), pa.array([x.tobytes() for x in rgb], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], schema.names)
 
     return base.mapInArrow(run, schema)
 

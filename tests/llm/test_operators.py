@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gaugewise.llm import byte_bpe, chaining, components, exact_dedup, language_id, lm_scoring, mixing, progressive_jpeg, simhash, suffix_dedup, toxicity
 
-from .fixtures import A, empty, odd, words
+from .fixtures import A, B, empty, odd, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -461,6 +461,30 @@ def test_language(spark, table, documents):
     assert {r.lang_pred for r in unlearned} == {"und"}
 
 
+def test_codes_against_a_direct_sum(spark, table):
+    """Scores of texts by plain loops over their n-grams; one language; slices of a long text."""
+    texts = {"en": A, "de": B, "xx": words(200, 3)}
+    counts = np.zeros((3, language_id.BUCKETS))
+    for i, t in enumerate(texts.values()):
+        for m in language_id.grams([t])[0]:
+            counts[i] += np.bincount(m, minlength=language_id.BUCKETS)[: language_id.BUCKETS]
+    model = language_id.OutputCodes(list(texts), counts)
+    long = (A + B) * 3000
+    probes = [A[:60], B[5:90], words(20, 4), "a", long]
+    best, share, _ = model.predict(probes)
+    for t, b, s in zip(probes, best, share):
+        margin = np.zeros(model.code.shape[1])
+        for m in language_id.grams([t])[0]:
+            n = np.bincount(m, minlength=language_id.BUCKETS)
+            margin += n[: language_id.BUCKETS] @ model.ratio.astype(float)
+        margin = np.clip(margin / 3, -30, 30)
+        loss = (np.log1p(np.exp(-margin * model.code)) * model.weight).sum(axis=1) / model.weight.mean()
+        want = np.exp(-loss) / np.exp(-loss).sum()
+        assert b == want.argmax() and s == pytest.approx(want.max(), rel=1e-3)
+    one = language_id.identify(table.withColumn("lang", F.lit("en"))).collect()
+    assert {(r.lang_pred, r.score) for r in one} == {("en", 1.0), ("und", 0.0)}
+
+
 def test_codewords():
     for n in (2, 3, 4, 5, 9):
         code = language_id.codewords(n)
@@ -574,7 +598,37 @@ def test_sparse_coefficients():
 
 
 def test_vector_writer_agrees_with_the_plain_one():
-    raw = np.random.default_rng(2).integers(0, 256, (3, 3, 64))
+    raw = np.random.default_rng(2).integers(0, 256, (3, 4, 64))
     value = np.where(raw >= 128, raw, raw - 255)
-    image = progressive_jpeg.Image(24, 8, [(1, 1)] * 3, [1, 2, 3])
-    assert progressive_jpeg.encode_blocks(image, [value[:, c] for c in range(3)], b"\1" * 64, 1) == progressive_jpeg.store([raw.astype(np.uint8).tobytes()])[0]
+    image = progressive_jpeg.Image(48, 8, list(progressive_jpeg.SAMPLING), [1, 2, 3])
+    plain = progressive_jpeg.encode_blocks(image, [value[:, :2].reshape(-1, 64), value[:, 2], value[:, 3]], b"\1" * 64, 1)
+    comment = b"\xff\xfe\0\4" + (12).to_bytes(2, "big")
+    assert progressive_jpeg.store([raw.astype(np.uint8).tobytes()])[0].replace(comment, b"") == plain
+
+
+def test_feature_is_of_the_upsampled_tensor(spark):
+    """Feature and tensor against a direct inverse transform, block by block, of the payload."""
+    text = words(300, 8)
+    r = progressive_jpeg.media(spark.createDataFrame([(1, text)], "doc_id long, text string"), with_tensor=True).first()
+    raw = text.encode()
+    raw += b" " * (-len(raw) % 192)
+    raw += b"\x80" * (-len(raw) % 256)
+    k, x = np.mgrid[0:8, 0:8]
+    basis = np.cos((2 * x + 1) * k * np.pi / 16) / 2 * np.where(k == 0, 1 / np.sqrt(2), 1)
+    order = sorted(((i, j) for i in range(8) for j in range(8)), key=lambda c: (sum(c), c[0] if sum(c) % 2 else c[1]))
+
+    def block(b):
+        f = np.zeros((8, 8))
+        for (i, j), v in zip(order, b):
+            f[i, j] = v if v >= 128 else int(v) - 255
+        return np.clip(np.floor(basis.T @ f @ basis + 128.5 + 1e-7), 0, 255)
+
+    rows = []
+    for m in range(0, len(raw), 256):
+        y0, y1, cb, cr = (block(raw[m + 64 * i : m + 64 * i + 64]) for i in range(4))
+        y, cb, cr = np.hstack((y0, y1)), np.repeat(cb, 2, axis=1) - 128, np.repeat(cr, 2, axis=1) - 128
+        rows.append(np.stack((y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb), axis=-1))
+    want = np.clip(np.floor(np.concatenate(rows, axis=1) + 0.5 + 1e-7), 0, 255).astype(np.uint8)
+    got = np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3)
+    assert got.shape == want.shape and (got == want).all()
+    assert [float(v) for v in r.feature.split(",")] == pytest.approx(want.reshape(-1, 3).mean(axis=0).tolist(), abs=1e-3)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from gaugewise.llm.common import id_and_text, passes, schema_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-TOKENIZERS_DIR = "/opt/tokenizers"
+SPAN = ("start", "end", "first_char", "end_char")
 
 
 @lru_cache(1)
@@ -57,8 +57,9 @@ def pattern() -> str:
 class ByteBPE:
     """Encodes texts match by match of the pattern; pieces of text that recur are looked up.
 
-    Encoding is by the tokenizers library on the stand-in characters of the bytes. Offsets are in bytes, so that they
-    are right where a token splits a character; decode() puts the bytes together before it reads characters.
+    Encoding is by the tokenizers library on the stand-in characters of the bytes, so the library's offsets count
+    bytes. Decoding looks the library's token strings up in the reversed table of stand-ins, and puts the bytes
+    together before it reads characters, as a token may hold a part of one.
     """
 
     #: Distinct pieces of text that are remembered; then the memory starts anew.
@@ -69,12 +70,11 @@ class ByteBPE:
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
-        self.tokens = dict(zip(ranks.values(), ranks))
         as_chars = str.maketrans({b: c for b, c in enumerate(byte_to_char())})
         self.stand_in = lambda raw: raw.decode("latin-1").translate(as_chars)
         merges = [tuple(map(self.stand_in, _parts(t, ranks))) for t in sorted(ranks, key=ranks.get) if len(t) > 1]
         self.bpe = Tokenizer(BPE({self.stand_in(t): r for t, r in ranks.items()}, merges, cache_capacity=0))
-        self.whole = ranks
+        self.tokens = {i: self.decode_chars(self.bpe.id_to_token(i)) for i in ranks.values()}
         self.find = regex.compile(split).findall
         self.memory: dict[str, tuple[int, ...]] = {}
 
@@ -95,12 +95,21 @@ class ByteBPE:
                 return [i for p in pieces for i in self.memory[p]]
             return [i for p in pieces for i in (self.memory.get(p) or self._learn([p]) or self.memory[p])]
 
-    def offsets(self, ids: list[int]) -> list[tuple[int, int]]:
-        """The bytes of the text that each token covers, as (start, end)."""
-        ends = np.cumsum([len(self.tokens[i]) for i in ids]).tolist() if ids else []
-        return list(zip([0, *ends[:-1]], ends))
+    def offsets(self, text: str) -> list[tuple[int, int, int, int]]:
+        """What each token covers: first byte, end in bytes, first character, end in characters; a character that a token holds in part counts."""
+        pieces = self.find(text)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        char = np.cumsum((raw & 0xC0) != 0x80) - 1  # the character that each byte is of
+        known = list(dict.fromkeys(pieces))
+        spans = {p: e.offsets for p, e in zip(known, self.bpe.encode_batch([self.stand_in(p.encode()) for p in known], add_special_tokens=False))}
+        out, start = [], 0
+        for p in pieces:
+            out += [(start + a, start + b, int(char[start + a]), int(char[start + b - 1]) + 1) for a, b in spans[p]]
+            start += len(p.encode())
+        return out
 
     def decode_bytes(self, ids: list[int]) -> bytes:
+        """The bytes that the ids hold, by the reversed table of stand-ins."""
         return b"".join(map(self.tokens.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
@@ -121,12 +130,14 @@ def load(path: str, split: str) -> ByteBPE:
     return ByteBPE(read_ranks(path), split)
 
 
-def vocabulary_path(folder: str = TOKENIZERS_DIR, name: str = VOCABULARY) -> str:
-    return f"{folder}/{name}"
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, split: str | None = None, with_ids: bool = True, with_offsets: bool = False) -> DataFrame:
-    """One row per row of df: doc_id, n_tokens, ids (with_ids), offsets (byte spans; with_offsets), ids_sha256, decoded_sha256.
+    """One row per row of df: doc_id, n_tokens, ids (with_ids), offsets (spans in bytes and in characters; with_offsets), ids_sha256, decoded_sha256.
 
     Each match of the pattern is encoded by itself, without special tokens; their strings are ordinary text. Null
     counts as the empty text, which has no tokens. ids_sha256 is of the decimal ids joined by commas, decoded_sha256
@@ -135,7 +146,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """
     base = id_and_text(df, id_col, text_col)
     path, split = path or vocabulary_path(), split or pattern()
-    more = (("ids", "array<int>"),) * with_ids + (("offsets", "array<struct<start:int,end:int>>"),) * with_offsets
+    more = (("ids", "array<int>"),) * with_ids + (("offsets", "array<struct<start:int,end:int,first_char:int,end_char:int>>"),) * with_offsets
     schema = schema_of(base, ("n_tokens", "long"), *more, ("ids_sha256", "string"), ("decoded_sha256", "string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +163,8 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                     if with_ids:
                         ids_of.append(np.array(ids, np.int32))
                     if with_offsets:
-                        offsets_of.append([{"start": a, "end": b} for a, b in bpe.offsets(ids)])
-                lists = [pa.array(ids_of, pa.list_(pa.int32()))] * with_ids + [pa.array(offsets_of, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))] * with_offsets
+                        offsets_of.append([dict(zip(SPAN, x)) for x in bpe.offsets(text)])
+                lists = [pa.array(ids_of, pa.list_(pa.int32()))] * with_ids + [pa.array(offsets_of, pa.list_(pa.struct([(x, pa.int32()) for x in SPAN])))] * with_offsets
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), *lists, pa.array(id_sums, pa.string()), pa.array(sums, pa.string())], schema.names)
 
     return base.mapInArrow(run, schema)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gaugewise.llm.byte_bpe import vocabulary_path
 from gaugewise.llm.common import arrow_of, crc_mod, passes, schema_of, text_bytes, written
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -39,12 +40,6 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def vocabulary(name: str = VOCABULARY) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 class Edges:
     """The pieces at all places of many words.
 
@@ -351,7 +346,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind_co
     probabilities, by a shuffle, and come back as sums. The driver gets sums, a number a piece and kind, and the
     FREQUENT most frequent words.
     """
-    path = path or vocabulary()
+    path = path or vocabulary_path(VOCABULARY)
     kind_of = F.coalesce(F.col(kind_col).cast("string"), F.lit("")) if kind_col else F.lit("")
     held = crc_mod(F.col(id_col), holdout) == 0
     names = sorted(r.kind for r in df.where(~held).select(kind_of.alias("kind")).distinct().collect()) or [""]

@@ -182,7 +182,10 @@ def test_bpe(spark, table, documents):
     bpe = byte_bpe.load(path, public_tokenizers.PATTERN)
     text = "naïve 日本語 😀"
     ids = bpe.encode(text)
-    assert bpe.decode(ids) == text and b"".join(text.encode()[a:b] for a, b in bpe.offsets(ids)) == text.encode()
+    assert bpe.decode(ids) == text and b"".join(text.encode()[a:b] for a, b, _, _ in bpe.offsets(text)) == text.encode()
+    assert [text.encode()[a:b] for a, b, _, _ in bpe.offsets(text)] == [bpe.tokens[i] for i in ids] == [lib.decode_single_token_bytes(i) for i in ids]
+    assert all(bpe.tokens[i].decode("utf-8", "ignore") in text[a:b] for i, (_, _, a, b) in zip(ids, bpe.offsets(text))) and bpe.offsets(text)[-1][3] == len(text)
+    assert bpe.tokens == {r: t for t, r in ranks.items()}
     part = bpe.encode("😀")[:1]
     assert bpe.decode(part) == "�" and bpe.decode_chars(bpe.stand_in(text.encode())) == text.encode()
     full = byte_bpe.encode(table.where("doc_id = 1"), with_offsets=True).first()
@@ -343,7 +346,7 @@ def by_hand(lattice, word):
 
 
 def test_lattice_sums_all_segmentations():
-    known = lm_scoring.pieces(lm_scoring.vocabulary())
+    known = lm_scoring.pieces(byte_bpe.vocabulary_path(lm_scoring.VOCABULARY))
     assert "▁С"[1:].encode() in known.first and b"the" in known.first and b"T" not in known.first
     rng = np.random.default_rng(0)
     lattice = lm_scoring.Lattice(known, rng.random((len(known.first), 2)) + 0.01, rng.random((known.end + 1, 2)) + 0.01)
@@ -365,7 +368,7 @@ def test_lm_is_the_marginal_of_whole_documents(spark, table):
     df = table.where(F.length("text") < 3000)
     names = sorted({r.lang or "" for r in df.where(crc_mod(F.col("doc_id"), 10) != 0).select("lang").collect()})
     base = df.select("doc_id", (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"), F.coalesce(F.array_position(F.array(*map(F.lit, names)), F.coalesce("lang", F.lit(""))) - 1, F.lit(0)).cast("int").alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
-    model, words_, _, _ = lm_scoring.train(base, names, lm_scoring.vocabulary())
+    model, words_, _, _ = lm_scoring.train(base, names, byte_bpe.vocabulary_path(lm_scoring.VOCABULARY))
     counts = {bytes(r.word): np.array(r.c, float) for r in words_.collect()}
     lattice = lm_scoring.Lattice.of(lm_scoring.pieces(model.path), model.log)
     of = {}

@@ -223,9 +223,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of df: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and spans, kept: bytes, with_text).
 
     A byte goes if a string of LENGTH bytes covers it that also starts in a text with a smaller id; all strings are
-    those of the input. Ids are whole numbers; a text with a null id neither loses bytes nor makes others lose any,
+    those of the input. Ids are whole numbers, and the order of rows does not matter; a text with a null id neither loses bytes nor makes others lose any,
     and so do rows of one id among each other. Null counts as the empty text. Spans are maximal removed runs. What is
-    left may begin or end within a character. An empty table gives an empty one.
+    left may begin or end within a character. Long texts are taken whole, slice by slice where hashes are made. Other
+    columns of df are not looked at. An empty table gives an empty one.
 
     Texts are written once, in blocks, to a table bucketed by block, so that no later step shuffles them. First the
     hashes of what the windows are anchored on are compared, four bytes each, once a block; then the surroundings of
@@ -235,10 +236,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = df.sparkSession
     base = id_and_text(df, id_col, text_col)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts, chunks = n * 4, n * 4
     name = f"suffix_texts_{uuid.uuid4().hex}"
-    in_blocks(base, BLOCK_BYTES).write.option("compression", "zstd").bucketBy(n, "block").saveAsTable(name)
-    texts = spark.table(name)
     by_block = lambda df: df.groupBy("block")
 
     def hashes(texts: pa.Table) -> pa.Table:
@@ -369,9 +367,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         columns = zip(*rows)
         return pa.table([block.ids, *(pa.array(c, arrow_of(f.dataType)) for c, f in zip(columns, schema.fields[1:]))], schema.names)
 
-    told = by_block(texts).applyInArrow(hashes, "part int, block long, hashes binary").groupBy("part").applyInArrow(shared, "block long, part int, twice binary")
-    sent = by_block(texts).cogroup(by_block(told)).applyInArrow(surroundings, "chunk int, block long, hash binary, doc binary, windows binary, times binary, places binary, bytes binary")
-    found = sent.groupBy("chunk").applyInArrow(owners, "block long, start binary, windows binary, least binary")
-    out = written(by_block(texts).cogroup(by_block(found)).applyInArrow(cut, schema), "suffix-result")
-    spark.sql(f"DROP TABLE {name}")
-    return out
+    try:
+        in_blocks(base, BLOCK_BYTES).write.option("compression", "zstd").bucketBy(n, "block").saveAsTable(name)
+        texts = spark.table(name)
+        # as many parts as keep one, with what all blocks send it, as large as a block sends whatever the number of blocks
+        parts = chunks = n * 4 + texts.select("block").distinct().count()
+        told = by_block(texts).applyInArrow(hashes, "part int, block long, hashes binary").groupBy("part").applyInArrow(shared, "block long, part int, twice binary")
+        sent = by_block(texts).cogroup(by_block(told)).applyInArrow(surroundings, "chunk int, block long, hash binary, doc binary, windows binary, times binary, places binary, bytes binary")
+        found = sent.groupBy("chunk").applyInArrow(owners, "block long, start binary, windows binary, least binary")
+        return written(by_block(texts).cogroup(by_block(found)).applyInArrow(cut, schema), "suffix-result")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 from gaugewise.operators.convert import finite
 from gaugewise.operators.score import top_score
+from gaugewise.operators.stats import exact_quantiles
 from gaugewise.registry import MetrologyError
+from gaugewise.sources.tables import settled
 
 
 def recall_at_fpr(df: DataFrame, score: str, bad: str, *keys: str, fpr: float = 0.05) -> DataFrame:
     """threshold (the 1 - fpr quantile of good scores), recall, fpr_actual, n_bad, n_good, n_nan for each key.
 
     Scores at the threshold are not over it. Missing scores are counted and left out. Keys without a bad or a good
-    score have nulls.
+    score have nulls. Scores are written once; the thresholds, of keys of any size, are exact_quantiles().
     """
-    df = df.select(*keys, finite(F.col(score)).alias("_s"), F.col(bad).cast("boolean").alias("_bad"))
-    good = F.when(~F.col("_bad"), F.col("_s"))
-    cut = df.groupBy(*keys).agg(F.percentile(good, F.lit(1 - fpr)).alias("threshold"), F.count_if(F.col("_s").isNull()).alias("n_nan"))
+    df = settled(df.select(*keys, finite(F.col(score)).alias("_s"), F.col(bad).cast("boolean").alias("_bad")))
+    missing = df.groupBy(*keys).agg(F.count_if(F.col("_s").isNull()).alias("n_nan"))
+    cut = exact_quantiles(df.where(~F.col("_bad")), "_s", {"threshold": 1 - fpr}, *keys)
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] or F.lit(True)
+    cut = settled(missing.alias("a").join(cut.alias("b"), on, "left").select(*[F.col(f"a.{k}") for k in keys], "b.threshold", "a.n_nan"))
     if keys:
         cut = cut.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "threshold", "n_nan")
         joined = df.join(cut, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from gaugewise.functions import kernels
 from gaugewise.operators.convert import convention_candidates
+from gaugewise.operators.stats import exact_quantiles
 from gaugewise.registry import MetrologyError, Params
+from gaugewise.sources.tables import settled
 
 
 def as_image(row, column: str = "pixels") -> np.ndarray:
@@ -144,7 +146,7 @@ def convention_scores(segments: DataFrame, images: DataFrame, scale: float = 1.0
         return pd.concat(parts)
 
     dist = own.groupBy("image_id").cogroup(_renamed(images).groupBy("_image")).applyInPandas(run, "number int, dist double")
-    found = dist.groupBy("number").agg(F.median("dist").alias("median_dist_px"))
+    found = exact_quantiles(settled(dist), "dist", {"median_dist_px": 0.5}, "number").select("number", "median_dist_px")
     table = F.array(*[F.struct(F.lit(k).alias("number"), *(F.lit(v).alias(n) for n, v in c.items())) for k, c in enumerate(convention_candidates())])
     all_ = own.sparkSession.range(1).select(F.explode(table).alias("c")).select("c.*")
     out = all_.join(F.broadcast(found), "number", "left")  # eight rows

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewise.operators.convert import finite
+from gaugewise.sources.tables import settled
 from gaugewise.registry import BY_NAME, FEATURES, LOG_EPS, MAD_SCALE, MetrologyError, Params
 
 
@@ -15,8 +16,6 @@ def transformed(name: str, params: Params = Params()) -> Column:
     return F.when(x.isNotNull(), F.log(F.greatest(x, F.lit(0.0)) + LOG_EPS)) if name in params.log_features else x
 
 
-#: Rows of a cohort up to which its values are sorted by one task; larger ones are bracketed first.
-ONE_TASK = 2_000_000
 #: Accuracy of the sketches that bracket a quantile, and how far a bracket reaches on either side of it.
 ACCURACY, REACH = 10_000, 3e-4
 
@@ -25,68 +24,69 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], *key
     """For each key n and exact, linearly interpolated quantiles, named by the dict, of a cohort of any size.
 
     A mergeable sketch brackets each quantile. What lies below a bracket is counted, and only the distinct values
-    within it, with their counts, are put in order; so every step is pre-aggregated where the rows are.
+    within it, with their counts, are put in order; so every step is pre-aggregated where the rows are, df is read
+    twice and never shuffled, and no task holds a cohort. The brackets, a row a key, are written by a job of their own,
+    so that Spark knows their size when it joins them. Keys without a value have no row.
     """
     on = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys] or F.lit(True)
-    x = df.select(*keys, F.col(value).cast("double").alias("x")).where("x is not null")
-    named = [(name, q, F.percentile_approx("x", F.array(F.lit(max(q - REACH, 0.0)), F.lit(min(q + REACH, 1.0))), F.lit(ACCURACY)).alias(f"_{name}")) for name, q in quantiles.items()]
-    out = brackets = x.groupBy(*keys).agg(F.count("*").alias("n"), F.min("x").alias("_min"), F.max("x").alias("_max"), *[b for _, _, b in named])
-    few = F.col("n") < int(2 / REACH)  # with more, a bracket holds the sketch's error and the next rank too
-    spans = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(q).alias("q"), F.when(few, F.col("_min")).otherwise(F.col(f"_{name}")[0]).alias("lo"), F.when(few, F.col("_max")).otherwise(F.col(f"_{name}")[1]).alias("hi")) for name, q, _ in named])
-    spans = brackets.select(*keys, "n", F.explode(spans).alias("s")).select(*keys, "n", "s.*")
-    both = x.alias("x").join(spans.alias("s"), on("x", "s")).select(*[F.col(f"x.{k}") for k in keys], "x.x", "s.n", "s.name", "s.q", "s.lo", "s.hi").where("x <= hi")
+    x = df.select(*keys, F.col(value).cast("double").alias("_x")).where("_x is not null")
+    named = [(name, q, F.percentile_approx("_x", F.array(F.lit(max(q - REACH, 0.0)), F.lit(min(q + REACH, 1.0))), F.lit(ACCURACY)).alias(f"_at_{name}")) for name, q in quantiles.items()]
+    brackets = x.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"), *[b for _, _, b in named])
+    out = brackets = settled(brackets)
+    few = F.col("_n") < int(2 / REACH)  # with more, a bracket holds the sketch's error and the next rank too
+    spans = F.array(*[F.struct(F.lit(name).alias("_name"), F.lit(q).alias("_q"), F.when(few, F.col("_min")).otherwise(F.col(f"_at_{name}")[0]).alias("_lo"), F.when(few, F.col("_max")).otherwise(F.col(f"_at_{name}")[1]).alias("_hi")) for name, q, _ in named])
+    spans = brackets.select(*keys, "_n", F.explode(spans).alias("_span")).select(*keys, "_n", "_span.*")
+    both = x.alias("x").join(spans.alias("s"), on("x", "s")).select(*[F.col(f"x.{k}") for k in keys], "x._x", "s._n", "s._name", "s._q", "s._lo", "s._hi").where("_x <= _hi")
     # all that is below a bracket becomes one value
-    steps = both.groupBy(*keys, "name", "q", "n", F.when(F.col("x") >= F.col("lo"), F.col("x")).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys, "name").orderBy(F.col("v").asc_nulls_first())
-    steps = steps.withColumn("upto", F.sum("c").over(w)).withColumn("rank", F.col("q") * (F.col("n") - 1))
-    at = lambda r: F.max(F.when((F.col("upto") > r) & (F.col("upto") - F.col("c") <= r), F.col("v")))
-    low, high = at(F.floor("rank")), at(F.ceil("rank"))
-    got = steps.groupBy(*keys, "name").agg((low + (high - low) * (F.first("rank") - F.floor(F.first("rank")))).alias("value"))
-    wide = got.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in quantiles])
-    return out.alias("a").join(wide.alias("b"), on("a", "b")).select(*[F.col(f"a.{k}") for k in keys], "a.n", *[F.col(f"b.{name}") for name in quantiles])
+    steps = both.groupBy(*keys, "_name", "_q", "_n", F.when(F.col("_x") >= F.col("_lo"), F.col("_x")).alias("_v")).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys, "_name").orderBy(F.col("_v").asc_nulls_first())
+    steps = steps.withColumn("_upto", F.sum("_c").over(w)).withColumn("_rank", F.col("_q") * (F.col("_n") - 1))
+    at = lambda r: F.max(F.when((F.col("_upto") > r) & (F.col("_upto") - F.col("_c") <= r), F.col("_v")))
+    low, high = at(F.floor("_rank")), at(F.ceil("_rank"))
+    got = steps.groupBy(*keys, "_name").agg((low + (high - low) * (F.first("_rank") - F.floor(F.first("_rank")))).alias("_value"))
+    wide = got.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_value"))).alias(name) for name in quantiles])
+    return out.alias("a").join(wide.alias("b"), on("a", "b")).select(*[F.col(f"a.{k}") for k in keys], F.col("a._n").alias("n"), *[F.col(f"b.{name}") for name in quantiles])
 
 
-def _robust_large(x: DataFrame, keys: tuple[str, ...], trim: float) -> DataFrame:
-    """robust_stats() for cohorts of any size: each statistic is found by exact_quantiles() and joined back, a row a cohort."""
+def robust_stats(df: DataFrame, value: str, *keys: str, trim: float = 0.05) -> DataFrame:
+    """For each key n (rows with a finite value), median and raw median absolute deviation, after one trim.
+
+    With ten values or more, those whose distance from the median is beyond the (1 - trim) quantile are left out and
+    both are computed again. Keys without a value have no row. Cohorts may be of any size: values are written once,
+    and each of four levels (median; deviation and cut; both again) is a small table that exact_quantiles() finds and
+    the next level joins. This runs jobs while it is called.
+    """
 
     def joined(a: DataFrame, b: DataFrame) -> DataFrame:
         b = b.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in b.columns if c not in keys])
         return a.join(b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] or F.lit(True)).drop(*[f"_k_{k}" for k in keys])
 
-    x = joined(x, exact_quantiles(x, "x", {"med": 0.5}, *keys)).withColumn("dev", F.abs(F.col("x") - F.col("med")))
+    off = F.abs(F.col("x") - F.col("med"))
+    x = settled(df.select(*keys, finite(F.col(value).cast("double")).alias("x")).where("x is not null"))
+    level = settled(exact_quantiles(x, "x", {"med": 0.5}, *keys))
+    sizes = level.select(*keys, "n")
+    x = joined(x, level).withColumn("dev", off)
     if trim > 0:
-        x = joined(x, exact_quantiles(x, "dev", {"mad": 0.5}, *keys).drop("n")).withColumn("z", F.col("dev") / F.greatest(MAD_SCALE * F.col("mad"), F.lit(1e-12)))
-        x = joined(x, exact_quantiles(x, "z", {"cut": 1 - trim}, *keys).drop("n"))
-        x = x.where((F.col("n") < 10) | (F.col("z") <= F.col("cut") + 1e-9)).select(*keys, "n", "x")  # of ten values or more, three are never beyond the cut
-        x = joined(x, exact_quantiles(x, "x", {"med": 0.5}, *keys).drop("n")).withColumn("dev", F.abs(F.col("x") - F.col("med")))
-    last = joined(x.select(*keys, "n", "med").groupBy(*keys).agg(F.max("n").alias("n"), F.max("med").alias("median")), exact_quantiles(x, "dev", {"mad": 0.5}, *keys).drop("n"))
-    return last.select(*keys, "n", "median", "mad")
-
+        spread = settled(exact_quantiles(x, "dev", {"mad": 0.5, "cut": 1 - trim}, *keys).drop("n"))
+        x = joined(x, spread)
+        x = x.where((F.col("n") < 10) | (F.col("dev") <= F.col("cut") + 1e-9 * F.greatest(MAD_SCALE * F.col("mad"), F.lit(1e-12)))).select(*keys, "x")  # of ten values or more, three are never beyond the cut
+        level = settled(exact_quantiles(x, "x", {"med": 0.5}, *keys))
+        x = joined(x, level.drop("n")).withColumn("dev", off)
+    mad = settled(exact_quantiles(x, "dev", {"mad": 0.5}, *keys).drop("n"))
+    return joined(joined(sizes, level.drop("n")), mad).select(*keys, "n", F.col("med").alias("median"), "mad")
 
-def robust_stats(df: DataFrame, value: str, *keys: str, trim: float = 0.05, one_task: int = ONE_TASK) -> DataFrame:
-    """For each key n (rows with a finite value), median and raw median absolute deviation, after one trim.
 
-    Cohorts of up to `one_task` rows are sorted by a task each; if one is larger, all go by exact_quantiles(). Both
-    give the same.
-
-    With ten values or more, those whose distance from the median is beyond the (1 - trim) quantile are left out and
-    both are computed again, if three are left. Keys without a value have no row.
-    """
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    x = df.select(*keys, finite(F.col(value).cast("double")).alias("x")).where("x is not null")
-    largest = x.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest > one_task:
-        return _robust_large(x, keys, trim)
-    half = F.lit(0.5)
-    x = x.withColumns({"n": F.count("*").over(w), "med": F.percentile("x", half).over(w)})
-    x = x.withColumn("dev", F.abs(F.col("x") - F.col("med"))).withColumn("mad", F.percentile("dev", half).over(w))
-    if trim > 0:
-        x = x.withColumn("z", F.col("dev") / F.greatest(MAD_SCALE * F.col("mad"), F.lit(1e-12)))
-        x = x.withColumn("cut", F.percentile("z", F.lit(1 - trim)).over(w))
-        x = x.withColumn("keep", (F.col("n") < 10) | (F.col("z") <= F.col("cut") + 1e-9))
-        x = x.withColumn("keep", F.col("keep") | (F.count_if("keep").over(w) < 3)).where("keep")
-        x = x.withColumn("med", F.percentile("x", half).over(w)).withColumn("dev", F.abs(F.col("x") - F.col("med")))
-    return x.groupBy(*keys).agg(F.first("n").alias("n"), F.first("med").alias("median"), F.median("dev").alias("mad"))
+def circular_stats(df: DataFrame, angle: str, *keys: str) -> DataFrame:
+    """Median direction (angles half a turn on are the same) and median distance from it, in degrees, for each key of any size: keys, angle_median, angle_spread."""
+    on = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys] or F.lit(True)
+    own = df.select(*keys, finite(F.col(angle)).alias("a")).where("a is not null")
+    own = settled(own.withColumns({"s": F.sin(2 * F.radians("a")), "c": F.cos(2 * F.radians("a"))}))
+    s, c = (exact_quantiles(own, x, {x: 0.5}, *keys) for x in "sc")
+    med = settled(s.alias("a").join(c.alias("b"), on("a", "b")).select(*[F.col(f"a.{k}") for k in keys], (F.degrees(F.atan2(F.col("a.s"), F.col("b.c"))) / 2).alias("angle_median")))
+    away = F.abs(F.pmod(F.col("a") - F.col("angle_median") + 90.0, F.lit(180.0)) - 90.0)
+    dist = own.alias("a").join(med.alias("b"), on("a", "b")).select(*[F.col(f"a.{k}") for k in keys], away.alias("d"))
+    spread = exact_quantiles(dist, "d", {"angle_spread": 0.5}, *keys)
+    return med.alias("a").join(spread.alias("b"), on("a", "b")).select("a.*", "b.angle_spread")
 
 
 def mode_sign(x: Column) -> Column:

@@ -11,7 +11,7 @@ from gaugewise.functions import kernels
 from gaugewise.operators import convert, evaluate, image, score, sequence, stats, verdict
 from gaugewise.operators.sequence import Sequence
 from gaugewise.registry import Params
-from gaugewise.sources import tables
+from gaugewise.sources import injections, tables
 
 SEQ = Sequence()
 USER = Sequence(("user_id",), "ord")
@@ -117,10 +117,8 @@ def q_l2(spark, sf_dir):
 
 
 def q_circular(spark, sf_dir):
-    g = _geometry(spark, sf_dir)
-    med = g.groupBy("category_id").agg(sequence.circular_median(F.col("angle")).alias("med"))
-    out = g.join(F.broadcast(med), "category_id").groupBy("category_id").agg(F.first("med").alias("m"), F.median(sequence.circular_distance(F.col("angle"), F.col("med"))).alias("mad"))
-    return out.select("category_id", r6("m").alias("angle_median"), r6("mad").alias("angle_spread"))
+    out = stats.circular_stats(_geometry(spark, sf_dir), "angle", "category_id")
+    return out.select("category_id", r6("angle_median").alias("angle_median"), r6("angle_spread").alias("angle_spread"))
 
 
 def q_robust_stats(spark, sf_dir):
@@ -157,7 +155,8 @@ def q_top_feature(spark, sf_dir):
 
 
 def q_threshold(spark, sf_dir):
-    top = _scored(spark, sf_dir).withColumn("top_z", score.top_score(_scored(spark, sf_dir)))
+    z = _scored(spark, sf_dir)
+    top = tables.settled(z.select("category_id", score.top_score(z).alias("top_z")))
     return stats.threshold_from_quantile(top, "top_z", 0.9, "category_id").select("category_id", r6("threshold").alias("threshold"))
 
 
@@ -235,9 +234,9 @@ def q_unknown_units(spark, sf_dir):
 
 
 def q_neighbours(spark, sf_dir):
-    """Measurements matched with the base sequence of the same category: a self-join on category and index."""
+    """Measurements matched with the same place in the first image that has it, by category and index: a self-join with an aggregate."""
     g = _geometry(spark, sf_dir).select("image_id", "category_id", "cd_index", "cd_nm")
-    base = g.where("image_id = 1").select("category_id", "cd_index", F.col("cd_nm").alias("base_nm"))
+    base = g.groupBy("category_id", "cd_index").agg(F.min_by("cd_nm", "image_id").alias("base_nm"))
     return g.join(base, ["category_id", "cd_index"]).select(*KEYS, r6(F.col("cd_nm") - F.col("base_nm")).alias("change"))
 
 
@@ -248,6 +247,36 @@ def _thumbs(spark, sf_dir):
     return image.images_of(u8), image.images_of(masks, "m", "bits").withColumn("category_id", F.lit(0))
 
 
+def q_flags(spark, sf_dir):
+    """Scores of yes-or-no and of match features: a flag that is raised, and a sign that is not the category's."""
+    g = _parts(spark, sf_dir).withColumns({"edge_valid_s": ~F.col("flag"), "pol_s": F.when(F.col("is_bad"), -1.0).otherwise(1.0)})
+    z = score.apply_z(g, stats.cohort_stats(g, "category_id", features=["pol_s"]), "category_id", features=["edge_valid_s", "pol_s"])
+    return z.select(*KEYS, "z_edge_valid_s", "z_pol_s")
+
+
+def q_normal_resid_theilsen(spark, sf_dir):
+    return sequence.normal_residual(_parts(spark, sf_dir), "ex", "ey", "e_resid").select(*KEYS, r6("e_resid").alias("e_resid"))
+
+
+def q_l2_sides(spark, sf_dir):
+    """The summaries of either side: medians of deltas (here of the value's mismatch) and the other end's trajectory."""
+    g = _geometry(spark, sf_dir).withColumns({"delta_s": F.col("value_mismatch_nm"), "delta_e": F.col("cd_nm") - F.col("value_nm")})
+    out = sequence.summarize(sequence.normal_residual(g, "ex", "ey", "e_resid", HAMPEL))
+    return out.select("image_id", "category_id", *[r6(c).alias(c) for c in ("delta_median_s", "delta_median_e", "traj_rms_e")])
+
+
+def q_injected_recall(spark, sf_dir):
+    """How many measurements with a failure put in are over the threshold, by failure and strength; cohorts are those of the table as it is."""
+    g = _geometry(spark, sf_dir).select(*KEYS, "sx", "sy", "ex", "ey", "value_nm", "px_nm", *COHORT)
+    baseline = stats.cohort_stats(g, "category_id", features=COHORT)
+    bad = injections.inject(g.drop(*COHORT), F.col("cd_index") % 7 == 3, (2.0, 8.0))
+    bad = bad.withColumns({"cd_nm": convert.length_px() * F.col("px_nm"), "angle": sequence.segment_angle()})
+    bad = bad.withColumn("value_mismatch_nm", F.col("value_nm") - F.col("cd_nm"))
+    z = score.apply_z(bad, baseline, "category_id", features=COHORT)
+    out = evaluate.recall_at_fpr(z.withColumn("top_z", F.round(score.top_score(z), 9)), "top_z", "hit", "failure", "strength")
+    return out.select("failure", "strength", *[r6(c).alias(c) for c in RECALL], "n_bad", "n_good", "n_nan")
+
+
 def q_l1(spark, sf_dir):
     images, _ = _thumbs(spark, sf_dir)
     return image.image_features(images).select("image_id", *[r6(c).alias(c) for c in kernels.L1])
@@ -356,15 +385,25 @@ def _obliquity(src: str, name: str) -> str:
 
 
 def _robust(src: str, value: str, keys: str, name: str, trim: str = "0.95") -> str:
-    """CTEs that end in `name`: keys, n, median, mad."""
-    w = f"(PARTITION BY {keys})" if keys else "()"
-    return f"""{name}_1 AS (SELECT {keys + "," if keys else ""} {value} AS x, count(*) OVER {w} AS n, quantile_cont({value}, 0.5) OVER {w} AS med FROM {src} WHERE {value} IS NOT NULL),
-{name}_2 AS (SELECT *, quantile_cont(abs(x - med), 0.5) OVER {w} AS mad FROM {name}_1),
-{name}_3 AS (SELECT *, abs(x - med) / greatest(1.4826e0*mad, 1e-12) AS z FROM {name}_2),
-{name}_4 AS (SELECT *, n < 10 OR z <= quantile_cont(z, {trim}) OVER {w} + 1e-9 AS ok FROM {name}_3),
-{name}_5 AS (SELECT * FROM (SELECT *, ok OR count(*) FILTER (WHERE ok) OVER {w} < 3 AS kept FROM {name}_4) WHERE kept),
-{name}_6 AS (SELECT *, quantile_cont(x, 0.5) OVER {w} AS med2 FROM {name}_5),
-{name} AS (SELECT {keys + "," if keys else ""} any_value(n) AS n, any_value(med2) AS median, median(abs(x - med2)) AS mad FROM {name}_6 {"GROUP BY " + keys if keys else ""})"""
+    """CTEs that end in `name`: keys, n, median, mad. Grouped statistics are joined back, as quantiles over windows are slow."""
+    k, by = keys + ", " if keys else "", f"GROUP BY {keys}" if keys else ""
+    join = lambda a, b: f"{a} JOIN {b} USING ({keys})" if keys else f"{a} CROSS JOIN {b}"
+    return f"""{name}_m AS MATERIALIZED (SELECT {k}count(*) AS n, quantile_cont({value}, 0.5) AS med FROM {src} WHERE {value} IS NOT NULL {by}),
+{name}_1 AS MATERIALIZED (SELECT {k}{value} AS x, n, abs({value} - med) AS dev FROM {join(src, name + "_m")} WHERE {value} IS NOT NULL),
+{name}_2 AS MATERIALIZED (SELECT {k}quantile_cont(dev, 0.5) AS mad FROM {name}_1 {by}),
+{name}_3 AS MATERIALIZED (SELECT {k}x, n, dev / greatest(1.4826e0*mad, 1e-12) AS z FROM {join(name + "_1", name + "_2")}),
+{name}_q AS MATERIALIZED (SELECT {k}quantile_cont(z, {trim}) AS cut FROM {name}_3 {by}),
+{name}_5 AS MATERIALIZED (SELECT {k}x, n FROM {join(name + "_3", name + "_q")} WHERE n < 10 OR z <= cut + 1e-9),
+{name}_6 AS MATERIALIZED (SELECT {k}any_value(n) AS n6, quantile_cont(x, 0.5) AS med2 FROM {name}_5 {by}),
+{name} AS MATERIALIZED (SELECT {k}any_value(n6) AS n, any_value(med2) AS median, quantile_cont(abs(x - med2), 0.5) AS mad FROM {join(name + "_5", name + "_6")} {by})"""
+
+
+def _theil(column: str, src: str, name: str, out: str) -> str:
+    """CTEs that end in `name`: keys, cd_index, and the fit of a column by the median of slopes within four places."""
+    near = lambda a, b: f"{a}.image_id = {b}.image_id AND {a}.category_id = {b}.category_id AND abs({a}.cd_index - {b}.cd_index) <= 4"
+    return f"""{name}_s AS (SELECT a.image_id, a.category_id, a.cd_index, median((c.{column} - b.{column}) / (c.cd_index - b.cd_index)) AS slope FROM {src} a
+  JOIN {src} b ON {near("a", "b")} JOIN {src} c ON {near("a", "c")} AND b.cd_index < c.cd_index GROUP BY 1, 2, 3),
+{name} AS (SELECT a.image_id, a.category_id, a.cd_index, median(b.{column} - slope * (b.cd_index - a.cd_index)) AS {out} FROM {name}_s a JOIN {src} b ON {near("a", "b")} GROUP BY 1, 2, 3)"""
 
 
 _LONG = "lo AS (SELECT category_id, 'cd_nm' AS feature, cd_nm AS v FROM g UNION ALL SELECT category_id, 'angle', angle FROM g UNION ALL SELECT category_id, 'value_mismatch_nm', value_mismatch_nm FROM g)"
@@ -513,5 +552,18 @@ a AS (SELECT l2.image_id, l2.category_id, coalesce(g0, false) AS g0, round(impac
   greatest(abs((cd_median - m.median) / greatest(1.4826e0*m.mad, 1e-6)), (ln(greatest(cd_mad, 0e0) + 1e-3) - d.median) / greatest(1.4826e0*d.mad, 1e-6)) > 2 AS g2
   FROM l2 JOIN im USING (image_id, category_id) JOIN s2 m ON m.category_id = l2.category_id AND m.feature = 'm' JOIN s2 d ON d.category_id = l2.category_id AND d.feature = 'd' LEFT JOIN g0 ON g0.image_id = l2.image_id)
 SELECT *, CASE WHEN g0 THEN 'image' WHEN g1 THEN 'impact' WHEN g2 THEN 'sequence' ELSE 'pass' END AS verdict FROM a""",
-    "q_neighbours": f"WITH {PARTS} SELECT a.image_id, category_id, cd_index, {_r('a.cd_nm - b.cd_nm', 'change')} FROM g a JOIN (SELECT category_id, cd_index, cd_nm FROM g WHERE image_id = 1) b USING (category_id, cd_index)",
+    "q_neighbours": f"WITH {PARTS}, gm AS MATERIALIZED (SELECT image_id, category_id, cd_index, cd_nm FROM g), b AS MATERIALIZED (SELECT category_id, cd_index, arg_min(cd_nm, image_id) AS base_nm FROM gm GROUP BY 1, 2) SELECT image_id, category_id, cd_index, {_r('cd_nm - base_nm', 'change')} FROM gm JOIN b USING (category_id, cd_index)",
+    "q_flags": f"""WITH {PARTS}, m AS (SELECT category_id, CASE WHEN count(*) FILTER (WHERE NOT is_bad) >= count(*) FILTER (WHERE is_bad) THEN 1e0 ELSE -1e0 END AS mode FROM g GROUP BY 1)
+SELECT {_K}, CASE WHEN flag THEN 4e0 ELSE 0e0 END AS z_edge_valid_s, CASE WHEN CASE WHEN is_bad THEN -1e0 ELSE 1e0 END <> mode THEN 4e0 ELSE 0e0 END AS z_pol_s FROM g JOIN m USING (category_id)""",
+    "q_normal_resid_theilsen": f"""WITH {PARTS}, pm AS MATERIALIZED (SELECT {_K}, ex, ey FROM p), {_tangents('ex', 'ey', 'pm', 'tg')}, {_theil('ex', 'pm', 'fx', 'fitx')}, {_theil('ey', 'pm', 'fy', 'fity')}
+SELECT {_K}, round(CASE WHEN n_seq >= 5 THEN (ex - fitx) * -ty + (ey - fity) * tx END, 6) + 0e0 AS e_resid FROM tg LEFT JOIN fx USING ({_K}) LEFT JOIN fy USING ({_K})""",
+    "q_l2_sides": f"""WITH {PARTS}, {_normal('ex', 'ey', 'g', 'nr', 'e_resid')} SELECT image_id, category_id, {_r('median(value_mismatch_nm)', 'delta_median_s')}, {_r('median(-value_mismatch_nm)', 'delta_median_e')},
+  {_r('sqrt(avg(e_resid*e_resid))', 'traj_rms_e')} FROM nr GROUP BY 1, 2""",
+    "q_injected_recall": f"""WITH {PARTS}, {_STATS}, cs AS (SELECT * FROM (VALUES ('jump'), ('tilt'), ('slip')) a(failure), (VALUES (2e0), (8e0)) b(strength)),
+ij AS (SELECT category_id, failure, strength, cd_index % 7 = 3 AS hit, sy, ex, sx + CASE WHEN cd_index % 7 = 3 AND failure = 'jump' THEN strength ELSE 0e0 END AS sx,
+  ey + CASE WHEN cd_index % 7 = 3 AND failure = 'tilt' THEN strength ELSE 0e0 END AS ey, value_nm * CASE WHEN cd_index % 7 = 3 AND failure = 'slip' THEN 1 + strength / 100 ELSE 1e0 END AS value_nm FROM g, cs),
+ft AS (SELECT *, 0.5e0*sqrt((ex-sx)*(ex-sx) + (ey-sy)*(ey-sy)) AS cd_nm, degrees(atan2(ey-sy, ex-sx)) AS angle FROM ij),
+wide AS (SELECT category_id, {", ".join(f"max(median) FILTER (WHERE feature = '{c}') AS med_{c}, max(mad) FILTER (WHERE feature = '{c}') AS mad_{c}" for c in COHORT)} FROM st GROUP BY category_id),
+ev AS MATERIALIZED (SELECT failure, strength, hit, round(greatest(abs(cd_nm - med_cd_nm) / greatest(1.4826e0*mad_cd_nm, 1e-6), abs(angle - med_angle) / greatest(1.4826e0*mad_angle, 1e-6),
+  abs(value_nm - cd_nm - med_value_mismatch_nm) / greatest(1.4826e0*mad_value_mismatch_nm, 0.02e0)), 9) AS top_z FROM ft JOIN wide USING (category_id)), {_recall('ev', 'failure, strength', 'top_z', 'hit')}""",
 }

@@ -4,11 +4,11 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gaugewise.functions import kernels as K
-from gaugewise.operators import image
-from gaugewise.registry import MetrologyError, Params
-from gaugewise.sources import synth
+from gaugewise.operators import image, pyramid
+from gaugewise.registry import FEATURES, MetrologyError, Params
 
 
 def band(shift=0.0, rise=1.5, contrast=60.0, noise=3.0):
@@ -100,37 +100,34 @@ def test_to_uint8():
         K.to_uint8(ramp, "none")
 
 
-def test_operators_on_a_small_synthetic_set(spark):
-    p = synth.SynthParams(n_images=2, n_images_per_case=1, height=256, width=256, n_categories=2, cds_per_category=10, inject={"edge_jump": (0, 2), "missing": (0, 0.2), "mask_shift": (4,)})
-    data = synth.generate(spark, p).cache()
-    again = synth.generate(spark, p)
-    assert data.select("image_id", "pixels", "records").exceptAll(again.select("image_id", "pixels", "records")).count() == 0
-    rows = synth.records(data)
-    n = {r.image_id: r["count"] for r in rows.groupBy("image_id").count().collect()}
-    assert n["none_0_00"] == 20 and n["missing_1_00"] == 16
-    assert {r.unit for r in rows.select("unit").distinct().collect()} == {"nm", "Å"}
-    images = data.select("image_id", "h", "w", "pixels")
-    segs = rows.selectExpr("image_id", "category_id", "cd_index", "sx", "sy", "ex", "ey", "0.5D px_nm", "0D ribbon_tx", "1D ribbon_ty")
-    found = image.image_evidence(segs, images.where("image_id <> 'none_0_01'"))
-    assert found.where("image_id = 'none_0_01' and (delta_s is not null or edge_valid_s)").count() == 0
-    assert abs(found.where("image_id = 'none_0_00'").selectExpr("median(delta_s)").first()[0]) < 0.3
-    fit = image.mask_evidence(segs, synth.masks(data), images)
-    far = {r.image_id: r.d for r in fit.groupBy("image_id").agg({"mdist_s": "median"}).withColumnRenamed("median(mdist_s)", "d").collect()}
-    assert far["mask_shift_0_00"] > 1 > far["none_0_00"]
-    assert image.mask_features(synth.masks(data), images).where("mask_n_components = 1").count() == data.count() * 2
-    best = image.convention_scores(segs, images).first()
+def test_operators_on_known_images(spark):
+    s, e, _, _ = segments()
+    found = [(k, 200, 200, band(shift=shift).tobytes()) for k, shift in (("a", 0.0), ("b", 2.0))]
+    images = spark.createDataFrame(found, "image_id string, h int, w int, pixels binary")
+    mask = np.zeros((200, 200), np.uint8)
+    mask[:, 80:131] = 1
+    masks = spark.createDataFrame([("a", 0, 200, 200, mask.tobytes()), ("b", 0, 200, 200, np.roll(mask, 4, axis=1).tobytes())], "image_id string, category_id int, h int, w int, bits binary")
+    rows = [(k, 0, i, *map(float, (*p, *q)), 0.5, 25.0) for k in "abc" for i, (p, q) in enumerate(zip(s, e))]
+    segs = spark.createDataFrame(rows, "image_id string, category_id int, cd_index long, sx double, sy double, ex double, ey double, px_nm double, value_nm double")
+    l3 = pyramid.extract_l3(segs, images, masks, value_nm="value_nm")
+    got = {r.image_id: r for r in l3.groupBy("image_id").agg(*[F.median(c).alias(c) for c in ("delta_s", "mdist_s", "cd_nm", "value_mismatch_nm")], F.count("*").alias("n")).collect()}
+    assert {k: r.n for k, r in got.items()} == {"a": 10, "b": 10, "c": 10}
+    assert abs(got["a"].delta_s) < 0.15 and got["b"].delta_s == pytest.approx(1.0, abs=0.2) and got["c"].delta_s is None
+    assert got["a"].mdist_s == 0 and got["b"].mdist_s == 2.0 and got["a"].cd_nm == 25.0 and got["a"].value_mismatch_nm == 0
+    order = [f.name for f in FEATURES if f.name in l3.columns]
+    assert l3.columns == [*pyramid.KEYS, *order, "mid_x", "mid_y", "px_nm"] and {"delta_s", "mgrad_e", "minside", "obliquity"} <= set(order)
+    alone = pyramid.extract_l3(segs)
+    assert alone.where("edge_valid_s or delta_s is not null").count() == 0 and alone.count() == 30
+    with pytest.raises(Exception, match="E-ARG-06"):
+        pyramid.extract_l3(segs.withColumn("px_nm", F.lit(0.0))).collect()
+    assert image.mask_features(masks, images).where("mask_n_components = 1").count() == 2
+    best = image.convention_scores(segs, images.where("image_id = 'a'")).first()
     assert (best.convention, best.y_flip, best.origin) == ("xy", False, "zero") and best.median_dist_px < 0.75
     swapped = segs.selectExpr("image_id", "sy + 1 sx", "sx + 1 sy", "ey + 1 ex", "ex + 1 ey")
-    assert image.convention_scores(swapped, images).first().convention == "rowcol"
+    assert image.convention_scores(swapped, images.where("image_id = 'a'")).first().convention == "rowcol"
 
 
 def test_wrong_image(spark):
     with pytest.raises(MetrologyError, match="E-ARG-02"):
         image.as_image({"h": 2, "w": 2, "pixels": b"abc"})
     assert Params().worse_when("cnr_s") == "low" and Params(direction_overrides={"cnr_s": "both"}).worse_when("cnr_s") == "both"
-
-
-def test_acceptance_cells():
-    from gaugewise.plans import acceptance
-
-    assert len(acceptance.cells()) == 52

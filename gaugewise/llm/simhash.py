@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,35 +13,72 @@ from pyspark.sql import functions as F
 
 from gaugewise.llm.common import fresh, id_and_text, passes, schema_of, text_bytes, written
 from gaugewise.llm.components import connected_components
+from gaugewise.llm.suffix_dedup import _mixed
 
-#: Lengths of the five blocks of a fingerprint, from its highest bit. Of two fingerprints that differ in at most
-#: four bits, some rotation of the blocks has fewer than j differing bits in its first j blocks, for every j.
-BLOCKS = (13, 13, 13, 13, 12)
-MAX_BITS = 4
-#: Bits that agree in that rotation before any may differ; they name the trie's subtree, and the task.
-KEY_BITS = 12
 
+@dataclass(frozen=True)
+class Budget:
+    """How many bits two linked fingerprints may differ in.
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """The 64-bit SimHash over word shingles, repeats included; 0 for a text without words."""
+    blocks: lengths of one block more than `bits`, from the highest bit. Of two fingerprints that differ in at most
+    `bits`, some rotation of the blocks has fewer than j differing bits in its first j blocks, for every j; so its first
+    `key` bits agree. They name the trie's subtree, and the task. total: the most that all fingerprints of two texts,
+    where they have several, may differ in together.
+    """
+
+    blocks: tuple[int, ...]
+    bits: int
+    key: int
+    total: int | None = None
+
+
+FOUR_BITS = Budget((13, 13, 13, 13, 12), 4, 12)
+BLOCKS = FOUR_BITS.blocks
+#: Fingerprints of a text where links go by similarity.
+SEVERAL = 4
+
+
+def by_similarity(jaccard: float) -> Budget:
+    """Eight bits in one of SEVERAL fingerprints, and in all together as many as texts of that similarity differ in, on average and half a standard deviation."""
+    p = math.acos(2 * jaccard / (1 + jaccard)) / math.pi
+    n = 64 * SEVERAL
+    return Budget((7,) * 8 + (8,), 8, 7, int(n * p + 0.5 * math.sqrt(n * p * (1 - p))))
+
+
+def _shingle_hashes(text: bytes, width: int) -> np.ndarray:
     import xxhash
 
     words = text.lower().split()  # of bytes: A-Z only, and exactly \x20 and \x09-\x0D
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())], np.uint64)
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())], np.uint64)
+
+
+def _majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 8192):
         ones += np.unpackbits(h[i : i + 8192].byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
 
 
+def fingerprint(text: bytes, width: int = 4) -> int:
+    """The 64-bit SimHash over word shingles, repeats included; 0 for a text without words."""
+    return _majority(_shingle_hashes(text, width))
+
+
+def several(text: bytes, width: int = 5) -> list[int]:
+    """SEVERAL fingerprints, from the shingles' hashes and from remixed ones; the first is fingerprint()."""
+    h = _shingle_hashes(text, width)
+    return [_majority(_mixed(h + np.uint64(k * 0x632BE59BD9B4E019 % (1 << 64))) if k else h) for k in range(SEVERAL)]
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """doc_id, row (its place in df) and fp (the fingerprint as a signed long) for every row; null text counts as empty."""
     base = id_and_text(df, id_col, text_col).select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
@@ -65,10 +104,11 @@ class _Trie:
     #: Pairs of nodes carried at a time.
     FRONT = 1 << 20
 
-    def __init__(self, sorted_fps: np.ndarray, roots: np.ndarray, rotation: np.ndarray):
-        self.a, self.roots, self.rotation = sorted_fps, roots, rotation
+    def __init__(self, sorted_fps: np.ndarray, roots: np.ndarray, rotation: np.ndarray, budget: Budget = FOUR_BITS, others: np.ndarray | None = None):
+        """others: the other fingerprints of each text, for a budget with a total."""
+        self.a, self.roots, self.rotation, self.budget, self.others = sorted_fps, roots, rotation, budget, others
         self.label = np.arange(len(sorted_fps))
-        bounds = np.array([np.cumsum(np.roll(BLOCKS, -r)) for r in range(len(BLOCKS))])
+        bounds = np.array([np.cumsum(np.roll(budget.blocks, -r)) for r in range(len(budget.blocks))])
         self.allowed = np.array([[np.searchsorted(b, depth, "left") for depth in range(65)] for b in bounds])
 
     def link(self, i: np.ndarray, j: np.ndarray) -> None:
@@ -85,7 +125,11 @@ class _Trie:
                 label = self.label = up
 
     def near(self, i: np.ndarray, j: np.ndarray) -> None:
-        close = np.bitwise_count(self.a[i] ^ self.a[j]) <= MAX_BITS
+        apart = np.bitwise_count(self.a[i] ^ self.a[j]).astype(np.int64)
+        close = apart <= self.budget.bits
+        if self.others is not None:
+            i, j, apart = i[close], j[close], apart[close]
+            close = apart + np.bitwise_count(self.others[i] ^ self.others[j]).sum(axis=1, dtype=np.int64) <= self.budget.total
         self.link(i[close], j[close])
 
     def components(self) -> np.ndarray:
@@ -101,7 +145,7 @@ class _Trie:
         lo, hi = roots[:-1], roots[1:]
         many = hi - lo > 1
         lo, hi, rot = lo[many], hi[many], self.rotation[many]
-        stack = [(KEY_BITS, lo, hi, lo, hi, np.zeros(len(lo), np.int8), rot)]
+        stack = [(self.budget.key, lo, hi, lo, hi, np.zeros(len(lo), np.int8), rot)]
         ones_at: dict[int, np.ndarray] = {}
         while stack:
             depth, al, ah, bl, bh, err, rot = stack.pop()
@@ -147,49 +191,73 @@ class _Trie:
         return i[i < j], j[i < j]
 
 
-def _rotated(fp: Column, rotation: int) -> Column:
-    by = sum(BLOCKS[:rotation])
+def _rotated(fp: Column, rotation: int, blocks: tuple[int, ...]) -> Column:
+    by = sum(blocks[:rotation])
     return F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by)) if by else fp
 
 
-def _links_of(rotation: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-    """Star edges (fingerprint, first fingerprint of its component) among rotated fingerprints that share their key."""
+def _links_of(rotation: np.ndarray, fps: np.ndarray, ids: np.ndarray | None = None, others: np.ndarray | None = None, budget: Budget = FOUR_BITS) -> pa.RecordBatch:
+    """Star edges (id, first id of its component) among rotated fingerprints that share their key; ids are the fingerprints themselves where none are given.
+
+    rotation may count on over several tries: it is taken modulo the number of blocks.
+    """
     order = np.lexsort((fps, rotation))
     fps, rotation = fps[order], rotation[order]
-    new = np.concatenate(([True], (rotation[1:] != rotation[:-1]) | (fps[1:] >> np.uint64(64 - KEY_BITS) != fps[:-1] >> np.uint64(64 - KEY_BITS))))
+    key = fps >> np.uint64(64 - budget.key)
+    new = np.concatenate(([True], (rotation[1:] != rotation[:-1]) | (key[1:] != key[:-1])))
     roots = np.concatenate((np.flatnonzero(new), [len(fps)]))
-    label = _Trie(fps, roots, rotation[roots[:-1]]).components()
-    by = np.cumsum((0, *BLOCKS[:-1])).astype(np.uint64)[rotation]
-    back = np.where(by == 0, fps, (fps >> by) | (fps << ((np.uint64(64) - by) % np.uint64(64))))
+    turn = rotation % len(budget.blocks)
+    label = _Trie(fps, roots, turn[roots[:-1]], budget, None if others is None else others[order]).components()
+    if ids is None:
+        by = np.cumsum((0, *budget.blocks[:-1])).astype(np.uint64)[turn]
+        back = np.where(by == 0, fps, (fps >> by) | (fps << ((np.uint64(64) - by) % np.uint64(64)))).view(np.int64)
+    else:
+        back = ids[order]
     u = np.flatnonzero(label != np.arange(len(label)))
-    return pa.RecordBatch.from_arrays([pa.array(back[u].view(np.int64)), pa.array(back[label[u]].view(np.int64))], ["u", "v"])
+    return pa.RecordBatch.from_arrays([pa.array(back[u]), pa.array(back[label[u]])], ["u", "v"])
 
 
-def _join_tries(batches: Iterator[pa.RecordBatch], most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+def _joins(budget: Budget, most: int = 1 << 17):
     """Joins the tries of a partition that is sorted by rotation and key, some whole keys at a time."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    n = 0
-    for batch in batches:
-        held.append((batch.column("rot").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("rfp").to_numpy().view(np.uint64)))
-        n += len(batch)
-        if n < most:
-            continue
-        rot, fps = (np.concatenate(x) for x in zip(*held))
-        key = rot << KEY_BITS | (fps >> np.uint64(64 - KEY_BITS)).astype(np.int64)
-        last = np.flatnonzero(key != key[-1])
-        cut = last[-1] + 1 if len(last) else 0  # the last key may go on in the next batch
-        if cut:
-            yield _links_of(rot[:cut], fps[:cut])
-        held, n = [(rot[cut:], fps[cut:])], len(fps) - cut
-    if n:
-        yield _links_of(*(np.concatenate(x) for x in zip(*held)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
+
+        def links(rot: np.ndarray, fps: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+            return _links_of(rot, fps, more[0], np.stack(more[1:], axis=1), budget) if more else _links_of(rot, fps, budget=budget)
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy().view(np.uint64), *(batch.column(i).to_numpy() if i == 2 else batch.column(i).to_numpy().view(np.uint64) for i in range(2, batch.num_columns))))
+            n += len(batch)
+            if n < most:
+                continue
+            rot, fps, *more = (np.concatenate(x) for x in zip(*held))
+            key = rot << budget.key | (fps >> np.uint64(64 - budget.key)).astype(np.int64)
+            last = np.flatnonzero(key != key[-1])
+            cut = last[-1] + 1 if len(last) else 0  # the last key may go on in the next batch
+            if cut:
+                yield links(rot[:cut], fps[:cut], *(x[:cut] for x in more))
+            held, n = [(rot[cut:], fps[cut:], *(x[cut:] for x in more))], len(fps) - cut
+        if n:
+            yield links(*(np.concatenate(x) for x in zip(*held)))
+
+    return run
+
+
+def _turned(fp: str, budget: Budget, first: int = 0, *more: str) -> Column:
+    """All rotations of a fingerprint: rot (from `first` on), rfp, and other columns."""
+    return F.array(*[F.struct(F.lit(first + r).alias("rot"), _rotated(F.col(fp), r, budget.blocks).alias("rfp"), *more) for r in range(len(budget.blocks))])
+
+
+def _linked(turned: DataFrame, budget: Budget) -> DataFrame:
+    key = F.shiftrightunsigned("rfp", 64 - budget.key)
+    return turned.withColumn("_key", key).repartition("rot", "_key").sortWithinPartitions("rot", "_key").drop("_key").mapInArrow(_joins(budget), "u long, v long")
 
 
 def near_links(fps: DataFrame) -> DataFrame:
     """Edges u, v that connect all distinct fp of the table which differ in at most four bits."""
-    turned = fps.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rot"), _rotated(F.col("fp"), r).alias("rfp")) for r in range(len(BLOCKS))])).alias("x")).select("x.rot", "x.rfp")
-    key = F.shiftrightunsigned("rfp", 64 - KEY_BITS)
-    return turned.withColumn("key", key).repartition("rot", "key").sortWithinPartitions("rot", "key").select("rot", "rfp").mapInArrow(_join_tries, "u long, v long")
+    return _linked(fps.select(F.explode(_turned("fp", FOUR_BITS)).alias("x")).select("x.rot", "x.rfp"), FOUR_BITS)
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -211,8 +279,53 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return fps.join(ids, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"), "row")
 
 
-def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """One row of df for each component of simhash_components(), with df's columns. df must read alike twice, as files do."""
+def alike(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per row of df: doc_id, row, root (a number of its group), kept (one row of each group, the first with the smallest id).
+
+    A text has SEVERAL fingerprints. Two texts are linked where one of these agrees, or differs in at most eight bits and
+    all together in no more than by_similarity() allows for that Jaccard similarity of their shingles: each fingerprint
+    has a trie of its own, whose links are confirmed by all of them in the same task. So a link is by an estimate of
+    similarity from 64 * SEVERAL bits, and a pair whose every fingerprint differs in over eight bits is missed.
+    """
+    budget = by_similarity(similarity)
+    base = id_and_text(df, id_col, text_col).select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    names = [f"f{k}" for k in range(SEVERAL)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in passes(batch):
+                fp = np.array([several(x, width) for x in text_bytes(part.column("text"))], np.uint64).reshape(-1, SEVERAL).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), *map(pa.array, fp.T.copy())], ["doc_id", "row", *names])
+
+    fps = written(base.mapInArrow(run, schema_of(base, ("row", "long"), *[(x, "long") for x in names])), "alike-fp")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = written(fps.groupBy(*names).agg(F.min(first).alias("first")).withColumn("id", F.col("first.row")), "alike-classes")
+    edges, tries = [], []
+    for k, name in enumerate(names):
+        own = classes.groupBy(name).agg(F.min(F.struct("id", *[x for x in names if x != name])).alias("one"))
+        own = written(own.select(name, "one.*"), "alike-distinct")
+        edges.append(classes.select(name, F.col("id").alias("u")).join(own.select(name, F.col("id").alias("v")), name).where("u <> v").select("u", "v"))
+        turned = own.select(F.explode(_turned(name, budget, k * len(budget.blocks), "id", *[F.col(x).alias(f"o{i}") for i, x in enumerate(x for x in names if x != name)])).alias("x"))
+        tries.append(turned.select("x.*"))
+    near = tries[0]
+    for t in tries[1:]:
+        near = near.unionByName(t)
+    near = _linked(near, budget)
+    for e in edges:
+        near = near.unionByName(e)
+    labels = connected_components(written(near, "alike-links"))
+    named = written(classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select(*names, "first", F.coalesce("root", "id").alias("root")), "alike-named")
+    smallest = named.groupBy("root").agg(F.min("first").alias("least"))
+    ids = written(named.join(smallest, "root").select(*names, "root", "least"), "alike-ids")
+    return fps.join(ids, names).select("doc_id", "row", "root", (F.col("row") == F.col("least.row")).alias("kept"))
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of df for each group of alike(), with df's columns: the first row with the group's smallest id.
+
+    Null and empty texts and texts without words are one group. df must read alike twice, as files do. Rows with equal
+    ids are rows of their own. An empty table gives an empty one.
+    """
     row = fresh(df, "row")
-    dropped = simhash_components(df, id_col, text_col, width).where("not kept").select(F.col("row").alias(row))
-    return df.withColumn(row, F.monotonically_increasing_id()).join(written(dropped, "simhash-dropped"), row, "left_anti").select(*df.columns)
+    dropped = alike(df, id_col, text_col, width, similarity).where("not kept").select(F.col("row").alias(row))
+    return df.withColumn(row, F.monotonically_increasing_id()).join(written(dropped, "alike-dropped"), row, "left_anti").select(*df.columns)

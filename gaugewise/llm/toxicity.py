@@ -23,6 +23,8 @@ SYMBOLS = 28
 ORDER = 4
 #: The most labelled rows that the classifier is fitted on, by a hash of their ids; it bounds what is broadcast.
 LABELLED = 40_000
+#: Gradient steps of the classifier's fit, and its shrinkage.
+STEPS, SHRINKAGE = 400, 0.02
 #: Words that a worker remembers how to restore.
 REMEMBERED = 400_000
 #: Distinct words that a worker counts before it passes the counts on.
@@ -200,49 +202,52 @@ def _word_counts(labelled: DataFrame, restorer: Restorer) -> DataFrame:
 
 
 class Model:
-    """Log odds of words, each once a text, and a logistic curve from their sum to a score."""
+    """Weights of words, each once a text, and the logistic curve of their sum."""
 
-    def __init__(self, weights: dict[bytes, float], slope: float, offset: float, tells: bool = True):
+    def __init__(self, weights: dict[bytes, float], offset: float, tells: bool = True):
         """tells: whether it has seen both labels."""
-        self.weights, self.slope, self.offset, self.tells = weights, slope, offset, tells
+        self.weights, self.offset, self.tells = weights, offset, tells
 
     def total(self, words: set[bytes]) -> float:
         return sum(sorted(self.weights[w] for w in words & self.weights.keys()))
 
     def score(self, total: float) -> float:
-        x = self.slope * total + self.offset
+        x = total + self.offset
         return 0.0 if x < -500 else 1 / (1 + math.exp(-x))
 
 
-def _weights(counts: DataFrame) -> dict[bytes, float]:
+def _telling(counts: DataFrame) -> set[bytes]:
     """The words whose split over labels is no accident: a likelihood-ratio test against the number of words tried. They are words of the labelled sample, which bounds them."""
     whole = counts.where(F.length("word") == 0).agg(F.sum("bad"), F.sum("good")).first()
     bad, good = (float(x or 0) for x in whole)
     if not bad or not good:
-        return {}
+        return set()
     b, g, n = F.col("bad").cast("double"), F.col("good").cast("double"), bad + good
     part = lambda x, of, total: F.when(x > 0, x * F.log(x * n / ((b + g) * total) if of else x * n / ((n - b - g) * total))).otherwise(0.0)
     test = 2 * (part(b, True, bad) + part(g, True, good) + part(F.lit(bad) - b, False, bad) + part(F.lit(good) - g, False, good))
     kept = counts.where((F.length("word") > 0) & (b + g < n)).withColumn("test", test)
     tried = max(2, counts.count())
     kept = kept.where(F.col("test") > 2 * math.log(tried) + 2)
-    return {bytes(r.word): math.log((r.bad + 0.5) / (bad + 1)) - math.log((r.good + 0.5) / (good + 1)) for r in kept.select("word", "bad", "good").collect()}
+    return {bytes(r.word) for r in kept.select("word").collect()}
 
 
-def _curve(sums: list[tuple[float, int, int]]) -> tuple[float, float]:
-    """Slope and offset of the logistic curve through (total, bad, good), by Newton's method with a little shrinkage."""
-    x, bad, good = (np.array(v, float) for v in zip(*sums))
-    a, b = 0.3, math.log((bad.sum() + 0.5) / (good.sum() + 0.5))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -50, 50)))
-        miss, w = (bad + good) * p - bad, np.maximum((bad + good) * p * (1 - p), 1e-9)
-        grad = np.array([(miss * x).sum() + 0.1 * (a - 0.3), miss.sum()])
-        hess = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-6]])
-        step = np.linalg.solve(hess, grad)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(max(a, 0.0)), float(b)
+def _fitted(toxic: np.ndarray, row: np.ndarray, word: np.ndarray, n_words: int) -> tuple[np.ndarray, float]:
+    """Weights of words and an offset: logistic regression of labels on the words of each row (row, word: what is in what), with shrinkage.
+
+    All words are weighed together, so that a word which is common in one label only because one text has many near
+    copies adds nothing to the words that tell in all of them. No weight is below zero, so that harmless words cannot
+    hide others. Gradient steps of a size of their own for each weight.
+    """
+    w, b = np.zeros(n_words), math.log((toxic.sum() + 0.5) / (len(toxic) - toxic.sum() + 0.5))
+    mean, power = np.zeros(n_words + 1), np.zeros(n_words + 1)
+    for step in range(1, STEPS + 1):
+        z = np.bincount(row, w[word], len(toxic)) + b
+        miss = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - toxic
+        grad = np.append(np.bincount(word, miss[row], n_words) + SHRINKAGE * w, miss.sum())
+        mean, power = 0.9 * mean + 0.1 * grad, 0.99 * power + 0.01 * grad * grad
+        move = 0.3 * (1 - step / (STEPS + 1)) * (mean / (1 - 0.9**step)) / (np.sqrt(power / (1 - 0.99**step)) + 1e-9)
+        w, b = np.maximum(w - move[:-1], 0.0), b - move[-1]
+    return w, float(b)
 
 
 def train(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, holdout: int) -> tuple[Restorer, Model]:
@@ -254,22 +259,26 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, l
     n = usable.count()
     place = F.shiftrightunsigned(F.xxhash64("_label_id"), 33)
     sample = usable.where(place < int(min(1.0, 0.95 * LABELLED / max(n, 1)) * (1 << 31))) if n > LABELLED else usable
-    labelled = documents.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample.limit(LABELLED)), F.col("_id") == F.col("_label_id")).select("text", "toxic")
+    labelled = documents.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample.limit(LABELLED)), F.col("_id") == F.col("_label_id")).groupBy("text").agg(F.max("toxic").alias("toxic"))  # copies teach once
     counts = _word_counts(labelled, restorer).persist()
-    weights = _weights(counts)
+    chosen = _telling(counts)
     counts.unpersist()
-    model = Model(weights, 0.0, -math.inf, False)
+    names = sorted(chosen)
+    place = {x: i for i, x in enumerate(names)}
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = [round(min(max(model.total(restorer.words(t)), -60.0), 60.0) * 4) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), batch.column("toxic")], ["total", "toxic"])
-
-    seen = labelled.mapInArrow(totals, "total int, toxic int").groupBy("total").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).collect()
-    if seen:
-        model.slope, model.offset = _curve([(r.total / 4, r.bad, r.good) for r in sorted(seen)])
-        model.tells = any(r.bad for r in seen) and any(r.good for r in seen)
-    return restorer, model
+            found = [sorted(place[w] for w in restorer.words(t) & place.keys()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("toxic")], ["words", "toxic"])
+
+    rows = labelled.mapInArrow(telling, "words array<int>, toxic int").orderBy("toxic", "words").toArrow()  # LABELLED rows at most
+    toxic = rows.column("toxic").to_numpy().astype(float)
+    if not len(toxic):
+        return restorer, Model({}, -math.inf, False)
+    words = rows.column("words").combine_chunks()
+    each = words.value_lengths().to_numpy(zero_copy_only=False)
+    w, offset = _fitted(toxic, np.repeat(np.arange(len(toxic)), each), words.flatten().to_numpy(), len(names))
+    return restorer, Model(dict(zip(names, w.tolist())), offset, bool(0 < toxic.sum() < len(toxic)))
 
 
 def score(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", holdout: int = 5, with_text: bool = False) -> DataFrame:

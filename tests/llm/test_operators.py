@@ -428,6 +428,18 @@ def test_toxicity(spark, documents):
     assert toxicity.without_toxic(empty(spark), odd_labels).count() == 0
 
 
+def test_fit_is_not_led_by_copies(spark):
+    """A word that tells in all toxic texts is weighed, those of a text with many near copies are not, on either side."""
+    rows = []
+    for i in range(400):
+        rows.append((f"{words(40, i)} {'idiot ' if i % 4 == 0 else ''}{words(40, 1000 + i)}", int(i % 4 == 0)))
+    copied, other = words(60, 5000), words(60, 5001)
+    rows += [(f"{copied} {words(3, 6000 + i)}", 0) for i in range(600)] + [(f"{other} idiot {words(3, 7000 + i)}", 1) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)] + [(9001, f"{other} {words(9, 1)}"), (9002, f"{copied} 1d10t {words(9, 2)}")], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")).collect()}
+    assert sum(got[i] == y for i, (_, y) in enumerate(rows)) >= 0.99 * len(rows) and got[9002] == 1
+
+
 def test_decoder(spark):
     """Against all ways through the channel, one by one; and every form of obfuscation reaches it."""
     from itertools import groupby, product

@@ -453,6 +453,49 @@ ns AS (SELECT image_id, 1.4826e0*median(abs(lap - ml)) / sqrt(20e0) AS noise, qu
 _THUMB = f"{_PIX}, {_moved('u8', '8', '8')}"
 _BND = """mk AS (SELECT image_id, y, x, f > 0 AS m FROM u8),
 bd AS (SELECT p.image_id, p.y, p.x FROM mk p LEFT JOIN mk q ON q.image_id = p.image_id AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 AND q.m WHERE p.m GROUP BY 1, 2, 3 HAVING count(q.y) < 9)"""
+_SLAB = f"""e AS (SELECT label, CAST(floor(vec_id / 640) AS BIGINT) AS part, row_number() OVER (PARTITION BY label, CAST(floor(vec_id / 640) AS BIGINT) ORDER BY vec_id) - 1 AS y, embedding FROM embeddings),
+u8 AS (SELECT concat_ws('_', label, part) AS image_id, y, generate_subscripts(embedding, 1) - 1 AS x, CAST(unnest(embedding) AS DOUBLE) AS f FROM e),
+v8 AS MATERIALIZED (SELECT image_id, y, x, CAST(least(greatest(floor(128e0 + 40e0*f), 0), 255) AS INT) AS v FROM u8),
+sz AS (SELECT image_id, CAST(max(y) + 1 AS INT) AS h, CAST(max(x) + 1 AS INT) AS w FROM v8 GROUP BY 1), vs AS MATERIALIZED (SELECT v8.*, h, w FROM v8 JOIN sz USING (image_id)),
+{_moved('vs', 'p.h', 'p.w')},
+sg AS (SELECT image_id, h, w, cd_index, 6e0 + 4*cd_index AS y FROM (SELECT image_id, h, w, unnest(range(0, greatest((h - 13) // 4, 0) + 1)) AS cd_index FROM sz))"""
+# The evidence of both ends of slab segments (32 pixels long, so 99 samples from -8.4 on and windows of 6.4 on either side).
+_KEY = "image_id, cd_index, side"
+_WIN = "t BETWEEN -6.4e0 - 1e-9 AND 6.4e0 + 1e-9"
+_ENDS = f"""pt AS (SELECT image_id, cd_index, h, w, y, i, -8.4e0 + 0.5e0*i AS place FROM sg, range(99) r(i)),
+px AS (SELECT *, least(CAST(floor(16 + place) AS INT), w - 2) AS x0 FROM pt),
+pv AS MATERIALIZED (SELECT px.image_id, cd_index, i, any_value(place) AS place, sum(v * CASE WHEN dx = 0 THEN 1 - (16 + place - x0) ELSE 16 + place - x0 END) / 5 AS v
+  FROM px CROSS JOIN (SELECT * FROM range(-2, 3) a(dy), range(2) b(dx)) JOIN v8 ON v8.image_id = px.image_id AND v8.y = least(greatest(px.y + dy, 0), h - 1) AND v8.x = x0 + dx GROUP BY 1, 2, 3),
+pa AS (SELECT *, CAST(least(greatest(y - 7, 0), greatest(h - 15, 0)) AS INT) AS r0 FROM sg),
+lp AS (SELECT pa.image_id, cd_index, p.y, p.x, sum(q.v * CASE WHEN dy = 0 AND dx = 0 THEN 4 WHEN dy = 0 OR dx = 0 THEN -2 ELSE 1 END) AS d FROM pa JOIN v8 p ON p.image_id = pa.image_id AND p.y BETWEEN r0 AND r0 + 14 AND p.x BETWEEN 25 AND 39
+  CROSS JOIN off JOIN v8 q ON q.image_id = pa.image_id AND q.y = least(greatest(p.y + dy, r0), r0 + 14, h - 1) AND q.x = least(greatest(p.x + dx, 25), 39) GROUP BY 1, 2, 3, 4),
+lm AS (SELECT *, median(d) OVER (PARTITION BY image_id, cd_index) AS md FROM lp), sn AS (SELECT image_id, cd_index, 1.4826e0*median(abs(d - md)) / 6 / sqrt(5e0) AS sigma FROM lm GROUP BY 1, 2),
+gk AS (SELECT t, exp(-t*t / 8e0) AS g FROM range(-8, 9) r(t)), kn AS (SELECT t, -t / 4e0 * g / sum(g) OVER () AS k FROM gk),
+sl AS MATERIALIZED (SELECT p.image_id, p.cd_index, p.i, any_value(p.place) AS place, any_value(p.v) AS v, sum(q.v * k) / 0.5e0 AS slope FROM pv p CROSS JOIN kn JOIN pv q ON q.image_id = p.image_id AND q.cd_index = p.cd_index
+  AND q.i = CASE WHEN p.i - t < 0 THEN t - p.i - 1 WHEN p.i - t > 98 THEN 197 - (p.i - t) ELSE p.i - t END GROUP BY 1, 2, 3),
+al AS MATERIALIZED (SELECT sl.*, side, expected, inward, (place - expected)*inward AS t FROM sl, (VALUES ('s', 0e0, 1), ('e', 32e0, -1)) u(side, expected, inward)),
+wn AS (SELECT *, abs(slope) AS g, row_number() OVER w AS rn, lag(abs(slope)) OVER w AS prev, lead(abs(slope)) OVER w AS next FROM al WHERE {_WIN} WINDOW w AS (PARTITION BY {_KEY} ORDER BY i)),
+tp AS (SELECT {_KEY}, rn AS top, g AS g1, slope AS s1, place AS at1, prev AS gp, next AS gn, count(*) OVER (PARTITION BY {_KEY}) AS n FROM wn QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY g DESC, rn) = 1),
+rg AS (SELECT *, coalesce(max(rn) FILTER (WHERE rn < top AND g < g1/2) OVER w, 0) + 1 AS lo, coalesce(min(rn) FILTER (WHERE rn > top AND g < g1/2) OVER w, n + 1) - 1 AS hi FROM wn JOIN tp USING ({_KEY}) WINDOW w AS (PARTITION BY {_KEY})),
+pk AS MATERIALIZED (SELECT {_KEY}, any_value(g1) AS g1, any_value(top > 1 AND top < n) AS edge_valid, sign(any_value(s1)) AS pol, coalesce(max(g) FILTER (WHERE abs(rn - top) > 6), 0e0) AS g2,
+  greatest(1, count(*) FILTER (WHERE g > prev AND g >= next AND g > 0.3e0*g1)) AS npk,
+  CASE WHEN any_value(hi - lo) >= 2 THEN coalesce(sum((g - g1/2)*place) FILTER (WHERE rn BETWEEN lo AND hi) / nullif(sum(g - g1/2) FILTER (WHERE rn BETWEEN lo AND hi), 0e0), any_value(at1))
+    ELSE any_value(at1 + 0.5e0*CASE WHEN gp IS NULL OR gn IS NULL OR abs(gp - 2*g1 + gn) < 1e-9 THEN 0e0 ELSE least(greatest(0.5e0*(gp - gn) / (gp - 2*g1 + gn), -0.5e0), 0.5e0) END) END AS peak FROM rg GROUP BY 1, 2, 3),
+fr AS (SELECT *, (place - peak)*inward AS away FROM al JOIN pk USING ({_KEY})),
+md AS (SELECT {_KEY}, median(v) FILTER (WHERE {_WIN} AND away >= 2) AS p_in, median(v) FILTER (WHERE {_WIN} AND away <= -2) AS p_out, least(count(*) FILTER (WHERE {_WIN} AND away >= 2), count(*) FILTER (WHERE {_WIN} AND away <= -2)) AS least_n FROM fr GROUP BY 1, 2, 3),
+st AS MATERIALIZED (SELECT *, CASE WHEN least_n >= 2 THEN abs(p_in - p_out) END AS step FROM md),
+cl AS (SELECT {_KEY}, i, place, peak, (v - p_out) / (p_in - p_out) AS q FROM fr JOIN st USING ({_KEY}) WHERE step > 1e-9 AND abs(place - peak) <= 8),
+cq AS (SELECT *, lead(q) OVER w AS q2, lead(place) OVER w AS at2, count(*) OVER (PARTITION BY {_KEY}) AS n FROM cl WINDOW w AS (PARTITION BY {_KEY} ORDER BY i)),
+cx AS (SELECT *, place + (at2 - place)*(q - level) / (q - q2) AS met FROM cq, (VALUES (0.1e0), (0.9e0)) l(level) WHERE n >= 4 AND (q - level)*(q2 - level) <= 0 AND q <> q2),
+cn AS (SELECT * FROM cx QUALIFY row_number() OVER (PARTITION BY {_KEY}, level ORDER BY abs(met - peak), i) = 1),
+rs AS (SELECT {_KEY}, abs(max(met) FILTER (WHERE level > 0.5) - max(met) FILTER (WHERE level < 0.5)) * 0.5e0 AS rise FROM cn GROUP BY 1, 2, 3),
+ov AS (SELECT {_KEY}, CASE WHEN least(count(*) FILTER (WHERE away BETWEEN 2 AND 6), count(*) FILTER (WHERE -away BETWEEN 2 AND 6)) >= 2
+  THEN greatest(0e0, max(sign(p_in - p_out)*(v - p_in)) FILTER (WHERE away BETWEEN 2 AND 6), max(sign(p_in - p_out)*(p_out - v)) FILTER (WHERE -away BETWEEN 2 AND 6)) / any_value(step) END AS overshoot FROM fr JOIN st USING ({_KEY}) WHERE step > 1e-9 GROUP BY 1, 2, 3),
+ab AS (SELECT image_id, cd_index, max(peak) FILTER (WHERE side = 's') AS a, max(peak) FILTER (WHERE side = 'e') AS b FROM pk GROUP BY 1, 2),
+fm AS (SELECT image_id, cd_index, v, median(v) OVER (PARTITION BY image_id, cd_index) AS m FROM sl JOIN ab USING (image_id, cd_index) WHERE place >= a + 6 AND place <= b - 6),
+pc AS (SELECT image_id, cd_index, CASE WHEN count(*) >= 5 THEN 1.4826e0*median(abs(v - m)) / greatest(abs(any_value(m)), 1e-6) END AS plateau_cv FROM fm GROUP BY 1, 2),
+en AS (SELECT *, (peak - CASE side WHEN 's' THEN 0e0 ELSE 32e0 END)*0.5e0 AS delta, CASE WHEN sigma > 0 THEN step / sigma END AS cnr, least(g1 / greatest(g2, g1 / 1e3, 1e-9), 1e3) AS margin
+  FROM pk JOIN sn USING (image_id, cd_index) JOIN st USING ({_KEY}) LEFT JOIN rs USING ({_KEY}) LEFT JOIN ov USING ({_KEY}))"""
 
 ORACLE_SQL: dict[str, str] = {
     "q_l1": f"""WITH {_THUMB}, b AS (SELECT image_id, avg(CASE WHEN v = 0 THEN 1e0 ELSE 0e0 END) AS sat_lo, avg(CASE WHEN v = 255 THEN 1e0 ELSE 0e0 END) AS sat_hi, quantile_cont(v, 0.99) - quantile_cont(v, 0.01) AS dyn FROM u8 GROUP BY 1),
@@ -480,12 +523,23 @@ cr AS (SELECT side, CAST(floor(py) AS INT) + dy AS y, CAST(floor(px) AS INT) + d
 dd AS (SELECT image_id, side, cr.y, cr.x, any_value(wt) AS wt, min(sqrt((bd.y - cr.y)**2 + (bd.x - cr.x)**2)) AS d FROM bd, cr GROUP BY 1, 2, 3, 4),
 dm AS (SELECT image_id, 0.5e0*sum(wt*d) FILTER (WHERE side = 's') AS ds, 0.5e0*sum(wt*d) FILTER (WHERE side = 'e') AS de FROM dd GROUP BY 1)
 SELECT mk.image_id, round(ds, 6) + 0e0 AS mdist_s, round(de, 6) + 0e0 AS mdist_e, m AS minside FROM mk LEFT JOIN dm USING (image_id) WHERE y = 4 AND x = 4""",
-    "q_slab_sigma": f"""WITH e AS (SELECT label, CAST(floor(vec_id / 640) AS BIGINT) AS part, row_number() OVER (PARTITION BY label, CAST(floor(vec_id / 640) AS BIGINT) ORDER BY vec_id) - 1 AS y, embedding FROM embeddings),
-u8 AS (SELECT concat_ws('_', label, part) AS image_id, y, generate_subscripts(embedding, 1) - 1 AS x, CAST(unnest(embedding) AS DOUBLE) AS f FROM e),
-v8 AS (SELECT image_id, y, x, CAST(least(greatest(floor(128e0 + 40e0*f), 0), 255) AS INT) AS v FROM u8),
-sz AS (SELECT image_id, CAST(max(y) + 1 AS INT) AS h, CAST(max(x) + 1 AS INT) AS w FROM v8 GROUP BY 1), vs AS (SELECT v8.*, h, w FROM v8 JOIN sz USING (image_id)),
-{_moved('vs', 'p.h', 'p.w')}
+    "q_slab_sigma": f"""WITH {_SLAB}
 SELECT sz.image_id, h, w, {_r('any_value(noise)', 'noise_sigma')}, {_r('avg(CASE WHEN v = 0 THEN 1e0 ELSE 0e0 END)', 'sat_lo')}, {_r('quantile_cont(v, 0.99) - quantile_cont(v, 0.01)', 'dyn_range')} FROM v8 JOIN sz USING (image_id) JOIN ns USING (image_id) GROUP BY 1, 2, 3""",
+    "q_evidence": f"""WITH {_SLAB}, {_ENDS}
+SELECT s.image_id, s.cd_index, {", ".join(f"{side}.edge_valid AS edge_valid_{side}, " + ", ".join(_r(f"{side}.{c}", f"{c}_{side}") for c in ("delta", "cnr", "rise", "margin", "npk", "overshoot", "pol")) for side in "se")}, {_r("plateau_cv", "plateau_cv")}
+FROM en s JOIN en e ON e.image_id = s.image_id AND e.cd_index = s.cd_index AND s.side = 's' AND e.side = 'e' LEFT JOIN pc ON pc.image_id = s.image_id AND pc.cd_index = s.cd_index""",
+    "q_convention": f"""WITH {_SLAB}, k AS (SELECT * FROM (VALUES ('xy'), ('rowcol')) a(convention), (VALUES (false), (true)) b(y_flip), (VALUES ('zero', 0e0), ('one', 1e0)) c(origin, o)),
+nd AS (SELECT image_id, cd_index, h, w, y, u.x, side FROM sg, (VALUES ('s', 16e0), ('e', 48e0)) u(side, x)),
+tr AS (SELECT image_id, cd_index, side, h, w, convention, y_flip, origin, CASE WHEN convention = 'xy' THEN x - o ELSE y - o END AS tx, CASE WHEN convention = 'xy' THEN y - o ELSE x - o END AS ty FROM nd, k),
+fp AS (SELECT * REPLACE (CASE WHEN y_flip THEN h - 1 - ty ELSE ty END AS ty), CASE WHEN convention = 'xy' THEN 1 ELSE 0 END AS ux, CASE WHEN convention = 'xy' THEN 0 WHEN y_flip THEN -1 ELSE 1 END AS uy FROM tr),
+pt AS MATERIALIZED (SELECT *, tx + (-3 + 0.25e0*j)*ux - c*uy AS px, ty + (-3 + 0.25e0*j)*uy + c*ux AS py FROM fp, range(25) r(j), range(-2, 3) q(c)),
+iv AS (SELECT * EXCLUDE (h, w), least(CAST(floor(px) AS INT), w - 2) AS x0, least(CAST(floor(py) AS INT), h - 2) AS y0, bool_and(px >= 0 AND px <= w - 1 AND py >= 0 AND py <= h - 1) OVER (PARTITION BY image_id, cd_index, side, convention, y_flip, origin) AS inside FROM pt),
+mn AS MATERIALIZED (SELECT iv.image_id, cd_index, side, convention, y_flip, origin, j, sum(gr * CASE WHEN bx = 0 THEN 1 - (px - x0) ELSE px - x0 END * CASE WHEN b_y = 0 THEN 1 - (py - y0) ELSE py - y0 END) / 5 AS m
+  FROM (SELECT * FROM iv WHERE inside) iv CROSS JOIN (SELECT * FROM (VALUES (0), (1)) a(bx), (VALUES (0), (1)) b(b_y)) JOIN gm ON gm.image_id = iv.image_id AND gm.y = y0 + b_y AND gm.x = x0 + bx GROUP BY ALL),
+ng AS (SELECT *, lag(m) OVER w AS lo, lead(m) OVER w AS hi FROM mn WINDOW w AS (PARTITION BY image_id, cd_index, side, convention, y_flip, origin ORDER BY j)),
+tp AS (SELECT * FROM ng QUALIFY row_number() OVER (PARTITION BY image_id, cd_index, side, convention, y_flip, origin ORDER BY m DESC, j) = 1),
+pl AS (SELECT image_id, cd_index, side, convention, y_flip, origin, abs(-3 + 0.25e0*j + 0.25e0*CASE WHEN lo IS NULL OR hi IS NULL OR abs(lo - 2*m + hi) < 1e-12 THEN 0e0 ELSE least(greatest(0.5e0*(lo - hi) / (lo - 2*m + hi), -0.5e0), 0.5e0) END) AS d FROM tp)
+SELECT convention, y_flip, origin, 1e0 AS scale, {_r("median(coalesce(d, 3e0))", "median_dist_px")} FROM fp LEFT JOIN pl USING (image_id, cd_index, side, convention, y_flip, origin) GROUP BY 1, 2, 3""",
     "q_to_nm": f"WITH {PARTS} SELECT {_K}, {_r('value_nm', 'value_nm')} FROM g",
     "q_unit_norm": f"WITH {PARTS}, r AS (SELECT {_RAW}[cd_index % {len(SPELLINGS)} + 1] || CASE WHEN category_id = 0 THEN ' ' ELSE '' END AS raw FROM p) SELECT raw, {_NORM} AS unit, count(*) AS n FROM r GROUP BY raw",
     "q_unknown_units": f"WITH {PARTS}, r AS (SELECT *, {_RAW}[cd_index % {len(SPELLINGS)} + 1] AS raw FROM p) SELECT category_id, raw, count(*) AS n FROM r WHERE {_NORM} IS NULL GROUP BY 1, 2",

@@ -103,11 +103,15 @@ class Dechunker:
         return not self.bad and not self.rest and self.state in ("over", "body")
 
 
-def records_of(page: object, uri: str | None, payload: bytes, serial: int, refers: tuple[object, str] | None, segment: int = SEGMENT) -> Iterator[bytes]:
+def records_of(page: object, uri: str | None, payload: bytes, serial: int, refers: tuple[object] | None, segment: int = SEGMENT) -> Iterator[bytes]:
     """The records of one page without what ends a record: a response in as many segments as its length asks for, or a revisit of a page."""
     digest = sha1_base32(payload)
     name = record_id(page, digest, serial)
-    common = [("WARC-Date", DATE)] + [("WARC-Target-URI", quote(uri, SAFE))] * (uri is not None) + [("WARC-Page-ID", quote(str(page), ""))] * (page is not None)
+    common = [("WARC-Date", DATE)]
+    if uri is not None:
+        common.append(("WARC-Target-URI", quote(uri, SAFE)))
+    if page is not None:
+        common.append(("WARC-Page-ID", quote(str(page), "")))
     http = ("Content-Type", "application/http; msgtype=response")
 
     def record(kind: str, own: str, fields: list[tuple[str, str]], block: bytes) -> bytes:

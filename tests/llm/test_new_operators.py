@@ -161,21 +161,15 @@ def test_damaged_segments(spark):
     assert len(whole) > 4
     cases = {
         "whole": whole, "turned": whole[::-1], "lacks": whole[:2] + whole[3:], "twice": [*whole, whole[2]], "no end": whole[:-1], "no start": whole[1:],
-        "total": [re.sub(rb"Total-Length: \d+", b"Total-Length: 7", r) for r in whole], "digest": [r.replace(b"sha1:", b"sha1:A") for r in whole], "framing": [r.replace(b"1000\r\n", b"1001\r\n") for r in whole],
+        "total": [re.sub(rb"Total-Length: \d+", b"Total-Length: 7", r) for r in whole], "digest": [r.replace(b"sha1:", b"sha1:A") for r in whole], "framing": [re.sub(rb"chunked\r\n\r\n.", b"chunked\r\n\r\n1", r) for r in whole],
     }
     for name, records in cases.items():
         raw = b"".join(r + b"\r\n\r\n" for r in records)
         for content in (raw, b"".join(gzip.compress(r + b"\r\n\r\n") for r in records)):
             assert [b for _, b in warc.parsed(content)] == [r.partition(b"\r\n\r\n")[2] for r in records]
         path = f"{shared_dir(spark)}/warc-{name.replace(' ', '-')}"
-        spark.createDataFrame([(raw,)], "v binary").select(F.col("v").cast("string")).write.option("lineSep", "\r\n\r\n").text(path)
-        if not raw.endswith(b"\r\n\r\n\r\n\r\n"):
-            got = warc.read_archives(spark, path, with_payload=True)
-            with pytest.raises(Exception, match="no record begins"):  # the writer of this test has put another end there
-                got.collect()
-        clean = f"{path}-clean"
-        spark.createDataFrame([(raw[:-4],)], "v binary").select(F.col("v").cast("string")).write.option("lineSep", "\r\n\r\n").text(clean)
-        rows = warc.read_archives(spark, clean, with_payload=True).collect()
+        spark.createDataFrame([(raw[:-4],)], "v binary").select(F.col("v").cast("string")).write.option("lineSep", "\r\n\r\n").text(path)
+        rows = warc.read_archives(spark, path, with_payload=True).collect()
         good = name in ("whole", "turned")
         assert [(r.complete, r.payload and bytes(r.payload), r.payload_bytes) for r in rows] == [(good, text if good else None, len(text) if good else None)], name
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugewise.llm import fill_in_middle, vector_codes, warc
-from gaugewise.llm.common import shared_dir, written
+from gaugewise.llm.common import written
 
 from .fixtures import empty, odd, words
 
@@ -143,8 +143,8 @@ def test_archives(spark, segment):
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.complete) for r in got.collect()) == archived_by_hand([(i, h) for i, _, h in rows])
 
 
-def test_archives_hold_payloads_and_nothing(spark):
-    rows, path = page_rows(), f"{shared_dir(spark)}/warc-test"
+def test_archives_hold_payloads_and_nothing(spark, tmp_path):
+    rows, path = page_rows(), f"{tmp_path}/warc"
     warc.write_archives(pages(spark, rows), path, segment=1000, compression="gzip")
     back = warc.read_archives(spark, path, with_payload=True).collect()
     texts = {str(i): h for i, _, h in rows if i is not None}
@@ -154,7 +154,7 @@ def test_archives_hold_payloads_and_nothing(spark):
     assert warc.archived(pages(spark, rows).where("false")).collect() == []
 
 
-def test_damaged_segments(spark):
+def test_damaged_segments(spark, tmp_path):
     """A segment that lacks, is there twice, or has a wrong number or length: the record is not complete; others are."""
     text = words(400, 3).encode()
     whole = list(warc.records_of(1, "u", text, 0, None, 500))
@@ -167,7 +167,7 @@ def test_damaged_segments(spark):
         raw = b"".join(r + b"\r\n\r\n" for r in records)
         for content in (raw, b"".join(gzip.compress(r + b"\r\n\r\n") for r in records)):
             assert [b for _, b in warc.parsed(content)] == [r.partition(b"\r\n\r\n")[2] for r in records]
-        path = f"{shared_dir(spark)}/warc-{name.replace(' ', '-')}"
+        path = f"{tmp_path}/{name.replace(' ', '-')}"
         spark.createDataFrame([(raw[:-4],)], "v binary").select(F.col("v").cast("string")).write.option("lineSep", "\r\n\r\n").text(path)
         rows = warc.read_archives(spark, path, with_payload=True).collect()
         good = name in ("whole", "turned")

@@ -236,19 +236,43 @@ def boundary(mask: np.ndarray) -> np.ndarray:
     return mask & ~whole
 
 
-def distances(mask: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From pixels (n, 2; row, column) to the nearest true pixel of a mask: distance and its number among np.argwhere(mask).
+def nearest_true(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every pixel the squared distance to the nearest true pixel of a mask, and that pixel's place in mask.ravel(); ties go to the first place.
 
-    Ties go to the first in rows and columns.
+    Two passes, linear in pixels. Down the columns the nearest true pixel of each column is a running maximum or
+    minimum. Along the rows what a column offers is a parabola, and the lower envelope of all parabolas is built from
+    left to right, all rows at a time. Costs are squared distances times the number of pixels plus the place, so that
+    no two are equal and whole numbers decide. The mask must hold a true pixel.
     """
-    edge = np.argwhere(mask)
-    dist, which = np.empty(len(points)), np.empty(len(points), int)
-    step = max(1, 4_000_000 // max(len(edge), 1))
-    for i in range(0, len(points), step):
-        d = ((points[i : i + step, None, :] - edge[None]) ** 2).sum(axis=2)
-        which[i : i + step] = d.argmin(axis=1)
-        dist[i : i + step] = np.sqrt(d[np.arange(len(d)), which[i : i + step]])
-    return dist, which
+    h, w = mask.shape
+    y = np.arange(h)[:, None]
+    above = np.maximum.accumulate(np.where(mask, y, -2 * h), axis=0)
+    below = np.minimum.accumulate(np.where(mask, y, 3 * h)[::-1], axis=0)[::-1]
+    row = np.where(y - above <= below - y, above, below)
+    scale = h * w
+    cost = (y - row) ** 2 * scale + row * w + np.arange(w)
+    columns = np.flatnonzero(mask.any(axis=0))
+    top = np.full(h, -1)  # the last parabola of each row's envelope
+    centre, start = np.zeros((h, len(columns)), np.int64), np.zeros((h, len(columns)), np.int64)
+    for q in columns:
+        own, open_ = np.zeros(h, np.int64), np.arange(h)
+        while len(open_ := open_[top[open_] >= 0]):
+            p = centre[open_, top[open_]]
+            # the first column where q costs less than p
+            at = (cost[open_, q] - cost[open_, p] + scale * (q * q - p * p)) // (2 * scale * (q - p)) + 1
+            gone = at <= start[open_, top[open_]]
+            own[open_] = np.where(gone, 0, at)
+            open_ = open_[gone]
+            top[open_] -= 1
+        keep = np.flatnonzero(own < w)
+        top[keep] += 1
+        centre[keep, top[keep]], start[keep, top[keep]] = q, own[keep]
+    level = np.zeros((h, w), np.int64)
+    r, k = np.nonzero(np.arange(len(columns)) <= top[:, None])
+    level[r, start[r, k]] = k
+    best = np.take_along_axis(centre, np.maximum.accumulate(level, axis=1), axis=1)
+    place = np.take_along_axis(row, best, axis=1) * w + best
+    return (np.arange(w) - best) ** 2 + (y - place // w) ** 2, place
 
 
 def mask_evidence(mask: np.ndarray, image: np.ndarray, s: np.ndarray, e: np.ndarray, px: np.ndarray, p: Params = Params()) -> dict[str, np.ndarray]:
@@ -260,19 +284,15 @@ def mask_evidence(mask: np.ndarray, image: np.ndarray, s: np.ndarray, e: np.ndar
     mid = np.rint((s[good] + e[good]) / 2).astype(int)
     out["minside"][good] = mask[np.clip(mid[:, 1], 0, h - 1), np.clip(mid[:, 0], 0, w - 1)]
     edge = boundary(mask)
-    places = np.argwhere(edge)
-    if not len(places) or not len(good):
+    if not edge.any() or not len(good):
         return out
     g = gradient(image)
+    squared, place = nearest_true(edge)
+    far = np.sqrt(squared)
     for side, xy in (("s", s[good]), ("e", e[good])):
-        y, x = np.clip(xy[:, 1], 0, h - 1), np.clip(xy[:, 0], 0, w - 1)
-        y0, x0 = np.minimum(y.astype(int), max(h - 2, 0)), np.minimum(x.astype(int), max(w - 2, 0))
-        y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
-        d = [distances(edge, np.stack((a, b), axis=1))[0] for a, b in ((y0, x0), (y0, x1), (y1, x0), (y1, x1))]
-        fy, fx = y - y0, x - x0
-        out[f"mdist_{side}"][good] = ((d[0] * (1 - fx) + d[1] * fx) * (1 - fy) + (d[2] * (1 - fx) + d[3] * fx) * fy) * px[good]
-        rounded = np.stack((np.clip(np.rint(xy[:, 1]), 0, h - 1), np.clip(np.rint(xy[:, 0]), 0, w - 1)), axis=1).astype(int)
-        near = places[distances(edge, rounded)[1]]
+        out[f"mdist_{side}"][good] = bilinear(far, xy[:, 1], xy[:, 0]) * px[good]
+        rounded = [np.clip(np.rint(xy[:, k]), 0, size - 1).astype(int) for k, size in ((1, h), (0, w))]
+        near = np.stack(np.divmod(place[rounded[0], rounded[1]], w), axis=1)
         sigma = np.array([local_sigma(image, c, r, p.noise_patch_px) for r, c in near])
         out[f"mgrad_{side}"][good] = g[near[:, 0], near[:, 1]] / np.maximum(np.nan_to_num(sigma, nan=0.0), 1e-9)
     return out

@@ -1,15 +1,24 @@
 """Image evidence as DataFrame operators: Spark brings an image and its segments or masks to one task, numpy does the rest.
 
 Images are rows (image_id, h, w, pixels), masks rows (image_id, category_id, h, w, bits); pixels and bits are bytes in
-rows. Images meet their segments by a shuffle on image_id and are never broadcast; a task holds one image at a time.
+rows. Images, masks and segments are one table of tagged rows, dealt by image and sorted so that an image comes before
+its masks and a mask before its segments. So pixels are sent once whatever the number of masks, and a task holds an
+image, a mask and the segments of one category at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gaugewise.functions import kernels
 from gaugewise.operators.convert import convention_candidates
@@ -45,48 +54,119 @@ def _nulls(df: DataFrame) -> DataFrame:
     return df.select([F.when(F.isnan(c), None).otherwise(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+IMAGE, MASK, SEGMENT = range(3)
+
+
+def _dealt(images: DataFrame, masks: DataFrame | None = None, segments: DataFrame | None = None, category: str | None = None) -> DataFrame:
+    """Images, masks and segments as tagged rows: _image, _category, _tag, h, w, _data and, if there are segments, all their columns in _row."""
+    kind = segments.schema[category].dataType if segments is not None and category else masks.schema["category_id"].dataType if masks is not None else T.IntegerType()
+    none = lambda t: F.lit(None).cast(t)
+    size = [F.col(c).cast("int").alias(c) for c in ("h", "w")]
+    row = [] if segments is None else [none(segments.select(F.struct(*segments.columns).alias("r")).schema["r"].dataType).alias("_row")]
+    parts = [images.where("image_id is not null").select(F.col("image_id").alias("_image"), none(kind).alias("_category"), F.lit(IMAGE).alias("_tag"), *size, F.col("pixels").alias("_data"), *row)]
+    if masks is not None:
+        parts.append(masks.where("image_id is not null").select(F.col("image_id").alias("_image"), F.col("category_id").cast(kind).alias("_category"), F.lit(MASK).alias("_tag"), *size, F.col("bits").alias("_data"), *row))
+    if segments is not None:
+        own = F.col(category) if category else none(kind)
+        parts.append(segments.select(F.col("image_id").alias("_image"), own.alias("_category"), F.lit(SEGMENT).alias("_tag"), *[none("int").alias(c) for c in ("h", "w")], none("binary").alias("_data"), F.struct(*segments.columns).alias("_row")))
+    return reduce(DataFrame.unionByName, parts).repartition("_image").sortWithinPartitions("_image", "_category", "_tag")
+
+
+class Group(NamedTuple):
+    """What belongs to one image and category: segments is None if only the mask came by."""
+
+    image_id: object
+    category_id: object
+    image: np.ndarray | None
+    mask: np.ndarray | None
+    segments: pa.Table | None
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[Group]:
+    """Groups in the order of _dealt(). Of images or masks with one name the first counts; E-ARG-07 if a mask is not of its image's size."""
+    image_of, image, mask_of, mask, group, held = None, None, None, None, None, []
+
+    def over() -> Group:
+        own = image if image_of == group[0] else None
+        return Group(*group, own, mask if own is not None and mask_of == group else None, pa.Table.from_batches(held) if held else None)
+
+    for batch in batches:
+        ids, categories, tags = (batch.column(c).to_pylist() for c in ("_image", "_category", "_tag"))
+        at = 0
+        while at < len(ids):
+            key, tag, end = (ids[at], categories[at]), tags[at], at + 1
+            while tag == SEGMENT and end < len(ids) and ids[end] == key[0] and categories[end] == key[1] and tags[end] == SEGMENT:
+                end += 1
+            if group is not None and (key != group or tag == IMAGE):
+                yield over()
+                group, held = None, []
+            if tag == IMAGE:
+                if image_of != key[0] or image is None:
+                    image_of, image = key[0], as_image({"h": batch["h"][at].as_py(), "w": batch["w"][at].as_py(), "pixels": batch["_data"][at].as_py()})
+            elif tag == MASK:
+                if image_of == key[0] and (group is None or mask_of != key):
+                    mask_of, mask = key, as_image({"h": batch["h"][at].as_py(), "w": batch["w"][at].as_py(), "bits": batch["_data"][at].as_py()}, "bits") != 0
+                    if mask.shape != image.shape:
+                        raise MetrologyError("E-ARG-07", f"{mask.shape}, {image.shape}")
+                group = key
+            else:
+                group = key
+                held.append(pa.RecordBatch.from_struct_array(batch.slice(at, end - at).column("_row")))
+            at = end
+    if group is not None:
+        yield over()
+
+
+def _found(found: dict[str, np.ndarray], names: tuple[str, ...]) -> list[pa.Array]:
+    """Kernel results as columns; NaN as null."""
+    return [pa.array(x) if x.dtype == bool else pa.array(x, pa.float64(), mask=np.isnan(x)) for x in (found[n] for n in names)]
+
+
+def _kind(name: str) -> T.DataType:
+    return T.BooleanType() if name.startswith("edge_valid") or name == "minside" else T.DoubleType()
+
+
+def segment_evidence(segments: DataFrame, images: DataFrame, masks: DataFrame | None = None, edges: bool = True, params: Params = Params()) -> DataFrame:
+    """segments with the columns of kernels.EVIDENCE (edges) and, if there are masks, of kernels.MASK_L3: a row a segment, in one exchange.
+
+    segments: image_id, sx, sy, ex, ey, px_nm, with edges ribbon_tx and ribbon_ty, with masks category_id, and any
+    others. Segments without an image have nulls and edge_valid false; without a mask all columns of the mask are null.
+    """
+    masked = masks is not None
+    names = kernels.EVIDENCE * edges + kernels.MASK_L3 * masked
+    schema = T.StructType([*segments.schema.fields, *(T.StructField(n, _kind(n)) for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches):
+            if g.segments is None:
+                continue
+            own, n = g.segments.combine_chunks(), len(g.segments)
+            numbers = lambda *c: np.stack([own[x].to_numpy(zero_copy_only=False).astype(float) for x in c], 1)
+            s, e, px = numbers("sx", "sy"), numbers("ex", "ey"), numbers("px_nm")[:, 0]
+            more = []
+            if edges:
+                nothing = {c: np.zeros(n, bool) if c.startswith("edge_valid") else np.full(n, np.nan) for c in kernels.EVIDENCE}
+                more += _found(nothing if g.image is None else kernels.evidence(g.image, s, e, numbers("ribbon_tx", "ribbon_ty"), px, params), kernels.EVIDENCE)
+            if masked:
+                more += [pa.nulls(n, pa.bool_() if c == "minside" else pa.float64()) for c in kernels.MASK_L3] if g.mask is None else _found(kernels.mask_evidence(g.mask, g.image, s, e, px, params), kernels.MASK_L3)
+            yield from pa.Table.from_arrays([*own.columns, *more], schema.names).to_batches()
+
+    return _dealt(images, masks, segments, "category_id" if "category_id" in segments.columns else None).mapInArrow(run, schema)
+
+
 def image_evidence(segments: DataFrame, images: DataFrame, keys: tuple[str, ...] = ("category_id", "cd_index"), params: Params = Params()) -> DataFrame:
     """image_id, keys and the columns of kernels.EVIDENCE for every segment (sx, sy, ex, ey, px_nm, ribbon_tx, ribbon_ty).
 
     Segments without an image have nulls and edge_valid false.
     """
-    cols = ["image_id", *keys, "sx", "sy", "ex", "ey", "px_nm", "ribbon_tx", "ribbon_ty"]
-    own = segments.select(*cols)
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = left[["image_id", *keys]].copy()
-        s, e, t = (left[list(c)].to_numpy(float) for c in (("sx", "sy"), ("ex", "ey"), ("ribbon_tx", "ribbon_ty")))
-        if not len(left):
-            return pd.DataFrame(columns=[*out.columns, *kernels.EVIDENCE])
-        if len(right):
-            found = kernels.evidence(as_image(right.iloc[0]), s, e, t, left["px_nm"].to_numpy(float), params)
-        else:
-            found = {c: np.full(len(left), np.nan) for c in kernels.EVIDENCE} | {c: np.zeros(len(left), bool) for c in ("edge_valid_s", "edge_valid_e")}
-        return out.assign(**{c: found[c] for c in kernels.EVIDENCE})
-
-    schema = _schema(own, ["image_id", *keys], _doubles(kernels.EVIDENCE))
-    return _nulls(own.groupBy("image_id").cogroup(_renamed(images).groupBy("_image")).applyInPandas(run, schema))
+    own = segments.select("image_id", *keys, "sx", "sy", "ex", "ey", "px_nm", "ribbon_tx", "ribbon_ty")
+    return segment_evidence(own, images, params=params).select("image_id", *keys, *kernels.EVIDENCE)
 
 
 def mask_evidence(segments: DataFrame, masks: DataFrame, images: DataFrame, keys: tuple[str, ...] = ("cd_index",), params: Params = Params()) -> DataFrame:
-    """image_id, category_id, keys and the columns of kernels.MASK_L3 for every segment that has a mask."""
+    """image_id, category_id, keys and the columns of kernels.MASK_L3 for every segment that has a mask and an image."""
     own = segments.select("image_id", "category_id", *keys, "sx", "sy", "ex", "ey", "px_nm")
-    both = masks.select("image_id", "category_id", F.col("h").alias("mh"), F.col("w").alias("mw"), "bits").join(_renamed(images), F.col("image_id") == F.col("_image")).drop("_image")
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["image_id", "category_id", *keys]
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=[*names, *kernels.MASK_L3])
-        row = right.iloc[0]
-        image = as_image(row)
-        mask = as_image({"h": row["mh"], "w": row["mw"], "bits": row["bits"]}, "bits") != 0
-        if mask.shape != image.shape:
-            raise MetrologyError("E-ARG-07", f"{mask.shape}, {image.shape}")
-        s, e = left[["sx", "sy"]].to_numpy(float), left[["ex", "ey"]].to_numpy(float)
-        return left[names].assign(**kernels.mask_evidence(mask, image, s, e, left["px_nm"].to_numpy(float), params))
-
-    schema = _schema(own, ["image_id", "category_id", *keys], _doubles(kernels.MASK_L3))
-    return _nulls(own.groupBy("image_id", "category_id").cogroup(both.select(F.col("image_id").alias("_image"), F.col("category_id").alias("_category"), "mh", "mw", "bits", "h", "w", "pixels").groupBy("_image", "_category")).applyInPandas(run, schema))
+    return segment_evidence(own, images, masks, edges=False, params=params).where("minside is not null").select("image_id", "category_id", *keys, *kernels.MASK_L3)
 
 
 def image_features(images: DataFrame) -> DataFrame:
@@ -105,21 +185,18 @@ def image_features(images: DataFrame) -> DataFrame:
 
 
 def mask_features(masks: DataFrame, images: DataFrame) -> DataFrame:
-    """image_id, category_id and the columns of kernels.LM, a mask a row."""
-    both = masks.select("image_id", "category_id", F.col("h").alias("mh"), F.col("w").alias("mw"), "bits").join(_renamed(images), F.col("image_id") == F.col("_image")).drop("_image")
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for _, row in batch.iterrows():
-                image = as_image(row)
-                mask = as_image({"h": row["mh"], "w": row["mw"], "bits": row["bits"]}, "bits") != 0
-                if mask.shape != image.shape:
-                    raise MetrologyError("E-ARG-07", f"{mask.shape}, {image.shape}")
-                rows.append({"image_id": row["image_id"], "category_id": row["category_id"], **kernels.mask_features(mask, image)})
-            yield pd.DataFrame(rows, columns=["image_id", "category_id", *kernels.LM])
-
-    return _nulls(both.mapInPandas(run, _schema(both, ["image_id", "category_id"], _doubles(kernels.LM))))
+    """image_id, category_id and the columns of kernels.LM, a row for every mask that has an image."""
+    dealt = _dealt(images, masks)
+    schema = T.StructType([T.StructField("image_id", dealt.schema["_image"].dataType), T.StructField("category_id", dealt.schema["_category"].dataType), *(T.StructField(n, T.DoubleType()) for n in kernels.LM)])
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields[:2]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches):
+            if g.mask is not None:
+                found = {k: np.array([v], float) for k, v in kernels.mask_features(g.mask, g.image).items()}
+                yield pa.RecordBatch.from_arrays([pa.array([g.image_id], kinds[0]), pa.array([g.category_id], kinds[1]), *_found(found, kernels.LM)], schema.names)
+
+    return dealt.mapInArrow(run, schema)
 
 
 def convention_scores(segments: DataFrame, images: DataFrame, scale: float = 1.0) -> DataFrame:

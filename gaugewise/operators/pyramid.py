@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from gaugewise.functions import kernels
 from gaugewise.operators import convert, image, sequence
 from gaugewise.registry import FEATURES, Params
-from gaugewise.sources.tables import settled
 
 KEYS = ("image_id", "category_id", "cd_index")
 
@@ -18,8 +17,8 @@ def extract_l3(measurements: DataFrame, images: DataFrame | None = None, masks:
 
     measurements: KEYS, sx, sy, ex, ey and a column of nm a pixel, which must be finite and above 0 (E-ARG-06 when the
     row is computed); value_nm adds value_mismatch_nm. Images add the edge evidence, masks the distances from their
-    boundaries. Without images evidence is null and edge_valid is false. Measurements are written once, as geometry
-    and both kinds of evidence start from them; they meet by their keys.
+    boundaries. Without images evidence is null and edge_valid is false. Measurements carry their geometry along when
+    they meet their image and mask, so there is one exchange of pixels and no join.
     """
     px = F.col(px_nm).cast("double")
     bad = F.concat(F.lit("E-ARG-06: px_nm "), F.coalesce(px.cast("string"), F.lit("null")))
@@ -31,12 +30,9 @@ def extract_l3(measurements: DataFrame, images: DataFrame | None = None, masks:
     same = F.when(F.col("tx_s") * F.col("tx_e") + F.col("ty_s") * F.col("ty_e") < 0, -1.0).otherwise(1.0)
     x, y = F.col("tx_s") + same * F.col("tx_e"), F.col("ty_s") + same * F.col("ty_e")
     size = F.when(F.hypot(x, y) > 0, F.hypot(x, y)).otherwise(1.0)
-    out = settled(out.withColumns({"ribbon_tx": x / size, "ribbon_ty": y / size}).drop("tx_s", "ty_s", "tx_e", "ty_e"))
+    out = out.withColumns({"ribbon_tx": x / size, "ribbon_ty": y / size}).drop("tx_s", "ty_s", "tx_e", "ty_e")
     if images is not None:
-        evidence = image.image_evidence(out, images, params=params)
-        found = out.join(evidence, list(KEYS), "left")
-        if masks is not None:
-            found = found.join(image.mask_evidence(out, masks, images, params=params), list(KEYS), "left")
+        found = image.segment_evidence(out, images, masks, params=params)
     else:
         found = out.withColumns({c: F.lit(False) if c.startswith("edge_valid") else F.lit(None).cast("double") for c in kernels.EVIDENCE})
     names = [f.name for f in FEATURES if f.level == "l3" and f.name in found.columns]

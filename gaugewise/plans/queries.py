@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugewise.functions import kernels
-from gaugewise.operators import convert, evaluate, image, score, sequence, stats, verdict
+from gaugewise.operators import convert, evaluate, image, pyramid, score, sequence, stats, verdict
 from gaugewise.operators.sequence import Sequence
 from gaugewise.registry import Params
+from gaugewise.sources import images as files
 from gaugewise.sources import injections, tables
 
 SEQ = Sequence()
@@ -307,6 +309,39 @@ def q_evidence(spark, sf_dir):
     return out.select("image_id", "cd_index", *[F.col(c) if c.startswith("edge_valid") else r6(c).alias(c) for c in kernels.EVIDENCE])
 
 
+#: Values of slab pixels that the two masks of a slab hold.
+RANGES = {0: (130, 255), 1: (0, 119)}
+
+
+def q_mask_fit(spark, sf_dir):
+    """Segments with ends between pixels against two masks an image: distances from the boundary, the image's gradient there, the middle."""
+    images = tables.slabs(spark, sf_dir)
+    k = F.col("cd_index")
+    ends = {"sx": 16 + 0.3 * (k % 4), "ex": 48 - 0.3 * (k % 4), "sy": F.col("sy") + 0.2 * (k % 3), "ey": F.col("ey") + 0.2 * (k % 3)}
+    segments = tables.slab_segments(images).withColumns(ends).withColumn("category_id", F.explode(F.array(*map(F.lit, RANGES))))
+    out = image.mask_evidence(segments, tables.slab_masks(images, RANGES), images)
+    return out.select(*KEYS, *[F.col(c) if c == "minside" else r6(c).alias(c) for c in kernels.MASK_L3])
+
+
+def q_l3(spark, sf_dir):
+    """All features of slab segments in one call: geometry, edge evidence, fit to a mask."""
+    images = tables.slabs(spark, sf_dir)
+    masks = tables.slab_masks(images, {0: RANGES[0]})
+    out = pyramid.extract_l3(tables.slab_segments(images), images, masks, params=HAMPEL)
+    plain = {"edge_valid_s", "edge_valid_e", "minside"}
+    return out.select(*KEYS, *[F.col(c) if c in plain else r6(c).alias(c) for c in ("cd_nm", "angle", "mid_x", "mid_y", *kernels.EVIDENCE, *kernels.MASK_L3)])
+
+
+def q_png_slabs(spark, sf_dir):
+    """Slabs in 16 bits written as PNG files, read back as a table and shifted to 8 bits: the figures of q_slab_sigma."""
+    path = f"{tables.shared_dir(spark)}/png-{uuid.uuid4().hex}"
+    slabs = tables.slabs(spark, sf_dir, depth=16)
+    files.save_images(slabs.withColumn("depth", F.lit(16)), path)
+    images = files.as_uint8(spark.read.format("grey_png").load(path), "shift")
+    f = image.image_features(images).select("image_id", "noise_sigma", "sat_lo", "dyn_range")
+    return f.join(images.select("image_id", "h", "w"), "image_id").select("image_id", "h", "w", *[r6(c).alias(c) for c in ("noise_sigma", "sat_lo", "dyn_range")])
+
+
 def q_convention(spark, sf_dir):
     images = tables.slabs(spark, sf_dir)
     out = image.convention_scores(tables.slab_segments(images), images)
@@ -497,7 +532,33 @@ pc AS (SELECT image_id, cd_index, CASE WHEN count(*) >= 5 THEN 1.4826e0*median(a
 en AS (SELECT *, (peak - CASE side WHEN 's' THEN 0e0 ELSE 32e0 END)*0.5e0 AS delta, CASE WHEN sigma > 0 THEN step / sigma END AS cnr, least(g1 / greatest(g2, g1 / 1e3, 1e-9), 1e3) AS margin
   FROM pk JOIN sn USING (image_id, cd_index) JOIN st USING ({_KEY}) LEFT JOIN rs USING ({_KEY}) LEFT JOIN ov USING ({_KEY}))"""
 
+#: How the ends ep (image_id, category_id, cd_index, side, px, py) of segments fit masks of slab values within RANGES: mf (mdist, mgrad).
+_FIT = f"""mk AS MATERIALIZED (SELECT vs.image_id, category_id, y, x, h, w FROM vs, (VALUES {", ".join(f"({k}, {a}, {b})" for k, (a, b) in RANGES.items())}) r(category_id, low, high) WHERE v BETWEEN low AND high),
+bd AS MATERIALIZED (SELECT p.image_id, p.category_id, p.y, p.x, any_value(p.h) AS h, any_value(p.w) AS w FROM mk p CROSS JOIN off LEFT JOIN mk q ON q.image_id = p.image_id AND q.category_id = p.category_id AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY 1, 2, 3, 4 HAVING count(q.y) < 9),
+e0 AS MATERIALIZED (SELECT ep.*, h, w, least(CAST(floor(py) AS INT), h - 2) AS y0, least(CAST(floor(px) AS INT), w - 2) AS x0 FROM ep JOIN sz USING (image_id)),
+cr AS (SELECT image_id, category_id, cd_index, side, y0 + b_y AS y, x0 + bx AS x, CASE WHEN b_y = 0 THEN 1 - (py - y0) ELSE py - y0 END * CASE WHEN bx = 0 THEN 1 - (px - x0) ELSE px - x0 END AS wt FROM e0, (VALUES (0), (1)) a(b_y), (VALUES (0), (1)) b(bx)),
+dd AS (SELECT image_id, category_id, cd_index, side, cr.y, cr.x, any_value(wt) AS wt, min(sqrt((bd.y - cr.y)**2 + (bd.x - cr.x)**2)) AS d FROM cr JOIN bd USING (image_id, category_id) GROUP BY 1, 2, 3, 4, 5, 6),
+md2 AS (SELECT image_id, category_id, cd_index, side, 0.5e0*sum(wt*d) AS mdist FROM dd GROUP BY 1, 2, 3, 4),
+nr AS MATERIALIZED (SELECT e0.image_id, e0.category_id, e0.cd_index, e0.side, arg_min((bd.y, bd.x, bd.h, bd.w), ((bd.y - round(py))**2 + (bd.x - round(px))**2, bd.y, bd.x)) AS spot FROM e0 JOIN bd USING (image_id, category_id) GROUP BY 1, 2, 3, 4),
+nq AS MATERIALIZED (SELECT DISTINCT image_id, spot[1] AS ny, spot[2] AS nx, greatest(least(spot[1] - 7, spot[3] - 15), 0) AS r0, greatest(least(spot[2] - 7, spot[4] - 15), 0) AS c0, spot[3] AS h, spot[4] AS w FROM nr),
+pq AS MATERIALIZED (SELECT image_id, ny, nx, r0 + i AS y, c0 + j AS x, CASE WHEN dy = 0 AND dx = 0 THEN 4 WHEN dy = 0 OR dx = 0 THEN -2 ELSE 1 END AS k,
+  least(greatest(r0 + i + dy, r0), r0 + 14, h - 1) AS qy, least(greatest(c0 + j + dx, c0), c0 + 14, w - 1) AS qx FROM nq, range(15) a(i), range(15) b(j), off WHERE r0 + i < h AND c0 + j < w),
+lq AS (SELECT pq.image_id, ny, nx, pq.y, pq.x, sum(v * k) AS d FROM pq JOIN v8 ON v8.image_id = pq.image_id AND v8.y = qy AND v8.x = qx GROUP BY 1, 2, 3, 4, 5),
+lz AS (SELECT *, median(d) OVER (PARTITION BY image_id, ny, nx) AS mm FROM lq), sq AS (SELECT image_id, ny, nx, 1.4826e0*median(abs(d - mm)) / 6 AS sigma FROM lz GROUP BY 1, 2, 3),
+mf AS MATERIALIZED (SELECT image_id, category_id, cd_index, side, mdist, gr / greatest(sq.sigma, 1e-9) AS mgrad FROM md2 JOIN nr USING (image_id, category_id, cd_index, side) JOIN sq ON sq.image_id = nr.image_id AND ny = spot[1] AND nx = spot[2] JOIN gm ON gm.image_id = nr.image_id AND gm.y = spot[1] AND gm.x = spot[2]),
+mi AS (SELECT s.image_id, s.category_id, s.cd_index, mk.y IS NOT NULL AS minside FROM e0 s JOIN e0 t ON t.image_id = s.image_id AND t.category_id = s.category_id AND t.cd_index = s.cd_index AND s.side = 's' AND t.side = 'e'
+  LEFT JOIN mk ON mk.image_id = s.image_id AND mk.category_id = s.category_id AND mk.y = round((s.py + t.py) / 2) AND mk.x = round((s.px + t.px) / 2)),
+fit AS (SELECT mi.*, {", ".join(f"{side}.{c} AS {c}_{side}" for side in "se" for c in ("mdist", "mgrad"))} FROM mi LEFT JOIN mf s ON s.image_id = mi.image_id AND s.category_id = mi.category_id AND s.cd_index = mi.cd_index AND s.side = 's'
+  LEFT JOIN mf e ON e.image_id = mi.image_id AND e.category_id = mi.category_id AND e.cd_index = mi.cd_index AND e.side = 'e')"""
+_FIT_R = ", ".join(_r(f"{c}_{side}", f"{c}_{side}") for side in "se" for c in ("mdist", "mgrad")) + ", minside"
+_EVIDENCE_R = ", ".join(f"{side}.edge_valid AS edge_valid_{side}, " + ", ".join(_r(f"{side}.{c}", f"{c}_{side}") for c in ("delta", "cnr", "rise", "margin", "npk", "overshoot", "pol")) for side in "se") + ", " + _r("plateau_cv", "plateau_cv")
+
 ORACLE_SQL: dict[str, str] = {
+    "q_mask_fit": f"""WITH {_SLAB}, ep AS (SELECT image_id, category_id, cd_index, side, CASE side WHEN 's' THEN 16e0 + 0.3e0*(cd_index % 4) ELSE 48e0 - 0.3e0*(cd_index % 4) END AS px, y + 0.2e0*(cd_index % 3) AS py FROM sg, (VALUES ('s'), ('e')) u(side), (VALUES (0), (1)) c(category_id)), {_FIT}
+SELECT image_id, category_id, cd_index, {_FIT_R} FROM fit""",
+    "q_l3": f"""WITH {_SLAB}, {_ENDS}, ep AS (SELECT image_id, 0 AS category_id, cd_index, side, CASE side WHEN 's' THEN 16e0 ELSE 48e0 END AS px, y AS py FROM sg, (VALUES ('s'), ('e')) u(side)), {_FIT}
+SELECT s.image_id, 0 AS category_id, s.cd_index, 16e0 AS cd_nm, 0e0 AS angle, 32e0 AS mid_x, 6e0 + 4*s.cd_index AS mid_y, {_EVIDENCE_R}, {_FIT_R}
+FROM en s JOIN en e ON e.image_id = s.image_id AND e.cd_index = s.cd_index AND s.side = 's' AND e.side = 'e' LEFT JOIN pc ON pc.image_id = s.image_id AND pc.cd_index = s.cd_index JOIN fit ON fit.image_id = s.image_id AND fit.cd_index = s.cd_index""",
     "q_l1": f"""WITH {_THUMB}, b AS (SELECT image_id, avg(CASE WHEN v = 0 THEN 1e0 ELSE 0e0 END) AS sat_lo, avg(CASE WHEN v = 255 THEN 1e0 ELSE 0e0 END) AS sat_hi, quantile_cont(v, 0.99) - quantile_cont(v, 0.01) AS dyn FROM u8 GROUP BY 1),
 tl AS (SELECT a.image_id, a.y // 2 AS ty, a.x // 2 AS tx, 2*o.v + 2*c.v - 4e0*a.v AS lap, gr FROM u8 a JOIN u8 o ON o.image_id = a.image_id AND o.x = a.x AND o.y = xor(a.y, 1)
   JOIN u8 c ON c.image_id = a.image_id AND c.y = a.y AND c.x = xor(a.x, 1) JOIN gm ON gm.image_id = a.image_id AND gm.y = a.y AND gm.x = a.x),
@@ -526,7 +587,7 @@ SELECT mk.image_id, round(ds, 6) + 0e0 AS mdist_s, round(de, 6) + 0e0 AS mdist_e
     "q_slab_sigma": f"""WITH {_SLAB}
 SELECT sz.image_id, h, w, {_r('any_value(noise)', 'noise_sigma')}, {_r('avg(CASE WHEN v = 0 THEN 1e0 ELSE 0e0 END)', 'sat_lo')}, {_r('quantile_cont(v, 0.99) - quantile_cont(v, 0.01)', 'dyn_range')} FROM v8 JOIN sz USING (image_id) JOIN ns USING (image_id) GROUP BY 1, 2, 3""",
     "q_evidence": f"""WITH {_SLAB}, {_ENDS}
-SELECT s.image_id, s.cd_index, {", ".join(f"{side}.edge_valid AS edge_valid_{side}, " + ", ".join(_r(f"{side}.{c}", f"{c}_{side}") for c in ("delta", "cnr", "rise", "margin", "npk", "overshoot", "pol")) for side in "se")}, {_r("plateau_cv", "plateau_cv")}
+SELECT s.image_id, s.cd_index, {_EVIDENCE_R}
 FROM en s JOIN en e ON e.image_id = s.image_id AND e.cd_index = s.cd_index AND s.side = 's' AND e.side = 'e' LEFT JOIN pc ON pc.image_id = s.image_id AND pc.cd_index = s.cd_index""",
     "q_convention": f"""WITH {_SLAB}, k AS (SELECT * FROM (VALUES ('xy'), ('rowcol')) a(convention), (VALUES (false), (true)) b(y_flip), (VALUES ('zero', 0e0), ('one', 1e0)) c(origin, o)),
 nd AS (SELECT image_id, cd_index, h, w, y, u.x, side FROM sg, (VALUES ('s', 16e0), ('e', 48e0)) u(side, x)),
@@ -577,7 +638,7 @@ SELECT category_id, {_r('any_value(med)', 'angle_median')}, {_r('median(abs(((an
     "q_robust_stats": f"WITH {_robust('lineitem', 'l_extendedprice', 'l_returnflag', 'st')} SELECT l_returnflag, n, {_r('median', 'median')}, {_r('mad', 'mad')} FROM st",
     "q_cohort_stats": f"WITH {PARTS}, {_STATS} SELECT category_id, feature, n, {_r('median', 'median')}, {_r('mad', 'mad')} FROM st",
     "q_mode": "SELECT event_type, count(*) AS n, CASE WHEN count(*) FILTER (WHERE value <> 50) = 0 THEN 0e0 WHEN count(*) FILTER (WHERE value > 50) >= count(*) FILTER (WHERE value < 50) THEN 1e0 ELSE -1e0 END AS mode FROM events GROUP BY 1",
-    "q_apply_z": f"WITH {PARTS}, {_Z} SELECT {_K}, {', '.join(_r(f'{z}_{c}', f'{z}_{c}') for c in COHORT for z in ('z', 'zs'))} FROM zz",
+    "q_apply_z": f"WITH {PARTS.replace('g AS (', 'g AS MATERIALIZED (')}, {_Z} SELECT {_K}, {', '.join(_r(f'{z}_{c}', f'{z}_{c}') for c in COHORT for z in ('z', 'zs'))} FROM zz",
     "q_top_feature": f"WITH {PARTS}, {_Z} SELECT {_K}, {_r('top_z', 'top_z')}, CASE {' '.join(f'WHEN z_{c} = top_z THEN {chr(39)}{c}{chr(39)}' for c in COHORT)} END AS top_feature, 'GEOMETRY_ODD' AS reason_code FROM top ORDER BY 4 DESC, 1, 2, 3 LIMIT 100",
     "q_threshold": f"WITH {PARTS}, {_Z} SELECT category_id, {_r('quantile_cont(top_z, 0.9)', 'threshold')} FROM top GROUP BY 1",
     "q_impact_median": f"WITH {PARTS} " + _IMPACT.format("median(cd_nm) - median(cd_nm) FILTER (WHERE NOT flag)", "g"),
@@ -621,3 +682,4 @@ wide AS (SELECT category_id, {", ".join(f"max(median) FILTER (WHERE feature = '{
 ev AS MATERIALIZED (SELECT failure, strength, hit, round(greatest(abs(cd_nm - med_cd_nm) / greatest(1.4826e0*mad_cd_nm, 1e-6), abs(angle - med_angle) / greatest(1.4826e0*mad_angle, 1e-6),
   abs(value_nm - cd_nm - med_value_mismatch_nm) / greatest(1.4826e0*mad_value_mismatch_nm, 0.02e0)), 9) AS top_z FROM ft JOIN wide USING (category_id)), {_recall('ev', 'failure, strength', 'top_z', 'hit')}""",
 }
+ORACLE_SQL["q_png_slabs"] = ORACLE_SQL["q_slab_sigma"]

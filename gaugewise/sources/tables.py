@@ -6,8 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -64,14 +67,20 @@ def thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("image_id", "label", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), F.col("f").cast("double").alias("f"))
 
 
-def slabs(spark: SparkSession, sf_dir: str, height: int = 64) -> DataFrame:
-    """One image a row: image_id, h, w, pixels (BINARY): the vectors of a label, `height` at a time, as rows of pixels.
+def slabs(spark: SparkSession, sf_dir: str, height: int = 64, depth: int = 8) -> DataFrame:
+    """One image a row: image_id, h, w, pixels (BINARY; 16 bits: low byte first): the vectors of a label, `height` at a time, as rows of pixels.
 
-    A slab has a bounded height, so more vectors are more images and not larger ones.
+    A slab has a bounded height, so more vectors are more images and not larger ones. The upper byte of 16 bits is what 8 bits hold.
     """
     e = read(spark, sf_dir, "embeddings")
     e = e.withColumn("_part", F.floor(F.col("vec_id") / (10 * height)))
-    pixel = lambda v: F.lpad(F.hex(F.least(F.greatest(F.floor(128.0 + 40.0 * v), F.lit(0)), F.lit(255)).cast("long")), 2, "0")
+    octet = lambda n: F.lpad(F.hex(n), 2, "0")
+
+    def pixel(v: Column) -> Column:
+        scale = 1 << depth - 8
+        level = F.least(F.greatest(F.floor(128.0 * scale + 40.0 * scale * v), F.lit(0)), F.lit(256 * scale - 1)).cast("long")
+        return octet(level) if depth == 8 else F.concat(octet(level % 256), octet(F.shiftright(level, 8)))
+
     rows = e.select("label", "_part", "vec_id", F.array_join(F.transform(F.col("embedding").cast("array<double>"), pixel), "").alias("_row"), F.size("embedding").alias("w"))
     out = rows.groupBy("label", "_part").agg(F.sort_array(F.collect_list(F.struct("vec_id", "_row"))).alias("_rows"), F.max("w").alias("w"))
     return out.select(
@@ -86,6 +95,20 @@ def slab_segments(images: DataFrame) -> DataFrame:
     return rows.select("image_id", F.lit(0).alias("category_id"), F.col("cd_index").cast("long"), F.lit(16.0).alias("sx"), y.alias("sy"), F.lit(48.0).alias("ex"), y.alias("ey"), F.lit(0.5).alias("px_nm"))
 
 
+def slab_masks(images: DataFrame, ranges: dict[int, tuple[int, int]]) -> DataFrame:
+    """Masks of 8-bit images: image_id, category_id, h, w, bits; for each category the pixels within its range of values, a row an image and category."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pixels = [np.frombuffer(x or b"", np.uint8) for x in batch.column("pixels").to_pylist()]
+            for category, (low, high) in ranges.items():
+                bits = [((x >= low) & (x <= high)).astype(np.uint8).tobytes() for x in pixels]
+                yield pa.RecordBatch.from_arrays([batch.column("image_id"), pa.array([category] * len(bits), pa.int32()), batch.column("h"), batch.column("w"), pa.array(bits, pa.binary())], ["image_id", "category_id", "h", "w", "bits"])
+
+    kinds = dict(images.dtypes)
+    return images.select("image_id", "h", "w", "pixels").mapInArrow(run, f"image_id {kinds['image_id']}, category_id int, h {kinds['h']}, w {kinds['w']}, bits binary")
+
+
 def user_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user in order: user_id, ord, value, flag."""
     e = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")

@@ -131,3 +131,69 @@ def test_wrong_image(spark):
     with pytest.raises(MetrologyError, match="E-ARG-02"):
         image.as_image({"h": 2, "w": 2, "pixels": b"abc"})
     assert Params().worse_when("cnr_s") == "low" and Params(direction_overrides={"cnr_s": "both"}).worse_when("cnr_s") == "both"
+
+
+def test_nearest_true_by_brute_force():
+    """Distances and places on shapes with many ties, whole columns, single pixels and lines."""
+    r = np.random.default_rng(0)
+    for k in range(200):
+        h, w = r.integers(1, 14, 2)
+        m = r.random((h, w)) < r.choice([0.03, 0.2, 0.6])
+        m[:, r.integers(0, w)] |= k % 3 == 0
+        m[r.integers(h), r.integers(w)] = True
+        squared, place = K.nearest_true(m)
+        at = np.argwhere(m)
+        d = ((at[None, None] - np.stack(np.mgrid[:h, :w], -1)[:, :, None]) ** 2).sum(3)
+        first = at[d.argmin(2)]
+        assert (squared == d.min(2)).all() and (place == first[..., 0] * w + first[..., 1]).all()
+
+
+def many(spark, n=5, masks=3):
+    r = np.random.default_rng(4)
+    pixels = [(k, 40, 50, r.integers(0, 255, (40, 50)).astype(np.uint8).tobytes()) for k in range(n)]
+    bits = [(k, c, 40, 50, (r.random((40, 50)) < 0.1 + 0.2 * c).astype(np.uint8).tobytes()) for k in range(n + 1) for c in range(masks)]
+    rows = [(k, c, i, *r.uniform(5, 35, 4).tolist(), 0.5, 0.0, 1.0, "note") for k in range(n + 2) for c in range(masks + 1) for i in range(30)]
+    make = spark.createDataFrame
+    return (
+        make(pixels, "image_id int, h int, w int, pixels binary").repartition(3), make(bits, "image_id int, category_id int, h int, w int, bits binary").repartition(3),
+        make(rows, "image_id int, category_id int, cd_index long, sx double, sy double, ex double, ey double, px_nm double, ribbon_tx double, ribbon_ty double, h string").repartition(3),
+    )
+
+
+def test_tagged_rows_one_by_one(spark):
+    """Every segment against kernels called directly; batches of a few rows; images, masks or both that are not there; clashing columns."""
+    images, masks, segs = many(spark)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = image.segment_evidence(segs, images.union(images), masks).collect()
+        features = image.mask_features(masks, images).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    pixels = {r.image_id: image.as_image(r.asDict()) for r in images.collect()}
+    bits = {(r.image_id, r.category_id): image.as_image(r.asDict(), "bits") != 0 for r in masks.collect()}
+    assert len(got) == segs.count() and {r.h for r in got} == {"note"}
+    same = lambda a, b: a == b or (a is None and np.isnan(b)) or (a is not None and a == pytest.approx(b))
+    for r in got:
+        s, e, t, px = np.array([[r.sx, r.sy]]), np.array([[r.ex, r.ey]]), np.array([[0.0, 1.0]]), np.array([0.5])
+        if r.image_id in pixels:
+            want = K.evidence(pixels[r.image_id], s, e, t, px)
+            assert all(same(r[c], want[c][0]) for c in K.EVIDENCE)
+        else:
+            assert r.delta_s is None and r.edge_valid_s is False
+        if r.image_id in pixels and (r.image_id, r.category_id) in bits:
+            want = K.mask_evidence(bits[r.image_id, r.category_id], pixels[r.image_id], s, e, px)
+            assert all(same(r[c], want[c][0]) for c in K.MASK_L3)
+        else:
+            assert all(r[c] is None for c in K.MASK_L3)
+    assert {(r.image_id, r.category_id) for r in features} == {k for k in bits if k[0] in pixels}
+    assert image.segment_evidence(segs.where("false"), images, masks).count() == 0 and image.segment_evidence(segs, images.where("false"), masks.where("false")).where("delta_s is not null").count() == 0
+
+
+def test_one_exchange_of_pixels(spark):
+    images, masks, segs = many(spark, 2)
+    for df in (image.segment_evidence(segs, images, masks), image.mask_features(masks, images), pyramid.extract_l3(segs.drop("h"), images, masks)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(_image") == 1 and "Join" not in plan
+    with pytest.raises(Exception, match="E-ARG-07"):
+        image.mask_features(masks.withColumns({"h": F.lit(50), "w": F.lit(40)}), images).collect()

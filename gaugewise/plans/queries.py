@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugewise.functions import kernels
-from gaugewise.operators import convert, evaluate, image, pyramid, score, sequence, stats, verdict
+from gaugewise.operators import convert, evaluate, image, pyramid, score, sequence, stats, tiles, verdict
 from gaugewise.operators.sequence import Sequence
 from gaugewise.registry import Params
 from gaugewise.sources import images as files
@@ -342,6 +342,12 @@ def q_png_slabs(spark, sf_dir):
     return f.join(images.select("image_id", "h", "w"), "image_id").select("image_id", "h", "w", *[r6(c).alias(c) for c in ("noise_sigma", "sat_lo", "dyn_range")])
 
 
+def q_tiled_labels(spark, sf_dir):
+    """How many components of each area the mask of all vectors has; labels are united across tiles."""
+    out = tiles.components(tables.mosaic_tiles(spark, sf_dir))
+    return out.groupBy("area").agg(F.count("*").alias("n"))
+
+
 def q_convention(spark, sf_dir):
     images = tables.slabs(spark, sf_dir)
     out = image.convention_scores(tables.slab_segments(images), images)
@@ -554,6 +560,11 @@ _FIT_R = ", ".join(_r(f"{c}_{side}", f"{c}_{side}") for side in "se" for c in ("
 _EVIDENCE_R = ", ".join(f"{side}.edge_valid AS edge_valid_{side}, " + ", ".join(_r(f"{side}.{c}", f"{c}_{side}") for c in ("delta", "cnr", "rise", "margin", "npk", "overshoot", "pol")) for side in "se") + ", " + _r("plateau_cv", "plateau_cv")
 
 ORACLE_SQL: dict[str, str] = {
+    "q_tiled_labels": """WITH RECURSIVE px AS MATERIALIZED (SELECT vec_id AS y, i AS x, vec_id*64 + i AS k FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS f FROM embeddings) WHERE CAST(f AS DOUBLE) > 0.1),
+ed AS MATERIALIZED (SELECT p.k AS a, q.k AS b FROM px p CROSS JOIN (SELECT * FROM (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx)) JOIN px q ON q.y = p.y + dy AND q.x = p.x + dx WHERE p.k <> q.k),
+rc AS (SELECT k, k AS root FROM px UNION SELECT ed.b, rc.root FROM rc JOIN ed ON ed.a = rc.k),
+rt AS (SELECT k, min(root) AS root FROM rc GROUP BY k), ar AS (SELECT root, count(*) AS area FROM rt GROUP BY root)
+SELECT area, count(*) AS n FROM ar GROUP BY area""",
     "q_mask_fit": f"""WITH {_SLAB}, ep AS (SELECT image_id, category_id, cd_index, side, CASE side WHEN 's' THEN 16e0 + 0.3e0*(cd_index % 4) ELSE 48e0 - 0.3e0*(cd_index % 4) END AS px, y + 0.2e0*(cd_index % 3) AS py FROM sg, (VALUES ('s'), ('e')) u(side), (VALUES (0), (1)) c(category_id)), {_FIT}
 SELECT image_id, category_id, cd_index, {_FIT_R} FROM fit""",
     "q_l3": f"""WITH {_SLAB}, {_ENDS}, ep AS (SELECT image_id, 0 AS category_id, cd_index, side, CASE side WHEN 's' THEN 16e0 ELSE 48e0 END AS px, y AS py FROM sg, (VALUES ('s'), ('e')) u(side)), {_FIT}

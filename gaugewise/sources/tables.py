@@ -109,6 +109,17 @@ def slab_masks(images: DataFrame, ranges: dict[int, tuple[int, int]]) -> DataFra
     return images.select("image_id", "h", "w", "pixels").mapInArrow(run, f"image_id {kinds['image_id']}, category_id int, h {kinds['h']}, w {kinds['w']}, bits binary")
 
 
+def mosaic_tiles(spark: SparkSession, sf_dir: str, above: float = 0.1, side: int = 32) -> DataFrame:
+    """One mask of all vectors, a row of pixels each at y = vec_id, as tiles of side x side: pixels above a value are true, missing rows false."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.when(v.cast("double") > above, "01").otherwise("00")).alias("_bits"))
+    cut = e.select("vec_id", F.size("_bits").alias("mask_w"), "_bits", F.explode(F.sequence(F.lit(0), F.floor((F.size("_bits") - 1) / side).cast("int"))).alias("tx"))
+    cut = cut.select(F.floor(F.col("vec_id") / side).cast("int").alias("ty"), "tx", (F.col("vec_id") % side).cast("int").alias("_y"), "mask_w", F.slice("_bits", F.col("tx") * side + 1, side).alias("_row"))
+    rows = cut.groupBy("ty", "tx").agg(F.map_from_entries(F.collect_list(F.struct("_y", "_row"))).alias("_rows"), F.max(F.size("_row")).alias("w"), F.max("mask_w").alias("mask_w"))
+    row = lambda y: F.array_join(F.coalesce(F.try_element_at("_rows", y), F.array_repeat(F.lit("00"), F.col("w"))), "")
+    bits = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(side - 1)), row), ""))
+    return rows.select(F.lit("mosaic").alias("image_id"), F.lit(0).alias("category_id"), "ty", "tx", (F.col("ty") * side).alias("y0"), (F.col("tx") * side).alias("x0"), F.lit(side).alias("h"), "w", bits.alias("bits"))
+
+
 def user_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user in order: user_id, ord, value, flag."""
     e = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")

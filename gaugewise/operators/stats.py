@@ -20,20 +20,42 @@ def transformed(name: str, params: Params = Params()) -> Column:
 ACCURACY, REACH = 10_000, 3e-4
 
 
+#: Rows of the largest cohort up to which a cohort is put in order by one task.
+TOGETHER = 1_000_000
+
+
+def _largest(sizes: DataFrame) -> int:
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
 def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], *keys: str) -> DataFrame:
     """For each key n and exact, linearly interpolated quantiles, named by the dict, of a cohort of any size.
 
+    Up to TOGETHER rows a cohort, counts of equal values are summed and put in order; beyond, see by_brackets(). Keys
+    without a value have no row. The size of the largest cohort is a job of its own.
+    """
+    x = df.select(*keys, F.col(value).cast("double").alias("_x")).where("_x is not null")
+    if _largest(x.groupBy(*keys).agg(F.count("*").alias("n"))) > TOGETHER:
+        return by_brackets(x, "_x", quantiles, *keys)
+    each = x.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("_x", F.array(*map(F.lit, quantiles.values()))).alias("_q"))
+    return each.where("n > 0").select(*keys, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(quantiles)])
+
+
+def by_brackets(df: DataFrame, value: str, quantiles: dict[str, float], *keys: str, reach: float = REACH) -> DataFrame:
+    """exact_quantiles() for cohorts that no task can hold.
+
     A mergeable sketch brackets each quantile. What lies below a bracket is counted, and only the distinct values
     within it, with their counts, are put in order; so every step is pre-aggregated where the rows are, df is read
     twice and never shuffled, and no task holds a cohort. The brackets, a row a key, are written by a job of their own,
-    so that Spark knows their size when it joins them. Keys without a value have no row.
+    so that Spark knows their size when it joins them. Keys without a value have no row. Whether each rank lay in its
+    bracket is checked; where it did not, the key is done again with a bracket of all its values (reach 1).
     """
     on = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys] or F.lit(True)
     x = df.select(*keys, F.col(value).cast("double").alias("_x")).where("_x is not null")
-    named = [(name, q, F.percentile_approx("_x", F.array(F.lit(max(q - REACH, 0.0)), F.lit(min(q + REACH, 1.0))), F.lit(ACCURACY)).alias(f"_at_{name}")) for name, q in quantiles.items()]
+    named = [(name, q, F.percentile_approx("_x", F.array(F.lit(max(q - reach, 0.0)), F.lit(min(q + reach, 1.0))), F.lit(ACCURACY)).alias(f"_at_{name}")) for name, q in quantiles.items()]
     brackets = x.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"), *[b for _, _, b in named])
     out = brackets = settled(brackets)
-    few = F.col("_n") < int(2 / REACH)  # with more, a bracket holds the sketch's error and the next rank too
+    few = F.col("_n") < int(2 / reach) if reach < 1 else F.lit(True)  # with more, a bracket holds the sketch's error and the next rank too
     spans = F.array(*[F.struct(F.lit(name).alias("_name"), F.lit(q).alias("_q"), F.when(few, F.col("_min")).otherwise(F.col(f"_at_{name}")[0]).alias("_lo"), F.when(few, F.col("_max")).otherwise(F.col(f"_at_{name}")[1]).alias("_hi")) for name, q, _ in named])
     spans = brackets.select(*keys, "_n", F.explode(spans).alias("_span")).select(*keys, "_n", "_span.*")
     both = x.alias("x").join(spans.alias("s"), on("x", "s")).select(*[F.col(f"x.{k}") for k in keys], "x._x", "s._n", "s._name", "s._q", "s._lo", "s._hi").where("_x <= _hi")
@@ -45,16 +67,23 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], *key
     low, high = at(F.floor("_rank")), at(F.ceil("_rank"))
     got = steps.groupBy(*keys, "_name").agg((low + (high - low) * (F.first("_rank") - F.floor(F.first("_rank")))).alias("_value"))
     wide = got.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_value"))).alias(name) for name in quantiles])
-    return out.alias("a").join(wide.alias("b"), on("a", "b")).select(*[F.col(f"a.{k}") for k in keys], F.col("a._n").alias("n"), *[F.col(f"b.{name}") for name in quantiles])
+    found = settled(out.alias("a").join(wide.alias("b"), on("a", "b")).select(*[F.col(f"a.{k}") for k in keys], F.col("a._n").alias("n"), *[F.col(f"b.{name}") for name in quantiles]))
+    lost = " or ".join(f"`{name}` is null" for name in quantiles)
+    if reach >= 1 or not found.where(lost).take(1):
+        return found
+    again = found.where(lost).select(*keys)
+    rest = x.alias("a").join(again.alias("b"), on("a", "b"), "left_semi") if keys else x
+    return found.where(f"not ({lost})").unionByName(by_brackets(rest, "_x", quantiles, *keys, reach=1.0))
 
 
 def robust_stats(df: DataFrame, value: str, *keys: str, trim: float = 0.05) -> DataFrame:
     """For each key n (rows with a finite value), median and raw median absolute deviation, after one trim.
 
     With ten values or more, those whose distance from the median is beyond the (1 - trim) quantile are left out and
-    both are computed again. Keys without a value have no row. Cohorts may be of any size: values are written once,
-    and each of four levels (median; deviation and cut; both again) is a small table that exact_quantiles() finds and
-    the next level joins. This runs jobs while it is called.
+    both are computed again. Keys without a value have no row. Values are written once. If no cohort has more than
+    TOGETHER of them, one exchange brings each to a task and all levels are windows over it. Cohorts of any other size
+    take four levels (median; deviation and cut; both again), each a small table that by_brackets() finds and the
+    next level joins; deviations are written once. This runs jobs while it is called.
     """
 
     def joined(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -63,19 +92,40 @@ def robust_stats(df: DataFrame, value: str, *keys: str, trim: float = 0.05) -> D
 
     off = F.abs(F.col("x") - F.col("med"))
     x = settled(df.select(*keys, finite(F.col(value).cast("double")).alias("x")).where("x is not null"))
-    level = settled(exact_quantiles(x, "x", {"med": 0.5}, *keys))
+    sizes = x.groupBy(*keys).agg(F.count("*").alias("n"))
+    if _largest(sizes) <= TOGETHER:
+        return _robust_windows(x, keys, trim)
+    level = by_brackets(x, "x", {"med": 0.5}, *keys)
     sizes = level.select(*keys, "n")
-    x = joined(x, level).withColumn("dev", off)
+    x = settled(joined(x, level).withColumn("dev", off))
     if trim > 0:
-        spread = settled(exact_quantiles(x, "dev", {"mad": 0.5, "cut": 1 - trim}, *keys).drop("n"))
+        spread = by_brackets(x, "dev", {"mad": 0.5, "cut": 1 - trim}, *keys).drop("n")
         x = joined(x, spread)
-        x = x.where((F.col("n") < 10) | (F.col("dev") <= F.col("cut") + 1e-9 * F.greatest(MAD_SCALE * F.col("mad"), F.lit(1e-12)))).select(*keys, "x")  # of ten values or more, three are never beyond the cut
-        level = settled(exact_quantiles(x, "x", {"med": 0.5}, *keys))
+        x = settled(x.where(~_beyond(F.col("n"), F.col("dev"), F.col("mad"), F.col("cut"))).select(*keys, "x"))
+        level = by_brackets(x, "x", {"med": 0.5}, *keys)
         x = joined(x, level.drop("n")).withColumn("dev", off)
-    mad = settled(exact_quantiles(x, "dev", {"mad": 0.5}, *keys).drop("n"))
+    mad = by_brackets(x, "dev", {"mad": 0.5}, *keys).drop("n")
     return joined(joined(sizes, level.drop("n")), mad).select(*keys, "n", F.col("med").alias("median"), "mad")
 
 
+def _beyond(n: Column, dev: Column, mad: Column, cut: Column) -> Column:
+    """Whether a value is trimmed: of ten values or more, three never are."""
+    return (n >= 10) & (dev > cut + 1e-9 * F.greatest(MAD_SCALE * mad, F.lit(1e-12)))
+
+
+def _robust_windows(x: DataFrame, keys: tuple[str, ...], trim: float) -> DataFrame:
+    """robust_stats() of keys and x for cohorts that a task can hold."""
+    w = Window.partitionBy(*keys)
+    at = lambda c, q: F.percentile(c, F.lit(q)).over(w)
+    x = x.withColumns({"n": F.count("*").over(w), "med": at("x", 0.5)})
+    if trim > 0:
+        x = x.withColumn("dev", F.abs(F.col("x") - F.col("med")))
+        x = x.withColumns({"mad": at("dev", 0.5), "cut": at("dev", 1 - trim)})
+        x = x.withColumn("x", F.when(~_beyond(F.col("n"), F.col("dev"), F.col("mad"), F.col("cut")), F.col("x")))
+        x = x.withColumn("med", at("x", 0.5))
+    return x.groupBy(*keys).agg(F.max("n").alias("n"), F.max("med").alias("median"), F.percentile(F.abs(F.col("x") - F.col("med")), F.lit(0.5)).alias("mad"))
+
+
 def circular_stats(df: DataFrame, angle: str, *keys: str) -> DataFrame:
     """Median direction (angles half a turn on are the same) and median distance from it, in degrees, for each key of any size: keys, angle_median, angle_spread."""
     on = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys] or F.lit(True)

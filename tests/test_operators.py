@@ -99,8 +99,10 @@ def test_robust_stats(spark):
     assert stats.robust_stats(df.limit(0), "v", "k").count() == 0
 
 
-def test_robust_stats_against_numpy(spark):
-    """Also: what robust_stats() returns reads small tables alone, however large the cohorts."""
+@pytest.mark.parametrize("together", [0, 1_000_000])
+def test_robust_stats_against_numpy(spark, monkeypatch, together):
+    """Both ways; cohorts that a task can't hold come from small tables alone, others from one exchange."""
+    monkeypatch.setattr(stats, "TOGETHER", together)
     import random
 
     import numpy as np
@@ -109,7 +111,8 @@ def test_robust_stats_against_numpy(spark):
     rows = [(k, r.choice((r.gauss(0, 1), float(r.randint(0, 3)), r.gauss(50, 400)))) for k in (0, 1, None) for _ in range(600)] + [(2, r.gauss(0, 1)) for _ in range(9000)] + [(7, 2.0), (8, 1.0), (8, 5.0)] + [(9, 3.0)] * 40
     df = frame(spark, rows, "k int, v double")
     out = stats.robust_stats(df, "v", "k")
-    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 4
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 4 if not together else plan.count("hashpartitioning") == 1 and plan.count("FileScan") == 1
     got = {x.k: x for x in out.collect()}
     for k in {k for k, _ in rows}:
         x = np.array([v for i, v in rows if i == k])
@@ -130,6 +133,15 @@ def test_robust_stats_against_numpy(spark):
     assert stats.threshold_from_quantile(frame(spark, [(float(i),) for i in range(100)], "v double"), "v", 0.9).first().threshold == pytest.approx(89.1)
 
 
+def test_a_rank_outside_its_bracket(spark, monkeypatch):
+    """A sketch too coarse for its bracket: the key is done again, and nothing is lost."""
+    monkeypatch.setattr(stats, "ACCURACY", 2)
+    df = frame(spark, [(k, float((i * 7919) % 5003) ** 2) for k in (0, None) for i in range(9000)] + [(3, 1.0)], "k int, v double")
+    got = {x.k: x.m for x in stats.by_brackets(df, "v", {"m": 0.37}, "k", reach=1e-3).collect()}
+    want = {x.k: x.m for x in df.groupBy("k").agg(F.percentile("v", F.lit(0.37)).alias("m")).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
 def test_mode_and_cohorts(spark):
     df = frame(spark, [(0, 1.0), (0, -1.0), (0, 0.0), (1, 0.0), (2, -1.0)], "k int, p double")
     assert {r.k: r.m for r in df.groupBy("k").agg(stats.mode_sign(F.col("p")).alias("m")).collect()} == {0: 1.0, 1: 0.0, 2: -1.0}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +14,16 @@ from gaugewise.registry import MAD_SCALE, MetrologyError
 
 #: Spellings of either unit, after trimming, folding and lower case.
 ANGSTROM, NM = ("å", "a", "angstrom", "ang"), ("nm", "nanometer", "nanometre")
-#: Characters that fold to others before units are compared: the angstrom sign, full-width letters, the square nm.
-_FOLD = {"Å": "Å", "㎎": "mg", "㎚": "nm"} | {chr(0xFEE0 + c): chr(c) for c in range(0x21, 0x7F)}
+#: White space at the ends, beside what regular expressions call so.
+_SPACE = "[\\s\\x1c-\\x1f\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+
+
+@lru_cache(1)
+def compatibility_forms() -> dict[str, str]:
+    """Every character whose compatibility form (NFKC) is made of the letters of known units, with that form; others can't make a unit known."""
+    letters = set("".join((*ANGSTROM, *NM))) | set("".join((*ANGSTROM, *NM)).upper()) | {"\u030a"}
+    made = ((chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0x80, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    return {c: form for c, form in made if form != c and letters.issuperset(form)}
 
 
 def finite(x: Column) -> Column:
@@ -22,12 +33,13 @@ def finite(x: Column) -> Column:
 
 def normalize_unit(unit: Column) -> Column:
     """angstrom, nm, or null for what is neither. White space around it and Unicode compatibility forms do not matter."""
-    plain = F.lower(F.regexp_replace(F.regexp_replace(unit, "^[\\s\\u00a0\\u3000]+|[\\s\\u00a0\\u3000]+$", ""), "[aA]̊", "Å"))
-    single = {k: v for k, v in _FOLD.items() if len(v) == 1}
-    plain = F.lower(F.translate(plain, "".join(single), "".join(single.values())))
-    for k, v in _FOLD.items():
+    forms = compatibility_forms()
+    single = {k: v for k, v in forms.items() if len(v) == 1}
+    plain = F.translate(F.regexp_replace(unit, f"^{_SPACE}|{_SPACE}$", ""), "".join(single), "".join(single.values()))
+    for k, v in forms.items():
         if len(v) > 1:
             plain = F.replace(plain, F.lit(k), F.lit(v))
+    plain = F.lower(F.regexp_replace(plain, "[aA]\u030a", "\u00c5"))
     return F.when(plain.isin(*ANGSTROM), "angstrom").when(plain.isin(*NM), "nm")
 
 

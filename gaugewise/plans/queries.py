@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugewise.functions import kernels
-from gaugewise.operators import convert, evaluate, image, pyramid, score, sequence, stats, tiles, verdict
+from gaugewise.operators import asof, convert, evaluate, image, pyramid, score, sequence, sketches, stats, tiles, validate, verdict
 from gaugewise.operators.sequence import Sequence
 from gaugewise.registry import Params
 from gaugewise.sources import images as files
@@ -348,6 +348,38 @@ def q_tiled_labels(spark, sf_dir):
     return out.groupBy("area").agg(F.count("*").alias("n"))
 
 
+def q_validated(spark, sf_dir):
+    """Measurements of which some lack an end, bear an unknown unit or have no scale: rows and values by code, good ones among them."""
+    p = _parts(spark, sf_dir)
+    raw = F.element_at(F.array(*map(F.lit, SPELLINGS)), (F.col("cd_index") % len(SPELLINGS) + 1).cast("int"))
+    p = p.withColumns({"unit": raw, "px_nm": F.when(F.col("cd_index") % 13 == 5, 0.0).otherwise(0.5), "ex": F.when(F.col("cd_index") % 17 != 3, F.col("ex"))})
+    found = validate.validated(p, validate.whole_ends(), validate.known_unit("unit"), validate.positive("px_nm"))
+    good = found.good.select("category_id", F.lit("ok").alias("code"), F.lit("").alias("detail"), convert.to_nm(F.col("value"), F.col("unit")).alias("value"))
+    both = good.unionByName(found.rejected.select("category_id", "code", "detail", "value"))
+    return both.groupBy("category_id", "code", "detail").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+
+
+def q_as_of(spark, sf_dir):
+    """Events against the statistics of their type that held at their time: each day's largest and smallest value and count hold from the next day on."""
+    e = tables.read(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
+    day = F.date_trunc("day", F.col("ts")).cast("timestamp_ntz")
+    daily = e.groupBy("event_type", day.alias("day")).agg(F.max("value").alias("high"), F.min("value").alias("low"), F.count("*").alias("n"))
+    versions = daily.select("event_type", (F.col("day") + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz").alias("held_from"), "high", "low", "n")
+    out = asof.as_of(e, versions, "ts", "held_from", "event_type")
+    return out.select("event_id", r6("high").alias("high"), r6("low").alias("low"), "n")
+
+
+def q_sketches(spark, sf_dir):
+    """Sketches of two batches, merged: how many values each has, and whether exact quantiles lie in their brackets."""
+    g = _geometry(spark, sf_dir)
+    parts = [sketches.sketched(g.where(f), "category_id", features=COHORT) for f in ("is_bad", "not is_bad")]
+    wanted = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
+    found = sketches.quantiles(sketches.merged(*parts), wanted)
+    exact = g.select("category_id", *COHORT).unpivot(["category_id"], COHORT, "feature", "value").groupBy("category_id", "feature").agg(*[F.percentile("value", F.lit(q)).alias(f"x_{k}") for k, q in wanted.items()])
+    inside = [F.col(f"x_{k}").between(F.col(f"{k}_low"), F.col(f"{k}_high")).alias(f"{k}_inside") for k in wanted]
+    return found.join(exact, ["category_id", "feature"]).select("category_id", "feature", "n", *inside)
+
+
 def q_convention(spark, sf_dir):
     images = tables.slabs(spark, sf_dir)
     out = image.convention_scores(tables.slab_segments(images), images)
@@ -614,6 +646,13 @@ pl AS (SELECT image_id, cd_index, side, convention, y_flip, origin, abs(-3 + 0.2
 SELECT convention, y_flip, origin, 1e0 AS scale, {_r("median(coalesce(d, 3e0))", "median_dist_px")} FROM fp LEFT JOIN pl USING (image_id, cd_index, side, convention, y_flip, origin) GROUP BY 1, 2, 3""",
     "q_to_nm": f"WITH {PARTS} SELECT {_K}, {_r('value_nm', 'value_nm')} FROM g",
     "q_unit_norm": f"WITH {PARTS}, r AS (SELECT {_RAW}[cd_index % {len(SPELLINGS)} + 1] || CASE WHEN category_id = 0 THEN ' ' ELSE '' END AS raw FROM p) SELECT raw, {_NORM} AS unit, count(*) AS n FROM r GROUP BY raw",
+    "q_validated": f"""WITH {PARTS}, r AS (SELECT *, {_RAW}[cd_index % {len(SPELLINGS)} + 1] AS raw FROM p), cf AS (SELECT *, {_NORM} AS u,
+  CASE WHEN cd_index % 17 = 3 THEN 'E-ARG-01' WHEN {_NORM} IS NULL THEN 'E-ARG-03' WHEN cd_index % 13 = 5 THEN 'E-ARG-06' ELSE 'ok' END AS code FROM r)
+SELECT category_id, code, CASE code WHEN 'E-ARG-01' THEN '3 of 4 coordinates' WHEN 'E-ARG-03' THEN raw WHEN 'E-ARG-06' THEN 'px_nm 0.0' ELSE '' END AS detail, count(*) AS n,
+  round(sum(CASE WHEN code = 'ok' AND u = 'angstrom' THEN value*0.1e0 ELSE value END), 3) AS total FROM cf GROUP BY 1, 2, 3""",
+    "q_as_of": f"""WITH v AS (SELECT event_type, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS held_from, max(value) AS high, min(value) AS low, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT e.event_id, {_r('high', 'high')}, {_r('low', 'low')}, n FROM events e ASOF LEFT JOIN v ON e.event_type = v.event_type AND e.ts >= v.held_from""",
+    "q_sketches": f"WITH {PARTS} SELECT category_id, feature, count(*) AS n, true AS q10_inside, true AS q50_inside, true AS q90_inside FROM g, (VALUES {', '.join(f'({chr(39)}{c}{chr(39)})' for c in COHORT)}) f(feature) GROUP BY 1, 2",
     "q_unknown_units": f"WITH {PARTS}, r AS (SELECT *, {_RAW}[cd_index % {len(SPELLINGS)} + 1] AS raw FROM p) SELECT category_id, raw, count(*) AS n FROM r WHERE {_NORM} IS NULL GROUP BY 1, 2",
     "q_px_infer": f"WITH {PARTS} SELECT image_id, {_r('median(CASE WHEN len > 1e-9 THEN value_nm / len END)', 'px_nm')} FROM g GROUP BY 1",
     "q_ratio_cv": f"WITH {PARTS}, a AS (SELECT image_id, value_nm / len AS x, median(value_nm / len) OVER (PARTITION BY image_id) AS m FROM g) SELECT image_id, {_r('CASE WHEN count(*) >= 3 THEN 1.4826e0*median(abs(x - m)) / greatest(abs(any_value(m)), 1e-12) END', 'ratio_cv')} FROM a GROUP BY 1",

@@ -199,6 +199,17 @@ def mask_features(masks: DataFrame, images: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
+def candidate_offsets(image: np.ndarray, s: np.ndarray, e: np.ndarray, scale: float = 1.0) -> Iterator[np.ndarray]:
+    """For each of convention_candidates() how far edges are from both ends of segments, all starts first."""
+    for c in convention_candidates():
+        ends = []
+        for xy in (s, e):
+            x, y = (xy[:, k] * scale - (c["origin"] == "one") for k in range(2))
+            x, y = (y, x) if c["convention"] == "rowcol" else (x, y)
+            ends.append(np.stack((x, image.shape[0] - 1 - y if c["y_flip"] else y), axis=1))
+        yield kernels.edge_offsets(image, *ends)
+
+
 def convention_scores(segments: DataFrame, images: DataFrame, scale: float = 1.0) -> DataFrame:
     """convention, y_flip, origin, scale, median_dist_px: how far edges are from segment ends under each way of writing coordinates.
 
@@ -210,17 +221,8 @@ def convention_scores(segments: DataFrame, images: DataFrame, scale: float = 1.0
         columns = ["number", "dist"]
         if not len(left) or not len(right):
             return pd.DataFrame(columns=columns)
-        image = as_image(right.iloc[0])
-        parts = []
-        for k, c in enumerate(convention_candidates()):
-            ends = []
-            for pair in (("sx", "sy"), ("ex", "ey")):
-                x, y = (left[n].to_numpy(float) * scale - (c["origin"] == "one") for n in pair)
-                x, y = (y, x) if c["convention"] == "rowcol" else (x, y)
-                ends.append(np.stack((x, image.shape[0] - 1 - y if c["y_flip"] else y), axis=1))
-            d = kernels.edge_offsets(image, *ends)
-            parts.append(pd.DataFrame({"number": k, "dist": d}))
-        return pd.concat(parts)
+        s, e = (left[list(c)].to_numpy(float) for c in (("sx", "sy"), ("ex", "ey")))
+        return pd.concat([pd.DataFrame({"number": k, "dist": d}) for k, d in enumerate(candidate_offsets(as_image(right.iloc[0]), s, e, scale))])
 
     dist = own.groupBy("image_id").cogroup(_renamed(images).groupBy("_image")).applyInPandas(run, "number int, dist double")
     found = exact_quantiles(settled(dist), "dist", {"median_dist_px": 0.5}, "number").select("number", "median_dist_px")

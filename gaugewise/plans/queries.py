@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugewise.functions import kernels
-from gaugewise.operators import asof, convert, evaluate, image, pyramid, score, sequence, sketches, stats, tiles, validate, verdict
+from gaugewise.functions import kernels, sql
+from gaugewise.operators import asof, convert, evaluate, image, pyramid, score, sequence, sketches, sliding, stats, tiles, validate, verdict
 from gaugewise.operators.sequence import Sequence
 from gaugewise.registry import Params
 from gaugewise.sources import images as files
@@ -380,6 +380,29 @@ def q_sketches(spark, sf_dir):
     return found.join(exact, ["category_id", "feature"]).select("category_id", "feature", "n", *inside)
 
 
+def q_sliding_median(spark, sf_dir):
+    """Values of a user's events against the median of the 51 around each."""
+    e = tables.user_sequences(spark, sf_dir)
+    return sliding.sliding_medians(e, {"median": "value"}, 25, USER).select("user_id", "ord", r6("median").alias("median"))
+
+
+def q_sql_functions(spark, sf_dir):
+    """Lengths, angles and values in nm through SQL alone."""
+    sql.register(spark)
+    _parts(spark, sf_dir).createOrReplaceTempView("gaugewise_parts")
+    return spark.sql("""SELECT category_id, normalize_unit(unit) AS unit, count(*) AS n, round(sum(to_nm(value, unit)), 3) AS nm, round(sum(length_px(sx, sy, ex, ey)), 3) AS px,
+        round(max(circular_distance(segment_angle(sx, sy, ex, ey), 90)), 6) + 0 AS turned FROM gaugewise_parts GROUP BY 1, 2""")
+
+
+def q_sql_convention(spark, sf_dir):
+    """Conventions of each image through SQL: a table function over segments and images, partitioned by image."""
+    sql.register(spark)
+    images = tables.slabs(spark, sf_dir)
+    sql.image_rows(tables.slab_segments(images), images).createOrReplaceTempView("gaugewise_image_rows")
+    return spark.sql("""SELECT image_id, convention, y_flip, origin, 1.0D AS scale, round(median(dist), 6) + 0 AS median_dist_px
+        FROM convention_offsets(TABLE(gaugewise_image_rows) PARTITION BY image_id) GROUP BY image_id, convention, y_flip, origin""")
+
+
 def q_convention(spark, sf_dir):
     images = tables.slabs(spark, sf_dir)
     out = image.convention_scores(tables.slab_segments(images), images)
@@ -653,6 +676,10 @@ SELECT category_id, code, CASE code WHEN 'E-ARG-01' THEN '3 of 4 coordinates' WH
     "q_as_of": f"""WITH v AS (SELECT event_type, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS held_from, max(value) AS high, min(value) AS low, count(*) AS n FROM events GROUP BY 1, 2)
 SELECT e.event_id, {_r('high', 'high')}, {_r('low', 'low')}, n FROM events e ASOF LEFT JOIN v ON e.event_type = v.event_type AND e.ts >= v.held_from""",
     "q_sketches": f"WITH {PARTS} SELECT category_id, feature, count(*) AS n, true AS q10_inside, true AS q50_inside, true AS q90_inside FROM g, (VALUES {', '.join(f'({chr(39)}{c}{chr(39)})' for c in COHORT)}) f(feature) GROUP BY 1, 2",
+    "q_sliding_median": f"""WITH u AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ord FROM events)
+SELECT user_id, ord, {_r('median(value) OVER (PARTITION BY user_id ORDER BY ord ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING)', 'median')} FROM u""",
+    "q_sql_functions": f"""WITH {PARTS} SELECT category_id, CASE WHEN unit = 'nm' THEN 'nm' ELSE 'angstrom' END AS unit, count(*) AS n, round(sum(value_nm), 3) AS nm, round(sum(len), 3) AS px,
+  round(max(abs(((angle - 90 + 90) % 180 + 180) % 180 - 90)), 6) + 0e0 AS turned FROM g GROUP BY 1, 2""",
     "q_unknown_units": f"WITH {PARTS}, r AS (SELECT *, {_RAW}[cd_index % {len(SPELLINGS)} + 1] AS raw FROM p) SELECT category_id, raw, count(*) AS n FROM r WHERE {_NORM} IS NULL GROUP BY 1, 2",
     "q_px_infer": f"WITH {PARTS} SELECT image_id, {_r('median(CASE WHEN len > 1e-9 THEN value_nm / len END)', 'px_nm')} FROM g GROUP BY 1",
     "q_ratio_cv": f"WITH {PARTS}, a AS (SELECT image_id, value_nm / len AS x, median(value_nm / len) OVER (PARTITION BY image_id) AS m FROM g) SELECT image_id, {_r('CASE WHEN count(*) >= 3 THEN 1.4826e0*median(abs(x - m)) / greatest(abs(any_value(m)), 1e-12) END', 'ratio_cv')} FROM a GROUP BY 1",
@@ -732,4 +759,5 @@ wide AS (SELECT category_id, {", ".join(f"max(median) FILTER (WHERE feature = '{
 ev AS MATERIALIZED (SELECT failure, strength, hit, round(greatest(abs(cd_nm - med_cd_nm) / greatest(1.4826e0*mad_cd_nm, 1e-6), abs(angle - med_angle) / greatest(1.4826e0*mad_angle, 1e-6),
   abs(value_nm - cd_nm - med_value_mismatch_nm) / greatest(1.4826e0*mad_value_mismatch_nm, 0.02e0)), 9) AS top_z FROM ft JOIN wide USING (category_id)), {_recall('ev', 'failure, strength', 'top_z', 'hit')}""",
 }
+ORACLE_SQL["q_sql_convention"] = ORACLE_SQL["q_convention"].replace("SELECT convention, y_flip, origin, 1e0", "SELECT image_id, convention, y_flip, origin, 1e0").removesuffix("1, 2, 3") + "1, 2, 3, 4"
 ORACLE_SQL["q_png_slabs"] = ORACLE_SQL["q_slab_sigma"]

@@ -186,6 +186,28 @@ def stats_to_json(stats: DataFrame) -> dict:
     }
 
 
+_JSON = "n long, features map<string, struct<median: double, mad: double>>, modes map<string, double>"
+
+
+def stats_as_json(stats: DataFrame, *keys: str) -> DataFrame:
+    """keys, json: the rows of cohort_stats() as one text a cohort (n, features with median and mad, modes), to be kept or sent. A cohort has at most 60 features."""
+    entry = lambda value, when: F.map_from_entries(F.sort_array(F.collect_list(F.when(when, F.struct("feature", value.alias("v"))))))
+    z = F.col("mode").isNull()
+    rows = stats.groupBy(*keys).agg(F.max("n").alias("n"), entry(F.struct("median", "mad"), z).alias("features"), entry(F.col("mode"), ~z).alias("modes"))
+    return rows.select(*keys, F.to_json(F.struct("n", "features", "modes"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def stats_from_json(texts: DataFrame, *keys: str, column: str = "json") -> DataFrame:
+    """The rows of cohort_stats() again: keys, feature, n, median, mad, mode. A text that can't be read raises an error when it is."""
+    read = F.from_json(F.col(column), _JSON, {"mode": "FAILFAST"})
+    none = F.lit(None).cast("double")
+    both = F.concat(
+        F.transform(F.map_entries(F.col("_j.features")), lambda e: F.struct(e["key"].alias("feature"), e["value"]["median"].alias("median"), e["value"]["mad"].alias("mad"), none.alias("mode"))),
+        F.transform(F.map_entries(F.col("_j.modes")), lambda e: F.struct(e["key"].alias("feature"), none.alias("median"), none.alias("mad"), e["value"].alias("mode"))),
+    )
+    return texts.select(*keys, read.alias("_j")).select(*keys, F.col("_j.n").alias("n"), F.explode(both).alias("_e")).select(*keys, "_e.feature", "n", "_e.median", "_e.mad", "_e.mode")
+
+
 def threshold_from_quantile(df: DataFrame, value: str, q: float, *keys: str) -> DataFrame:
     """The q quantile of the finite values of each key, by exact_quantiles(); keys without one have no row."""
     if not 0 <= q <= 1:

@@ -27,78 +27,69 @@ class Feature:
     runtime: bool = False
 
 
-#: Name, level, kind, direction, reason, flags (off: not in the default arg-max; run: made by the caller).
-_ROWS = """
-delta_s l3 z both POSITION_MISMATCH
-delta_e l3 z both POSITION_MISMATCH
-cnr_s l3 z low EVIDENCE_WEAK
-cnr_e l3 z low EVIDENCE_WEAK
-rise_s l3 z high FOCUS_BLUR
-rise_e l3 z high FOCUS_BLUR
-margin_s l3 z low EVIDENCE_WEAK
-margin_e l3 z low EVIDENCE_WEAK
-npk_s l3 z high EVIDENCE_WEAK
-npk_e l3 z high EVIDENCE_WEAK
-overshoot_s l3 z high FOCUS_BLUR
-overshoot_e l3 z high FOCUS_BLUR
-plateau_cv l3 z high EVIDENCE_WEAK
-pol_s l3 match - EVIDENCE_WEAK
-pol_e l3 match - EVIDENCE_WEAK
-edge_valid_s l3 bool - EVIDENCE_WEAK
-edge_valid_e l3 bool - EVIDENCE_WEAK
-cd_nm l3 z both GEOMETRY_ODD
-cd_resid l3 z both SEQUENCE_JUMP
-s_resid l3 z both SEQUENCE_JUMP
-e_resid l3 z both SEQUENCE_JUMP
-dstep_s l3 z high SEQUENCE_JUMP
-dstep_e l3 z high SEQUENCE_JUMP
-obliquity l3 z high GEOMETRY_ODD
-curv_s l3 z high SEQUENCE_JUMP off
-curv_e l3 z high SEQUENCE_JUMP off
-angle l3 z both GEOMETRY_ODD
-value_mismatch_nm l3 z both GEOMETRY_ODD
-mdist_s l3 z high POSITION_MISMATCH
-mdist_e l3 z high POSITION_MISMATCH
-mgrad_s l3 z low POSITION_MISMATCH
-mgrad_e l3 z low POSITION_MISMATCH
-minside l3 bool - GEOMETRY_ODD
-n_cd l2 z both
-frac_flagged l2 z high - run
-max_run l2 rollup - - run
-cd_median l2 z both
-cd_mad l2 z high
-delta_median_s l2 z both
-delta_median_e l2 z both
-traj_rms_s l2 z high
-traj_rms_e l2 z high
-angle_median l2 z both
-angle_spread l2 z high
-pitch_median l2 z both
-span_nm l2 z both
-impact_nm l2 physical high - run
-noise_sigma l1 z high
-sat_lo l1 z high
-sat_hi l1 z high
-dyn_range l1 z low
-hist_emd l1 z high - run
-struct_energy l1 z low
-tile_energy_cv l1 z high
-n_bad_categories l1 rollup - - run
-mask_grad_agree lm z low
-mask_n_components lm z both
-mask_hole_frac lm z high
-mask_boundary_rough lm z high
-mask_area_frac lm z both
-"""
-
-
-def _feature(row: str) -> Feature:
-    name, level, kind, worse, *rest = row.split()
-    reason = rest[0] if rest and rest[0] != "-" else ""
-    return Feature(name, level, kind, worse, reason, "off" not in rest, "run" in rest)
-
-
-FEATURES: tuple[Feature, ...] = tuple(map(_feature, _ROWS.strip().splitlines()))
+#: Name, level, kind, direction, reason; enabled: in the default arg-max; runtime: made by the caller.
+FEATURES: tuple[Feature, ...] = (
+    Feature("delta_s", "l3", "z", "both", "POSITION_MISMATCH"),
+    Feature("delta_e", "l3", "z", "both", "POSITION_MISMATCH"),
+    Feature("cnr_s", "l3", "z", "low", "EVIDENCE_WEAK"),
+    Feature("cnr_e", "l3", "z", "low", "EVIDENCE_WEAK"),
+    Feature("rise_s", "l3", "z", "high", "FOCUS_BLUR"),
+    Feature("rise_e", "l3", "z", "high", "FOCUS_BLUR"),
+    Feature("margin_s", "l3", "z", "low", "EVIDENCE_WEAK"),
+    Feature("margin_e", "l3", "z", "low", "EVIDENCE_WEAK"),
+    Feature("npk_s", "l3", "z", "high", "EVIDENCE_WEAK"),
+    Feature("npk_e", "l3", "z", "high", "EVIDENCE_WEAK"),
+    Feature("overshoot_s", "l3", "z", "high", "FOCUS_BLUR"),
+    Feature("overshoot_e", "l3", "z", "high", "FOCUS_BLUR"),
+    Feature("plateau_cv", "l3", "z", "high", "EVIDENCE_WEAK"),
+    Feature("pol_s", "l3", "match", "-", "EVIDENCE_WEAK"),
+    Feature("pol_e", "l3", "match", "-", "EVIDENCE_WEAK"),
+    Feature("edge_valid_s", "l3", "bool", "-", "EVIDENCE_WEAK"),
+    Feature("edge_valid_e", "l3", "bool", "-", "EVIDENCE_WEAK"),
+    Feature("cd_nm", "l3", "z", "both", "GEOMETRY_ODD"),
+    Feature("cd_resid", "l3", "z", "both", "SEQUENCE_JUMP"),
+    Feature("s_resid", "l3", "z", "both", "SEQUENCE_JUMP"),
+    Feature("e_resid", "l3", "z", "both", "SEQUENCE_JUMP"),
+    Feature("dstep_s", "l3", "z", "high", "SEQUENCE_JUMP"),
+    Feature("dstep_e", "l3", "z", "high", "SEQUENCE_JUMP"),
+    Feature("obliquity", "l3", "z", "high", "GEOMETRY_ODD"),
+    Feature("curv_s", "l3", "z", "high", "SEQUENCE_JUMP", enabled=False),
+    Feature("curv_e", "l3", "z", "high", "SEQUENCE_JUMP", enabled=False),
+    Feature("angle", "l3", "z", "both", "GEOMETRY_ODD"),
+    Feature("value_mismatch_nm", "l3", "z", "both", "GEOMETRY_ODD"),
+    Feature("mdist_s", "l3", "z", "high", "POSITION_MISMATCH"),
+    Feature("mdist_e", "l3", "z", "high", "POSITION_MISMATCH"),
+    Feature("mgrad_s", "l3", "z", "low", "POSITION_MISMATCH"),
+    Feature("mgrad_e", "l3", "z", "low", "POSITION_MISMATCH"),
+    Feature("minside", "l3", "bool", "-", "GEOMETRY_ODD"),
+    Feature("n_cd", "l2", "z", "both"),
+    Feature("frac_flagged", "l2", "z", "high", runtime=True),
+    Feature("max_run", "l2", "rollup", runtime=True),
+    Feature("cd_median", "l2", "z", "both"),
+    Feature("cd_mad", "l2", "z", "high"),
+    Feature("delta_median_s", "l2", "z", "both"),
+    Feature("delta_median_e", "l2", "z", "both"),
+    Feature("traj_rms_s", "l2", "z", "high"),
+    Feature("traj_rms_e", "l2", "z", "high"),
+    Feature("angle_median", "l2", "z", "both"),
+    Feature("angle_spread", "l2", "z", "high"),
+    Feature("pitch_median", "l2", "z", "both"),
+    Feature("span_nm", "l2", "z", "both"),
+    Feature("impact_nm", "l2", "physical", "high", runtime=True),
+    Feature("noise_sigma", "l1", "z", "high"),
+    Feature("sat_lo", "l1", "z", "high"),
+    Feature("sat_hi", "l1", "z", "high"),
+    Feature("dyn_range", "l1", "z", "low"),
+    Feature("hist_emd", "l1", "z", "high", runtime=True),
+    Feature("struct_energy", "l1", "z", "low"),
+    Feature("tile_energy_cv", "l1", "z", "high"),
+    Feature("n_bad_categories", "l1", "rollup", runtime=True),
+    Feature("mask_grad_agree", "lm", "z", "low"),
+    Feature("mask_n_components", "lm", "z", "both"),
+    Feature("mask_hole_frac", "lm", "z", "high"),
+    Feature("mask_boundary_rough", "lm", "z", "high"),
+    Feature("mask_area_frac", "lm", "z", "both"),
+)
 BY_NAME: dict[str, Feature] = {f.name: f for f in FEATURES}
 
 

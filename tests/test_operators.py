@@ -133,6 +133,20 @@ def test_robust_stats_against_numpy(spark, monkeypatch, together):
     assert stats.threshold_from_quantile(frame(spark, [(float(i),) for i in range(100)], "v double"), "v", 0.9).first().threshold == pytest.approx(89.1)
 
 
+def test_stats_as_json_and_back(spark):
+    rows = [("a", i, float(i), 1.0 if i % 3 else -1.0) for i in range(20)] + [(None, 1, None, 0.0), ("b", 2, 0.1 + 0.2, None)]
+    df = frame(spark, rows, "k string, id int, cd_nm double, pol_s double")
+    made = stats.cohort_stats(df, "k")
+    texts = stats.stats_as_json(made, "k")
+    assert texts.columns == ["k", "json"] and texts.count() == 3
+    back = stats.stats_from_json(texts, "k")
+    show = lambda d: sorted(map(str, d.select("k", "feature", "n", "median", "mad", "mode").collect()))
+    assert show(back) == show(made)
+    assert stats.stats_from_json(stats.stats_as_json(stats.cohort_stats(df))).count() == 2 and stats.stats_as_json(made.where("false"), "k").count() == 0
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        stats.stats_from_json(texts.withColumn("json", F.lit("{no")), "k").collect()
+
+
 def test_a_rank_outside_its_bracket(spark, monkeypatch):
     """A sketch too coarse for its bracket: the key is done again, and nothing is lost."""
     monkeypatch.setattr(stats, "ACCURACY", 2)

@@ -142,7 +142,8 @@ def q_mode(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    g = _geometry(spark, sf_dir)
+    """Scores of measurements that are written once, for their statistics and for themselves."""
+    g = tables.settled(_geometry(spark, sf_dir))
     return score.apply_z(g, stats.cohort_stats(g, "category_id", features=COHORT), "category_id", features=COHORT)
 
 

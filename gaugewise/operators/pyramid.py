@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewise.functions import kernels
-from gaugewise.operators import convert, image, sequence
+from gaugewise.operators import convert, image, sequence, validate
 from gaugewise.registry import FEATURES, Params
 
 KEYS = ("image_id", "category_id", "cd_index")
@@ -37,3 +37,19 @@ def extract_l3(measurements: DataFrame, images: DataFrame | None = None, masks:
         found = out.withColumns({c: F.lit(False) if c.startswith("edge_valid") else F.lit(None).cast("double") for c in kernels.EVIDENCE})
     names = [f.name for f in FEATURES if f.level == "l3" and f.name in found.columns]
     return found.select(*KEYS, *names, "mid_x", "mid_y", "px_nm")
+
+
+def extract_l3_checked(measurements: DataFrame, images: DataFrame | None = None, masks: DataFrame | None = None, px_nm: str = "px_nm", value: str | None = None, unit: str | None = None, params: Params = Params()) -> tuple[DataFrame, validate.Validated]:
+    """extract_l3() of the rows that are sound, and what the check found.
+
+    Rejected are rows without coordinates (E-ARG-04), with some only (E-ARG-01), with a scale that is not above 0
+    (E-ARG-06) and, if value and unit are named, with an unknown unit (E-ARG-03); values are brought to nm. The table
+    is read once. A sequence goes on over rejected rows: its neighbours are those that stay.
+    """
+    rules = [validate.some_ends(), validate.whole_ends(), validate.positive(px_nm)] + ([validate.known_unit(unit)] if unit else [])
+    found = validate.validated(measurements, *rules)
+    good, value_nm = found.good, None
+    if value and unit:
+        value_nm = "value_nm"
+        good = good.withColumn(value_nm, convert.to_nm(F.col(value), F.col(unit)))
+    return extract_l3(good, images, masks, px_nm, value_nm, params), found

@@ -17,6 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from gaugewise.functions import kernels, png
 from gaugewise.registry import MetrologyError
+from gaugewise.sources import tables
 
 #: path of the file, its name without folder and suffix, size, bits a pixel, rows of pixels (16 bits: low byte first), why a file could not be read.
 SCHEMA = "path string, image_id string, h int, w int, depth int, pixels binary, reason string"
@@ -208,3 +209,40 @@ def as_uint8(images: DataFrame, method: str = "percentile") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("image_id", "h", "w")), pa.array(made, pa.binary())], ["image_id", "h", "w", "pixels"])
 
     return own.mapInArrow(run, f"image_id {kind}, h int, w int, pixels binary")
+
+
+def save_dataset(path: str, measurements: DataFrame, images: DataFrame, masks: DataFrame | None = None) -> None:
+    """A data set in a new folder: images/ and masks/ as PNG files (masks in black and white, named by image and category), records/ as CSV.
+
+    Category names must not hold a "/" (E-ARG-06), image names may.
+    """
+    save_images(images, f"{path}/images")
+    if masks is not None:
+        if masks.where(F.col("category_id").cast("string").contains("/")).take(1):
+            raise MetrologyError("E-ARG-06", "a category with / in its name")
+        name = F.concat(F.col("image_id").cast("string"), F.lit("/"), F.col("category_id").cast("string")).alias("image_id")
+        save_images(_white(masks.select(name, "h", "w", F.col("bits").alias("pixels"))), f"{path}/masks")
+    tables.save(measurements, f"{path}/records", "csv")
+
+
+def _white(masks: DataFrame) -> DataFrame:
+    """Pixels that are not 0 as 255."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [None if x is None else ((np.frombuffer(x, np.uint8) != 0) * np.uint8(255)).tobytes() for x in b.column("pixels").to_pylist()]
+            yield b.set_column(b.schema.get_field_index("pixels"), "pixels", pa.array(made, pa.binary()))
+
+    return masks.mapInArrow(run, masks.schema)
+
+
+def load_dataset(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Measurements (by the schema given, image_id and category_id among its columns), images and masks of save_dataset(), ids in the measurements' types."""
+    register(spark)
+    records = tables.load(spark, f"{path}/records", "csv", schema)
+    kind = {k: records.schema[k].dataType for k in ("image_id", "category_id")}
+    read = lambda sub: spark.read.format("grey_png").load(f"{path}/{sub}").where("reason is null")
+    images = read("images").select(F.col("image_id").cast(kind["image_id"]).alias("image_id"), "h", "w", "depth", "pixels")
+    name = F.expr("substring(image_id, 1, length(image_id) - locate('/', reverse(image_id)))"), F.substring_index("image_id", "/", -1)
+    masks = read("masks").select(name[0].cast(kind["image_id"]).alias("image_id"), name[1].cast(kind["category_id"]).alias("category_id"), "h", "w", F.col("pixels").alias("bits"))
+    return records, images, masks

@@ -108,3 +108,31 @@ def test_bits(spark):
     assert max({r.image_id: r.pixels for r in images.as_uint8(df).collect()}[1]) == 255
     with pytest.raises(MetrologyError, match="E-ARG-06"):
         images.as_uint8(df, "none")
+
+
+def test_dataset(spark, tmp_path):
+    """Measurements, images and masks written and read again; sound rows give features, the others are told."""
+    from gaugewise.operators import pyramid
+
+    r = np.random.default_rng(5)
+    make = spark.createDataFrame
+    kept = {f"a/{k}_1": r.integers(0, 256, (40, 50)).astype(np.uint8) for k in range(3)}
+    bits = {(i, c): (r.random((40, 50)) < 0.4).astype(np.uint8) for i in kept for c in ("A_1", "B")}
+    rows = [(i, c, k, *r.uniform(8, 32, 4).tolist(), 5.0, "Å" if k % 2 else "nm", 0.5) for i in kept for c in ("A_1", "B") for k in range(8)]
+    rows += [("x", "A_1", 0, None, 1.0, 2.0, 3.0, 5.0, "nm", 0.5), ("x", "A_1", 1, 1.0, 1.0, 2.0, 3.0, 5.0, "px", 0.5), ("x", "A_1", 2, 1.0, 1.0, 2.0, 3.0, 5.0, "nm", -1.0), ("x", "A_1", 3, None, None, None, None, 5.0, "nm", 0.5)]
+    schema = "image_id string, category_id string, cd_index long, sx double, sy double, ex double, ey double, value double, unit string, px_nm double"
+    images_ = make([(i, *x.shape, x.tobytes()) for i, x in kept.items()], "image_id string, h int, w int, pixels binary")
+    masks = make([(i, c, *x.shape, x.tobytes()) for (i, c), x in bits.items()], "image_id string, category_id string, h int, w int, bits binary")
+    path = str(tmp_path / "set")
+    images.save_dataset(path, make(rows, schema), images_, masks)
+    records, back, back_masks = images.load_dataset(spark, path, schema)
+    assert {r.image_id: bytes(r.pixels) for r in back.collect()} == {i: x.tobytes() for i, x in kept.items()}
+    assert {(r.image_id, r.category_id): bytes(r.bits) for r in back_masks.collect()} == {k: (x * 255).astype(np.uint8).tobytes() for k, x in bits.items()}
+    assert sorted(map(str, (tuple(r) for r in records.collect()))) == sorted(map(str, rows))
+    l3, found = pyramid.extract_l3_checked(records, back, back_masks, value="value", unit="unit")
+    want = pyramid.extract_l3(make(rows[:48], schema).withColumn("v", F.expr("if(unit = 'nm', value, value * 0.1)")), images_, masks, value_nm="v")
+    assert found.counts == {"ok": 48, "E-ARG-01": 1, "E-ARG-03": 1, "E-ARG-04": 1, "E-ARG-06": 1} and found.details("E-ARG-03") == ["px"]
+    show = lambda df: sorted(str(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in df.collect())
+    assert l3.columns == want.columns and show(l3) == show(want)
+    with pytest.raises(MetrologyError, match="E-ARG-06"):
+        images.save_dataset(str(tmp_path / "bad"), records, back, back_masks.withColumn("category_id", F.lit("a/b")))

@@ -310,7 +310,9 @@ def archived(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", pa
 
     A revisit gets its payload's length from the response with its digest, and is complete if there is one. Null
     payloads count as empty; empty ones revisit each other like any other. A null id is the smallest, and stays null.
-    Repeated rows get a record each. An empty table gives an empty one. Other columns of pages are not looked at.
+    Repeated rows get a record each; where the row with the largest id is repeated, each is a response. Very long
+    payloads become many segments, of which reading holds one at a time; writing holds the payload. An empty table
+    gives an empty one. Other columns of pages are not looked at.
     path: a new folder; one in the shared folder if None.
     """
     spark = pages.sparkSession

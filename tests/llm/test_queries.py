@@ -39,7 +39,8 @@ def test_contract_columns(spark):
         "op2": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], "op3": ["doc_id", "held_out", "score", "predicted"], "op4": ["doc_id", "size", "source_size", "target", "taken"],
         "op5": ["doc_id", "held_out", "lang_pred", "score"], "op6": ["doc_id", "fingerprint", "component_id"], "op7": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         "op8": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], "op9": ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-        "op10": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
+        "op10": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"], "op11": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
+        "op12": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], "op13": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
     }
     for name in want:
         query = next(q for k, q in own.QUERIES.items() if k.startswith(f"{name}_"))

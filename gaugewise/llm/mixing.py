@@ -91,16 +91,17 @@ def _not_above(bounds: Column, x: Column, n: int) -> Column:
     return F.aggregate(F.array(*[F.lit(p) for p in steps]), F.lit(0), lambda so_far, p: F.when(F.get(bounds, so_far + p - 1) <= x, so_far + p).otherwise(so_far))
 
 
-def drawn(shares: DataFrame, seed: int, shard: int = SHARD) -> DataFrame:
-    """The slots of the output: shard, slot, source, block, one row a slot.
+def drawn(shares: DataFrame, seed: int, shard: int = SHARD, draw: int | None = None) -> DataFrame:
+    """The slots of the output: shard, slot, source, block, one row a slot. draw: a seed of the draw alone, else `seed`.
 
     shares: source, blocks, uses (how many slots the source gets in all). Each slot draws a source by a seeded hash, at
     the odds of `uses`; the counts of these draws by shard are multinomial. They number each source's slots from shard
     to shard. A source that was drawn more often than it has uses gives up its last slots, to those drawn less often,
     so that the totals hold: as many slots change as the draws stray, about the square root of all. A source's k-th
-    slot is block k mod blocks under the permutation of that source and turn, and slots lie in a shard in the order of
-    the shard's own permutation. Slots are dealt evenly over tasks, whatever their source; prefix sums are over groups
-    of shards and then within a group, so no task sorts all shards of a source.
+    slot is block k mod blocks under a permutation that the source, the turn and the counts that its shards drew name;
+    so the draw chooses the blocks of a turn that is not whole. Slots lie in a shard in the order of the shard's own
+    permutation. Slots are dealt evenly over tasks, whatever their source; prefix sums are over groups of shards and
+    then within a group, so no task sorts all shards of a source.
     """
     spark = shares.sparkSession
     by_name = Window.partitionBy(F.lit(0)).orderBy(F.col("source").cast("binary").asc_nulls_last())
@@ -110,17 +111,17 @@ def drawn(shares: DataFrame, seed: int, shard: int = SHARD) -> DataFrame:
     parts = max(1, min(spark.sparkContext.defaultParallelism, -(-n // 4096)), -(-n // SLOTS))
     firsts = F.broadcast(shares.agg(F.sort_array(F.collect_list("first")).alias("firsts")))  # one row, a number a source
     slots = spark.range(0, n, 1, parts).join(firsts)
-    source = _not_above(F.col("firsts"), F.pmod(F.xxhash64(F.lit("draw"), F.lit(seed), "id"), F.lit(max(n, 1))), sources) - 1
+    source = _not_above(F.col("firsts"), F.pmod(F.xxhash64(F.lit("draw"), F.lit(seed if draw is None else draw), "id"), F.lit(max(n, 1))), sources) - 1
     counts = written(slots.select(F.floor(F.col("id") / shard).alias("shard"), source.alias("i")).groupBy("shard", "i").agg(F.count("*").alias("n")), "mix-counts")
     counts = counts.withColumn("group", F.floor(F.col("shard") / (math.isqrt(n // shard + 1) + 1)))
     in_order = before(Window.partitionBy("i").orderBy("group"))
     groups = counts.groupBy("i", "group").agg(F.sum("n").alias("n")).select("i", "group", F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("ahead"))
     within = before(Window.partitionBy("i", "group").orderBy("shard"))
     counts = counts.withColumn("k", F.coalesce(F.sum("n").over(within), F.lit(0))).join(groups, ["i", "group"]).withColumn("k", F.col("k") + F.col("ahead"))
-    totals = shares.join(counts.groupBy("i").agg(F.sum("n").alias("n")), "i", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    totals = shares.join(counts.groupBy("i").agg(F.sum("n").alias("n"), F.bit_xor(F.xxhash64("shard", "n")).alias("counts")), "i", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     by_i = before(Window.partitionBy(F.lit(0)).orderBy("i"))
     spare, lack = F.greatest(F.col("n") - F.col("uses"), F.lit(0)), F.greatest(F.col("uses") - F.col("n"), F.lit(0))
-    totals = totals.select("source", "blocks", "uses", "i", F.col("n").alias("got"), lack.alias("lack"), F.coalesce(F.sum(spare).over(by_i), F.lit(0)).alias("spare_from"), F.coalesce(F.sum(lack).over(by_i), F.lit(0)).alias("lack_from"))
+    totals = totals.select("source", "blocks", "uses", "i", F.coalesce("counts", F.lit(0)).alias("counts"), F.col("n").alias("got"), lack.alias("lack"), F.coalesce(F.sum(spare).over(by_i), F.lit(0)).alias("spare_from"), F.coalesce(F.sum(lack).over(by_i), F.lit(0)).alias("lack_from"))
     totals = written(totals, "mix-totals")  # a row a source
     runs = counts.select("shard", "i", "k", "n").join(totals.select("i", "uses", "spare_from"), "i")
     kept = runs.where("k < uses").select("shard", "i", "k", (F.least(F.col("k") + F.col("n"), "uses") - F.col("k")).alias("n"))
@@ -128,27 +129,28 @@ def drawn(shares: DataFrame, seed: int, shard: int = SHARD) -> DataFrame:
     over = runs.where("k + n > uses").select("shard", F.explode(F.sequence(F.col("spare_from") + F.greatest("k", "uses") - F.col("uses"), F.col("spare_from") + F.col("k") + F.col("n") - 1 - F.col("uses"))).alias("j"))
     to = F.get("lacks", _not_above(F.col("lacks")["lack_from"], F.col("j"), sources) - 1)
     over = over.join(lacking).withColumn("to", to).select("shard", F.col("to.i").alias("i"), (F.col("to.got") + F.col("j") - F.col("to.lack_from")).alias("k"), F.lit(1).cast("long").alias("n"))
-    slots = kept.unionByName(over).repartition(parts, "shard", "i").select("shard", "i", F.explode(F.sequence(F.col("k"), F.col("k") + F.col("n") - 1)).alias("k")).join(totals.select("i", "source", "blocks"), "i")
+    slots = kept.unionByName(over).repartition(parts, "shard", "i").select("shard", "i", F.explode(F.sequence(F.col("k"), F.col("k") + F.col("n") - 1)).alias("k")).join(totals.select("i", "source", "blocks", "counts"), "i")
     turn = F.floor(F.col("k") / F.col("blocks"))
-    block = permuted(F.pmod("k", "blocks"), F.col("blocks"), F.lit(seed), F.coalesce("source", F.lit("\0null")), turn)
+    block = permuted(F.pmod("k", "blocks"), F.col("blocks"), F.lit(seed), F.coalesce("source", F.lit("\0null")), turn, F.col("counts"))
     place = permuted(F.row_number().over(Window.partitionBy("shard").orderBy("i", "k")) - 1, F.count("*").over(Window.partitionBy("shard")), F.lit(seed), F.col("shard"))
     return slots.select("shard", place.alias("slot"), "source", block.alias("block"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, block: int = BLOCK, draw: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix of all rows of df: slots (shard, slot, source, block) and documents (doc_id, source, size, source_size, target, start, taken, row).
 
     Null and empty texts, and texts of white space, have size 0 and nothing is taken from them; null sources are one
     source, the last. Repeated rows are documents of their own; ties of order go by id, a hash of id and text, and the
     place in the input. A long text is as many spans of blocks. A source's words are taken in whole passes over its
-    blocks and a part of one more, at most three; words taken come to its target but for a block's rounding. Runs over
-    the same rows in the same files agree. An empty table gives empty ones. Other columns of df are not looked at.
+    blocks and a part of one more, at most three; words taken come to its target but for a block's rounding. Which
+    blocks are in that part follows from the draw of sources (its seed: `draw`, else `seed`). Runs over the same rows
+    in the same files agree. An empty table gives empty ones. Other columns of df are not looked at.
     """
     documents, sources = packed(df, id_col, text_col, source_col, block)
     shares = targets(sources.select("source", "source_size")).withColumnRenamed("source", "s").join(sources.select("source", "blocks"), F.col("s").eqNullSafe(F.col("source")))
     uses = F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("blocks") / F.col("source_size"))).otherwise(0).cast("long")
     shares = written(shares.select("source", "source_size", "target", "blocks", uses.alias("uses")), "mix-shares")
-    slots = drawn(shares, seed)
+    slots = drawn(shares, seed, draw=draw)
     times = slots.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.count("*").alias("times"))
     times = written(times, "mix-times")  # a row a block: Spark would take it for as small as the table of sources that it comes from
     spans = documents.where("size > 0").select("row", "source", "start", (F.col("start") + F.col("size")).alias("end"))

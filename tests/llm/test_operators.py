@@ -540,6 +540,12 @@ def test_mixing(spark, table, documents):
         assert slots.groupBy("shard").agg(F.count("*").alias("n")).where(f"n > {mixing.SHARD}").count() == 0
         other = mixing.mix(df, seed=8)[1].collect()  # of the odd table all sources are at their limits
         assert (Counter((r.doc_id, r.taken) for r in other) == Counter((r.doc_id, r.taken) for r in got)) == (df is table)
+    drawn_again = mixing.mix(documents, draw=8)[1].collect()  # another draw alone: other blocks, the same totals but for blocks that are not full
+    first = mixing.mix(documents)[1].collect()
+    assert sum(a != b for a, b in zip(*(sorted((r.row, r.taken) for r in x) for x in (first, drawn_again)))) > len(first) / 10
+    for name in {r.source for r in first}:
+        a, b = (sum(r.taken for r in x if r.source == name) for x in (first, drawn_again))
+        assert abs(a - b) <= 2 * mixing.BLOCK
     assert mixing.repeated(documents).columns == documents.columns
     assert mixing.mix(empty(spark))[1].count() == 0
 

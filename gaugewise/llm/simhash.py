@@ -22,27 +22,27 @@ class Budget:
 
     blocks: lengths of one block more than `bits`, from the highest bit. Of two fingerprints that differ in at most
     `bits`, some rotation of the blocks has fewer than j differing bits in its first j blocks, for every j; so its first
-    `key` bits agree. They name the trie's subtree, and the task. total: the most that all fingerprints of two texts,
-    where they have several, may differ in together.
+    `key` bits agree. They name the trie's subtree, and the task. totals: the most that all fingerprints of two texts,
+    where they have several, may differ in together, as ascending levels; pairs within a lower level are linked first.
     """
 
     blocks: tuple[int, ...]
     bits: int
     key: int
-    total: int | None = None
+    totals: tuple[int, ...] = ()
 
 
 FOUR_BITS = Budget((13, 13, 13, 13, 12), 4, 12)
 BLOCKS = FOUR_BITS.blocks
 #: Fingerprints of a text where links go by similarity.
-SEVERAL = 4
+SEVERAL = 7
 
 
 def by_similarity(jaccard: float) -> Budget:
-    """Eight bits in one of SEVERAL fingerprints, and in all together as many as texts of that similarity differ in, on average and half a standard deviation."""
+    """Eight bits in one of SEVERAL fingerprints, and in all together as many as texts of that similarity differ in on average, less and more two standard deviations."""
     p = math.acos(2 * jaccard / (1 + jaccard)) / math.pi
     n = 64 * SEVERAL
-    return Budget((7,) * 8 + (8,), 8, 7, int(n * p + 0.5 * math.sqrt(n * p * (1 - p))))
+    return Budget((7,) * 8 + (8,), 8, 7, tuple(int(n * p + z * math.sqrt(n * p * (1 - p))) for z in (-2, 0, 2)))
 
 
 def _shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -74,8 +74,8 @@ def fingerprint(text: bytes, width: int = 4) -> int:
 
 
 def several(text: bytes, width: int = 5) -> list[int]:
-    """SEVERAL fingerprints, from the shingles' hashes and from remixed ones; the first is fingerprint()."""
-    h = _shingle_hashes(text, width)
+    """SEVERAL fingerprints of the set of shingles, from their hashes and from remixed ones."""
+    h = np.unique(_shingle_hashes(text, width))
     return [_majority(_mixed(h + np.uint64(k * 0x632BE59BD9B4E019 % (1 << 64))) if k else h) for k in range(SEVERAL)]
 
 
@@ -108,11 +108,13 @@ class _Trie:
         """others: the other fingerprints of each text, for a budget with a total."""
         self.a, self.roots, self.rotation, self.budget, self.others = sorted_fps, roots, rotation, budget, others
         self.label = np.arange(len(sorted_fps))
+        self.total = budget.totals[0] if budget.totals else None
+        self.tree: list[tuple[np.ndarray, np.ndarray]] = []
         bounds = np.array([np.cumsum(np.roll(budget.blocks, -r)) for r in range(len(budget.blocks))])
         self.allowed = np.array([[np.searchsorted(b, depth, "left") for depth in range(65)] for b in bounds])
 
     def link(self, i: np.ndarray, j: np.ndarray) -> None:
-        """Joins the components of i and j, pairwise."""
+        """Joins the components of i and j, pairwise. Of the pairs that join two components one is kept in `tree`."""
         label = self.label
         while len(i):
             x, y = label[i], label[j]
@@ -120,7 +122,12 @@ class _Trie:
             if not differ.any():
                 break
             i, j, x, y = i[differ], j[differ], x[differ], y[differ]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            high, low = np.maximum(x, y), np.minimum(x, y)
+            np.minimum.at(label, high, low)
+            if self.total is not None:
+                won = np.flatnonzero(label[high] == low)
+                won = won[np.unique(high[won], return_index=True)[1]]
+                self.tree.append((i[won], j[won]))
             while (up := label[label]).tobytes() != label.tobytes():
                 label = self.label = up
 
@@ -129,14 +136,19 @@ class _Trie:
         close = apart <= self.budget.bits
         if self.others is not None:
             i, j, apart = i[close], j[close], apart[close]
-            close = apart + np.bitwise_count(self.others[i] ^ self.others[j]).sum(axis=1, dtype=np.int64) <= self.budget.total
+            close = apart + np.bitwise_count(self.others[i] ^ self.others[j]).sum(axis=1, dtype=np.int64) <= self.total
         self.link(i[close], j[close])
 
     def components(self) -> np.ndarray:
         """For each number, the place of the first one in its component."""
+        for self.total in self.budget.totals or (None,):
+            self.join()
+        return self.label
+
+    def join(self) -> None:
         a, roots = self.a, self.roots
         if len(a) < 2:
-            return self.label
+            return
         inner = np.ones(len(a) - 1, bool)
         inner[roots[1:-1] - 1] = False
         for step in (1, 2, 3):  # neighbours in order first, so that dense groups are one component from the start
@@ -173,7 +185,6 @@ class _Trie:
             merged = [np.concatenate(x) for x in zip(*parts)]
             for s in range(0, len(merged[0]), self.FRONT):
                 stack.append((depth + 1, *(x[s : s + self.FRONT] for x in merged)))
-        return self.label
 
     def run_ends(self) -> np.ndarray:
         """For each place, where the run of equal labels that it is in ends."""
@@ -197,9 +208,10 @@ def _rotated(fp: Column, rotation: int, blocks: tuple[int, ...]) -> Column:
 
 
 def _links_of(rotation: np.ndarray, fps: np.ndarray, ids: np.ndarray | None = None, others: np.ndarray | None = None, budget: Budget = FOUR_BITS) -> pa.RecordBatch:
-    """Star edges (id, first id of its component) among rotated fingerprints that share their key; ids are the fingerprints themselves where none are given.
+    """Edges among rotated fingerprints that share their key; ids are the fingerprints themselves where none are given.
 
-    rotation may count on over several tries: it is taken modulo the number of blocks.
+    They are stars (id, first id of its component), or, with `others`, near pairs: a tree for each component, of the
+    nearest ones as far as the levels of `totals` tell. rotation may count on over several tries: it is taken modulo the number of blocks.
     """
     order = np.lexsort((fps, rotation))
     fps, rotation = fps[order], rotation[order]
@@ -207,14 +219,19 @@ def _links_of(rotation: np.ndarray, fps: np.ndarray, ids: np.ndarray | None = No
     new = np.concatenate(([True], (rotation[1:] != rotation[:-1]) | (key[1:] != key[:-1])))
     roots = np.concatenate((np.flatnonzero(new), [len(fps)]))
     turn = rotation % len(budget.blocks)
-    label = _Trie(fps, roots, turn[roots[:-1]], budget, None if others is None else others[order]).components()
+    trie = _Trie(fps, roots, turn[roots[:-1]], budget, None if others is None else others[order])
+    label = trie.components()
     if ids is None:
         by = np.cumsum((0, *budget.blocks[:-1])).astype(np.uint64)[turn]
         back = np.where(by == 0, fps, (fps >> by) | (fps << ((np.uint64(64) - by) % np.uint64(64)))).view(np.int64)
     else:
         back = ids[order]
-    u = np.flatnonzero(label != np.arange(len(label)))
-    return pa.RecordBatch.from_arrays([pa.array(back[u]), pa.array(back[label[u]])], ["u", "v"])
+    if others is None:
+        u = np.flatnonzero(label != np.arange(len(label)))
+        v = label[u]
+    else:
+        u, v = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*trie.tree) if trie.tree else ((), ())))
+    return pa.RecordBatch.from_arrays([pa.array(back[u]), pa.array(back[v])], ["u", "v"])
 
 
 def _joins(budget: Budget, most: int = 1 << 17):
@@ -282,23 +299,29 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def alike(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per row of df: doc_id, row, root (a number of its group), kept (one row of each group, the first with the smallest id).
 
-    A text has SEVERAL fingerprints. Two texts are linked where one of these agrees, or differs in at most eight bits and
-    all together in no more than by_similarity() allows for that Jaccard similarity of their shingles: each fingerprint
-    has a trie of its own, whose links are confirmed by all of them in the same task. So a link is by an estimate of
-    similarity from 64 * SEVERAL bits, and a pair whose every fingerprint differs in over eight bits is missed.
+    A text has SEVERAL fingerprints of its set of shingles, each with a trie of its own. Two texts may be linked where one
+    fingerprint differs in at most eight bits, and all together in no more than by_similarity() allows. A task keeps a
+    tree of such pairs for each component that it finds, near ones first, so there are fewer pairs than fingerprints;
+    these are confirmed by the Jaccard similarity of the sets themselves. Texts with all fingerprints equal are taken
+    for equal. A pair is missed if every fingerprint differs in over eight bits, or if the tree goes by other texts and
+    one of its pairs is not confirmed.
+
+    Null and empty texts and texts without words have the fingerprint 0 and are one group. A null doc_id comes last in
+    the order of a group. Ties and repeated rows: the first row with the smallest id stays. Long texts are taken whole.
+    An empty table gives an empty one. Other columns of df are not looked at.
     """
     budget = by_similarity(similarity)
-    base = id_and_text(df, id_col, text_col).select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    base = id_and_text(df, id_col, text_col).select("doc_id", F.monotonically_increasing_id().alias("row"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("mark"), "text")
     names = [f"f{k}" for k in range(SEVERAL)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in passes(batch):
                 fp = np.array([several(x, width) for x in text_bytes(part.column("text"))], np.uint64).reshape(-1, SEVERAL).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), *map(pa.array, fp.T.copy())], ["doc_id", "row", *names])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), part.column("mark"), *map(pa.array, fp.T.copy())], ["doc_id", "row", "mark", *names])
 
-    fps = written(base.mapInArrow(run, schema_of(base, ("row", "long"), *[(x, "long") for x in names])), "alike-fp")
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    fps = written(base.mapInArrow(run, schema_of(base, ("row", "long"), ("mark", "binary"), *[(x, "long") for x in names])), "alike-fp")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "mark")
     classes = written(fps.groupBy(*names).agg(F.min(first).alias("first")).withColumn("id", F.col("first.row")), "alike-classes")
     edges, tries = [], []
     for k, name in enumerate(names):
@@ -313,13 +336,32 @@ def alike(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     near = _linked(near, budget)
     for e in edges:
         near = near.unionByName(e)
-    labels = connected_components(written(near, "alike-links"))
+    labels = connected_components(_confirmed(base, classes.select("first.row", "first.mark"), written(near, "alike-pairs"), width, similarity))
     named = written(classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select(*names, "first", F.coalesce("root", "id").alias("root")), "alike-named")
     smallest = named.groupBy("root").agg(F.min("first").alias("least"))
     ids = written(named.join(smallest, "root").select(*names, "root", "least"), "alike-ids")
     return fps.join(ids, names).select("doc_id", "row", "root", (F.col("row") == F.col("least.row")).alias("kept"))
 
 
+def _confirmed(base: DataFrame, marks: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs u, v whose texts' sets of shingles are as similar as that. marks: row and mark; a text of base is found by its mark, whatever its row."""
+    pairs = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "alike-distinct-pairs")
+    rows = pairs.select(F.col("u").alias("row")).unionByName(pairs.select(F.col("v").alias("row"))).distinct()
+    marks = written(marks.join(rows, "row"), "alike-marks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in passes(batch):
+                h = [np.unique(_shingle_hashes(x, width)).view(np.int64) for x in text_bytes(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("mark"), pa.array(h, pa.list_(pa.int64()))], ["mark", "h"])
+
+    sets = base.select("mark", "text").join(marks.select("mark"), "mark", "left_semi").mapInArrow(run, "mark binary, h array<long>").dropDuplicates(["mark"])
+    sets = written(marks.join(sets, "mark").select("row", "h"), "alike-sets")
+    both = pairs.join(sets.select(F.col("row").alias("u"), F.col("h").alias("a")), "u").join(sets.select(F.col("row").alias("v"), F.col("h").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    return written(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"), "alike-links")
+
+
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of df for each group of alike(), with df's columns: the first row with the group's smallest id.
 

@@ -145,6 +145,43 @@ def test_trie_finds_every_link():
             assert root(int(f)) == root(int(g))
 
 
+def test_near_copies_against_exact_similarity(spark):
+    """Texts with some words changed, and texts of one hot line: of pairs of 0.8 and more nearly all are found in each band, and no group is held together by less."""
+    r = random.Random(11)
+    texts = []
+    for k in range(60):
+        base = words(r.choice((60, 150, 400)), 500 + k).split()
+        texts.append(" ".join(base))
+        for share in (0.005, 0.015, 0.02, 0.025, 0.03, 0.04, 0.06):
+            texts.append(" ".join("changed%d" % r.randrange(10**6) if r.random() < share else w for w in base))
+    texts += [A * 40 + words(200, 900 + k) for k in range(6)] + ["", " ", "few words", "few words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.root for x in simhash.alike(df).collect()}
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) or {tuple(t.split())} for t in texts]
+    found, near = defaultdict(list), defaultdict(set)
+    for i, x in enumerate(sets):
+        for j in range(i):
+            similarity = len(x & sets[j]) / len(x | sets[j])
+            if similarity >= 0.8:
+                found[min(int(similarity * 20), 19)].append(got[i] == got[j])
+                near[i].add(j)
+                near[j].add(i)
+    counts = {k: (sum(x), len(x)) for k, x in found.items()}
+    assert set(found) == {16, 17, 18, 19}, counts
+    assert all(n > 20 and k >= 0.9 * n for k, n in counts.values()), counts
+    for group in set(got.values()):
+        members = {i for i in got if got[i] == group}
+        reached, todo = set(), [min(members)]
+        while todo:
+            i = todo.pop()
+            if i not in reached:
+                reached.add(i)
+                todo += near[i] & members
+        assert reached == members
+    kept = simhash.representatives(df)
+    assert kept.count() == len(set(got.values())) and simhash.alike(empty(spark)).count() == 0
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)] + [(5, 5)]

@@ -101,13 +101,14 @@ class _Trie:
 
     #: Pairs of nodes with so few pairs of leaves are compared at once.
     SMALL = 32
-    #: Pairs of nodes carried at a time.
-    FRONT = 1 << 20
+    #: Pairs of nodes carried at a time; so many where texts have several fingerprints, whose rows are wider.
+    FRONT, FRONT_OF_SEVERAL = 1 << 20, 1 << 16
 
     def __init__(self, sorted_fps: np.ndarray, roots: np.ndarray, rotation: np.ndarray, budget: Budget = FOUR_BITS, others: np.ndarray | None = None):
         """others: the other fingerprints of each text, for a budget with a total."""
         self.a, self.roots, self.rotation, self.budget, self.others = sorted_fps, roots, rotation, budget, others
         self.label = np.arange(len(sorted_fps))
+        self.front = self.FRONT if others is None else self.FRONT_OF_SEVERAL
         self.total = budget.totals[0] if budget.totals else None
         self.tree: list[tuple[np.ndarray, np.ndarray]] = []
         bounds = np.array([np.cumsum(np.roll(budget.blocks, -r)) for r in range(len(budget.blocks))])
@@ -183,8 +184,8 @@ class _Trie:
                     ok &= only
                 parts.append([x[ok] for x in (xl, xh, yl, yh, e, r)])
             merged = [np.concatenate(x) for x in zip(*parts)]
-            for s in range(0, len(merged[0]), self.FRONT):
-                stack.append((depth + 1, *(x[s : s + self.FRONT] for x in merged)))
+            for s in range(0, len(merged[0]), self.front):
+                stack.append((depth + 1, *(x[s : s + self.front] for x in merged)))
 
     def run_ends(self) -> np.ndarray:
         """For each place, where the run of equal labels that it is in ends."""
@@ -234,8 +235,9 @@ def _links_of(rotation: np.ndarray, fps: np.ndarray, ids: np.ndarray | None = No
     return pa.RecordBatch.from_arrays([pa.array(back[u]), pa.array(back[v])], ["u", "v"])
 
 
-def _joins(budget: Budget, most: int = 1 << 17):
+def _joins(budget: Budget):
     """Joins the tries of a partition that is sorted by rotation and key, some whole keys at a time."""
+    most = 1 << (14 if budget.totals else 17)  # rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []

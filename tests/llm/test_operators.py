@@ -364,6 +364,69 @@ def test_fuzzy_passages_at_the_rule(spark):
     assert all(got[i].class_id == i // 2 * 2 for i in got)
 
 
+def test_fuzzy_passages_first_seen_elsewhere(spark):
+    """Eighty words with every sixth to ninth changed, whose words earlier texts have in stretches too short for a passage."""
+    early, late = [], []
+    for n in range(32):
+        base, every = words(80, 20_000 + n).split(), 6 + n % 4
+        early += [f"{words(20, 30_000 + 100 * n + i)} {' '.join(base[i : i + 14])} {words(20, 40_000 + 100 * n + i)}" for i in range(0, 80, 10)]
+        own = [("zz" + w if i % every == every - 1 else w) for i, w in enumerate(base)]
+        late += [f"{words(30, 50_000 + n)} {' '.join(base)}", f"{' '.join(own)} {words(30, 60_000 + n)}"]
+    got = linked(spark, list(enumerate(early + late)))
+    first = len(early)
+    assert [got[first + 2 * n + 1].class_id for n in range(32)] == [first + 2 * n for n in range(32)]
+    assert all(got[i].n_links == (i >= first) for i in got)
+
+
+def test_all_links_against_every_pair(spark):
+    """Classes and numbers of links by chaining all pairs: parts and fuzzy copies of a few passages, repeats within a text."""
+    r = random.Random(5)
+    bases = [words(n, 7000 + n).split() for n in (45, 80, 120)]
+    rows = []
+    for k in range(90):
+        text = words(r.randrange(1, 60), 8000 + k).split()
+        for _ in range(r.randrange(3)):
+            base, every, start = r.choice(bases), r.choice((0, 6, 7, 9, 20)), r.randrange(30)
+            part = base[start : start + 14] if r.random() < 0.3 else base
+            text += [w for i, w in enumerate(part) if not every or i % every] if r.random() < 0.4 else [f"{w}{k}" if every and i % every == 0 else w for i, w in enumerate(part)]
+        text += words(r.randrange(1, 30), 9000 + k).split()
+        rows.append((k, " ".join(text * 2 if k % 10 == 0 else text)))
+    known = {}
+    for k, t in rows:
+        x = chaining.word_hashes(t.encode()).astype(np.uint32) | np.uint32(1)
+        h = chaining.seeds(x)[: max(len(x) - chaining.K + 1, 0)]
+        known[k] = x, (np.sort(h), np.argsort(h, kind="stable"))
+    links, group = Counter(), list(range(len(rows)))
+    for i in known:
+        for j in range(i):
+            (x, _), (y, of) = known[i], known[j]
+            a, b = chaining.matches(x, of)
+            if any(len(c) > 1 and chaining.align(x, y, a[c], b[c]) for c in chaining.best_chains(a, b)):
+                links.update((i, j))
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    got = linked(spark, rows)
+    assert {i: got[i].n_links for i in got} == {i: links[i] for i in got} and sum(links.values()) > 400
+    assert {i: got[i].class_id for i in got} == dict(enumerate(group))
+
+
+def test_passage_of_many_texts(spark):
+    """More texts with a passage than are paired with each other: every link is counted."""
+    n = chaining.MANY + 40
+    rows = [(k, f"{words(9, 100 + k)} {words(60, 1)} {words(9, 9000 + k)}") for k in range(n)] + [(n, words(80, 3))]
+    got = linked(spark, rows)
+    assert {(got[k].n_links, got[k].class_id) for k in range(n)} == {(n - 1, 0)} and got[n].n_links == 0
+
+
+def test_second_place_of_seeds():
+    """A passage is found where the other text has its seeds before, in another order."""
+    x = np.arange(1, 61, dtype=np.uint32) * 2 + 1
+    y = np.concatenate([x[i : i + 6] for i in range(54, -1, -6)] + [x])
+    h = chaining.seeds(y)[: len(y) - chaining.K + 1]
+    a, b = chaining.matches(x, (np.sort(h), np.argsort(h, kind="stable")))
+    assert any(chaining.align(x, y, a[c], b[c]) == (0, 60, 60, 120, 60, 60) for c in chaining.best_chains(a, b))
+
+
 # 2
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugewise.llm.common import fresh, id_and_text, passes, schema_of, text_bytes, written
+from gaugewise.llm.common import fresh, id_and_text, passes, released, schema_of, text_bytes, written
 from gaugewise.llm.components import connected_components
 from gaugewise.llm.suffix_dedup import _mixed
 
@@ -271,7 +271,7 @@ def _turned(fp: str, budget: Budget, first: int = 0, *more: str) -> Column:
 
 def _linked(turned: DataFrame, budget: Budget) -> DataFrame:
     key = F.shiftrightunsigned("rfp", 64 - budget.key)
-    return turned.withColumn("_key", key).repartition("rot", "_key").sortWithinPartitions("rot", "_key").drop("_key").mapInArrow(_joins(budget), "u long, v long")
+    return turned.withColumn("_key", key).repartition("rot", "_key").sortWithinPartitions("rot", "_key").drop("_key").mapInArrow(released(_joins(budget)), "u long, v long")
 
 
 def near_links(fps: DataFrame) -> DataFrame:
@@ -322,7 +322,7 @@ def alike(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
                 fp = np.array([several(x, width) for x in text_bytes(part.column("text"))], np.uint64).reshape(-1, SEVERAL).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), part.column("mark"), *map(pa.array, fp.T.copy())], ["doc_id", "row", "mark", *names])
 
-    fps = written(base.mapInArrow(run, schema_of(base, ("row", "long"), ("mark", "binary"), *[(x, "long") for x in names])), "alike-fp")
+    fps = written(base.mapInArrow(released(run), schema_of(base, ("row", "long"), ("mark", "binary"), *[(x, "long") for x in names])), "alike-fp")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "mark")
     classes = written(fps.groupBy(*names).agg(F.min(first).alias("first")).withColumn("id", F.col("first.row")), "alike-classes")
     edges, tries = [], []
@@ -357,7 +357,7 @@ def _confirmed(base: DataFrame, marks: DataFrame, pairs: DataFrame, width: int,
                 h = [np.unique(_shingle_hashes(x, width)).view(np.int64) for x in text_bytes(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("mark"), pa.array(h, pa.list_(pa.int64()))], ["mark", "h"])
 
-    sets = base.select("mark", "text").join(marks.select("mark"), "mark", "left_semi").mapInArrow(run, "mark binary, h array<long>").dropDuplicates(["mark"])
+    sets = base.select("mark", "text").join(marks.select("mark"), "mark", "left_semi").mapInArrow(released(run), "mark binary, h array<long>").dropDuplicates(["mark"])
     sets = written(marks.join(sets, "mark").select("row", "h"), "alike-sets")
     both = pairs.join(sets.select(F.col("row").alias("u"), F.col("h").alias("a")), "u").join(sets.select(F.col("row").alias("v"), F.col("h").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewise.llm.common import crc_mod, id_and_text, passes, schema_of
+from gaugewise.llm.common import crc_mod, id_and_text, passes, released, schema_of
 
 #: Fixed values of the channel: letters that a sign can stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
@@ -28,7 +28,7 @@ STEPS, SHRINKAGE = 400, 0.02
 #: Words that a worker remembers how to restore.
 REMEMBERED = 400_000
 #: Distinct words that a worker counts before it passes the counts on.
-COUNTED = 400_000
+COUNTED = 100_000
 
 _S = "a-z0-9@$!|+"
 #: Three letters or more, or signs for them, set apart by separators.
@@ -60,7 +60,7 @@ def char_counts(df: DataFrame) -> np.ndarray:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["at", "n"])
 
-    got = df.select("text").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    got = df.select("text").mapInArrow(released(run), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(SYMBOLS**ORDER)
     n[got.column("at").to_numpy()] = got.column("n").to_numpy()
     return n.reshape((SYMBOLS,) * ORDER)
@@ -78,6 +78,10 @@ class Restorer:
         self.memory: dict[str, str] = {}
         self.clean: set[str] = set()
 
+    def forget(self) -> None:
+        self.clean.clear()
+        self.memory.clear()
+
     def word(self, noisy: str) -> str:
         """The likeliest word (or words) behind lower-case characters; they themselves if nothing but signs is in them."""
         runs = [(m.group()[0], len(m.group())) for m in re.finditer(r"(.)\1*", noisy, re.DOTALL)]
@@ -139,8 +143,7 @@ class Restorer:
         for token in unknown - self.memory.keys():
             fixed = self.restored(token)
             if len(self.clean) + len(self.memory) >= REMEMBERED:
-                self.clean.clear()
-                self.memory.clear()
+                self.forget()
             if fixed == token:
                 self.clean.add(token)
             else:
@@ -198,7 +201,7 @@ def _word_counts(labelled: DataFrame, restorer: Restorer) -> DataFrame:
                     yield out()
         yield out()
 
-    return labelled.mapInArrow(run, "word binary, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    return labelled.mapInArrow(released(run, restorer.forget), "word binary, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
 class Model:
@@ -271,7 +274,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, l
             found = [sorted(place[w] for w in restorer.words(t) & place.keys()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("toxic")], ["words", "toxic"])
 
-    rows = labelled.mapInArrow(telling, "words array<int>, toxic int").orderBy("toxic", "words").toArrow()  # LABELLED rows at most
+    rows = labelled.mapInArrow(released(telling, restorer.forget), "words array<int>, toxic int").orderBy("toxic", "words").toArrow()  # LABELLED rows at most
     toxic = rows.column("toxic").to_numpy().astype(float)
     if not len(toxic):
         return restorer, Model({}, -math.inf, False)
@@ -308,7 +311,7 @@ def score(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                 columns = [part.column("doc_id"), part.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array([restorer.text(t) for t in texts], pa.string())] if with_text else [])], schema.names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(released(run, restorer.forget), schema)
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", holdout: int = 5) -> DataFrame:
@@ -326,4 +329,4 @@ def without_toxic(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id
             texts = batch.column(at).cast(pa.string()).to_pylist()
             yield batch.filter(pa.array([model.score(model.total(restorer.words(t or ""))) < 0.5 for t in texts], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(released(run, restorer.forget), documents.schema)

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugewise.llm import byte_bpe, chaining, components, exact_dedup, language_id, lm_scoring, mixing, progressive_jpeg, simhash, suffix_dedup, toxicity
+from gaugewise.llm.common import released
 
 from .fixtures import A, B, empty, odd, words
 
@@ -182,6 +183,16 @@ def test_near_copies_against_exact_similarity(spark):
     assert kept.count() == len(set(got.values())) and simhash.alike(empty(spark)).count() == 0
 
 
+def test_workers_give_memory_back():
+    """What a task remembers is bounded and gone when it ends; its rows are as they were."""
+    restorer = toxicity.Restorer(np.ones((toxicity.SYMBOLS,) * toxicity.ORDER))
+    of = released(lambda batches: (b for b in batches if restorer.words("plain w0rds")), restorer.forget)
+    batches = of(iter([1, 2]))
+    assert next(batches) == 1 and restorer.clean
+    assert list(batches) == [2] and not restorer.clean and not restorer.memory
+    assert toxicity.COUNTED <= 100_000
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)] + [(5, 5)]

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -421,6 +422,34 @@ def test_all_links_against_every_pair(spark):
     assert {i: got[i].class_id for i in got} == dict(enumerate(group))
 
 
+def block_of(texts):
+    raw = [(chaining.word_hashes(t.encode()).astype(np.uint32) | np.uint32(1)).tobytes() for t in texts]
+    return chaining._Block(pa.table({"row": pa.array(range(len(raw)), pa.int64()), "doc_id": pa.array(range(len(raw)), pa.int64()), "block": pa.array([0] * len(raw), pa.int64()), "words": pa.array(raw, pa.binary())}))
+
+
+def met(texts):
+    """Points of pairs of texts in one block, as they are sent."""
+    kinds = [np.uint32, np.uint32, np.uint16, np.uint8, np.uint32, np.uint32, np.uint32, np.uint32, np.uint64]
+    (_, _, *columns), = chaining._Seeds(block_of(texts), 1).records()
+    columns = [np.frombuffer(x, kind) for x, kind in zip(columns, kinds)]
+    columns[1] = columns[1].astype(np.int64)
+    return chaining._paired(chaining._meeting(*columns)[0])
+
+
+def test_one_short_run_makes_no_pair():
+    """A line of very many texts and one equal word before or after it, or two lines far apart, are no passage; a fuzzy one is, and its words are sent alone."""
+    line, far = words(14, 1), [words(7, 2), words(7, 3)]
+    texts = [f"{words(60, 100 + k)} only{k % 5} {line} then{k % 7} {words(60, 1000 + k)}" for k in range(chaining.MANY + 40)]
+    texts += [f"{far[0]} {words(300, 2000 + k)} {far[1]} {words(200, 2100 + k)}" for k in range(20)]
+    base, n = words(60, 9).split(), len(texts)
+    texts += [f"{words(400, 3000)} {' '.join(base)} {words(500, 3001)}", f"{words(90, 3002)} {' '.join('zz' + w if i % 9 == 8 else w for i, w in enumerate(base))}"]
+    points, sure = met(texts)
+    assert set(zip(points[:, 0].tolist(), points[:, 1].tolist())) == {(n + 1, n)} and not sure.any()
+    own = chaining._around(960, points[:, 4], np.empty(0, np.int64))
+    assert own[400 - chaining.BEYOND : 460 + chaining.BEYOND].all() and own.sum() < 300
+    assert not own[:300].any() and chaining._around(960, points[:, 4], np.array([300, 330, 370, 700]))[270:400].all()
+
+
 def test_passage_of_many_texts(spark):
     """More texts with a passage than are paired with each other: every link is counted."""
     n = chaining.MANY + 40

@@ -58,7 +58,11 @@ IMAGE, MASK, SEGMENT = range(3)
 
 
 def _dealt(images: DataFrame, masks: DataFrame | None = None, segments: DataFrame | None = None, category: str | None = None) -> DataFrame:
-    """Images, masks and segments as tagged rows: _image, _category, _tag, h, w, _data and, if there are segments, all their columns in _row."""
+    """Images, masks and segments as tagged rows: _image, _category, _tag, h, w, _data and, if there are segments, all their columns in _row.
+
+    They are dealt by the image and its hash. By the image alone Spark leaves the exchange out where all parts are grouped
+    by it already, and then joins small partitions of each part on its own, so that an image and its masks part.
+    """
     kind = segments.schema[category].dataType if segments is not None and category else masks.schema["category_id"].dataType if masks is not None else T.IntegerType()
     none = lambda t: F.lit(None).cast(t)
     size = [F.col(c).cast("int").alias(c) for c in ("h", "w")]
@@ -69,7 +73,7 @@ def _dealt(images: DataFrame, masks: DataFrame | None = None, segments: DataFram
     if segments is not None:
         own = F.col(category) if category else none(kind)
         parts.append(segments.select(F.col("image_id").alias("_image"), own.alias("_category"), F.lit(SEGMENT).alias("_tag"), *[none("int").alias(c) for c in ("h", "w")], none("binary").alias("_data"), F.struct(*segments.columns).alias("_row")))
-    return reduce(DataFrame.unionByName, parts).repartition("_image").sortWithinPartitions("_image", "_category", "_tag")
+    return reduce(DataFrame.unionByName, parts).repartition("_image", F.xxhash64("_image")).sortWithinPartitions("_image", "_category", "_tag")
 
 
 class Group(NamedTuple):

@@ -197,3 +197,24 @@ def test_one_exchange_of_pixels(spark):
         assert plan.count("hashpartitioning(_image") == 1 and "Join" not in plan
     with pytest.raises(Exception, match="E-ARG-07"):
         image.mask_features(masks.withColumns({"h": F.lit(50), "w": F.lit(40)}), images).collect()
+
+
+@pytest.fixture
+def small_partitions(spark):
+    """Only partitions under 20 kB are joined to others, as on large tables only small ones are."""
+    held = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20kb", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1kb"}
+    old = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_masks_meet_images_grouped_alike(spark, small_partitions):
+    """Images and masks that are both grouped by image, one side much smaller than the other, stay together."""
+    r = np.random.default_rng(6)
+    first = lambda df: df.groupBy("image_id").agg(*[F.first(c).alias(c) for c in df.columns[1:]])
+    images = spark.createDataFrame([(k, 40, 50, r.integers(0, 255, 2000).astype(np.uint8).tobytes()) for k in range(200)], "image_id int, h int, w int, pixels binary")
+    masks = spark.createDataFrame([(k, 0, 40, 50, b"\1" * 2000) for k in range(200)], "image_id int, category_id int, h int, w int, bits binary")
+    assert sorted(x.image_id for x in image.mask_features(first(masks), first(images)).where("mask_area_frac = 1").collect()) == list(range(200))

@@ -218,3 +218,14 @@ def test_masks_meet_images_grouped_alike(spark, small_partitions):
     images = spark.createDataFrame([(k, 40, 50, r.integers(0, 255, 2000).astype(np.uint8).tobytes()) for k in range(200)], "image_id int, h int, w int, pixels binary")
     masks = spark.createDataFrame([(k, 0, 40, 50, b"\1" * 2000) for k in range(200)], "image_id int, category_id int, h int, w int, bits binary")
     assert sorted(x.image_id for x in image.mask_features(first(masks), first(images)).where("mask_area_frac = 1").collect()) == list(range(200))
+
+
+def test_segments_meet_masks_grouped_alike(spark, small_partitions):
+    """Segments made from the images' ids stay with the much larger images and their masks."""
+    r = np.random.default_rng(7)
+    first = lambda df: df.groupBy("image_id").agg(*[F.first(c).alias(c) for c in df.columns[1:]])
+    images = first(spark.createDataFrame([(k, 40, 50, r.integers(0, 255, 2000).astype(np.uint8).tobytes()) for k in range(200)], "image_id int, h int, w int, pixels binary"))
+    masks = images.select("image_id", F.lit(0).alias("category_id"), "h", "w", F.col("pixels").alias("bits"))
+    at = {"cd_index": 0, "sx": 5.0, "sy": 5.0, "ex": 30.0, "ey": 5.0, "px_nm": 0.5}
+    segs = images.select("image_id", F.lit(0).alias("category_id"), *[F.lit(v).alias(k) for k, v in at.items()])
+    assert sorted(x.image_id for x in image.mask_evidence(segs, masks, images).collect()) == list(range(200))

@@ -130,11 +130,12 @@ def _kind(name: str) -> T.DataType:
     return T.BooleanType() if name.startswith("edge_valid") or name == "minside" else T.DoubleType()
 
 
-def segment_evidence(segments: DataFrame, images: DataFrame, masks: DataFrame | None = None, edges: bool = True, params: Params = Params()) -> DataFrame:
+def segment_evidence(segments: DataFrame, images: DataFrame, masks: DataFrame | None = None, edges: bool = True, params: Params = Params(), beyond: bool = False) -> DataFrame:
     """segments with the columns of kernels.EVIDENCE (edges) and, if there are masks, of kernels.MASK_L3: a row a segment, in one exchange.
 
     segments: image_id, sx, sy, ex, ey, px_nm, with edges ribbon_tx and ribbon_ty, with masks category_id, and any
     others. Segments without an image have nulls and edge_valid false; without a mask all columns of the mask are null.
+    beyond: see kernels.mask_evidence().
     """
     masked = masks is not None
     names = kernels.EVIDENCE * edges + kernels.MASK_L3 * masked
@@ -152,7 +153,7 @@ def segment_evidence(segments: DataFrame, images: DataFrame, masks: DataFrame |
                 nothing = {c: np.zeros(n, bool) if c.startswith("edge_valid") else np.full(n, np.nan) for c in kernels.EVIDENCE}
                 more += _found(nothing if g.image is None else kernels.evidence(g.image, s, e, numbers("ribbon_tx", "ribbon_ty"), px, params), kernels.EVIDENCE)
             if masked:
-                more += [pa.nulls(n, pa.bool_() if c == "minside" else pa.float64()) for c in kernels.MASK_L3] if g.mask is None else _found(kernels.mask_evidence(g.mask, g.image, s, e, px, params), kernels.MASK_L3)
+                more += [pa.nulls(n, pa.bool_() if c == "minside" else pa.float64()) for c in kernels.MASK_L3] if g.mask is None else _found(kernels.mask_evidence(g.mask, g.image, s, e, px, params, beyond), kernels.MASK_L3)
             yield from pa.Table.from_arrays([*own.columns, *more], schema.names).to_batches()
 
     return _dealt(images, masks, segments, "category_id" if "category_id" in segments.columns else None).mapInArrow(run, schema)

@@ -12,13 +12,14 @@ from gaugewise.registry import FEATURES, Params
 KEYS = ("image_id", "category_id", "cd_index")
 
 
-def extract_l3(measurements: DataFrame, images: DataFrame | None = None, masks: DataFrame | None = None, px_nm: str = "px_nm", value_nm: str | None = None, params: Params = Params()) -> DataFrame:
+def extract_l3(measurements: DataFrame, images: DataFrame | None = None, masks: DataFrame | None = None, px_nm: str = "px_nm", value_nm: str | None = None, params: Params = Params(), alone: tuple[float, float] = (1.0, 0.0), beyond: bool = False) -> DataFrame:
     """KEYS, the features of a measurement in the order of the registry, and mid_x, mid_y, px_nm.
 
     measurements: KEYS, sx, sy, ex, ey and a column of nm a pixel, which must be finite and above 0 (E-ARG-06 when the
     row is computed); value_nm adds value_mismatch_nm. Images add the edge evidence, masks the distances from their
     boundaries. Without images evidence is null and edge_valid is false. Measurements carry their geometry along when
-    they meet their image and mask, so there is one exchange of pixels and no join.
+    they meet their image and mask, so there is one exchange of pixels and no join. alone: the direction of the edge (a
+    unit vector) for a sequence of one, which has none of its own. beyond: see kernels.mask_evidence().
     """
     px = F.col(px_nm).cast("double")
     bad = F.concat(F.lit("E-ARG-06: px_nm "), F.coalesce(px.cast("string"), F.lit("null")))
@@ -30,9 +31,10 @@ def extract_l3(measurements: DataFrame, images: DataFrame | None = None, masks:
     same = F.when(F.col("tx_s") * F.col("tx_e") + F.col("ty_s") * F.col("ty_e") < 0, -1.0).otherwise(1.0)
     x, y = F.col("tx_s") + same * F.col("tx_e"), F.col("ty_s") + same * F.col("ty_e")
     size = F.when(F.hypot(x, y) > 0, F.hypot(x, y)).otherwise(1.0)
-    out = out.withColumns({"ribbon_tx": x / size, "ribbon_ty": y / size}).drop("tx_s", "ty_s", "tx_e", "ty_e")
+    one = F.count("*").over(sequence.Sequence().whole) == 1
+    out = out.withColumns({n: F.when(one, c).otherwise(v / size) for n, c, v in (("ribbon_tx", alone[0], x), ("ribbon_ty", alone[1], y))}).drop("tx_s", "ty_s", "tx_e", "ty_e")
     if images is not None:
-        found = image.segment_evidence(out, images, masks, params=params)
+        found = image.segment_evidence(out, images, masks, params=params, beyond=beyond)
     else:
         found = out.withColumns({c: F.lit(False) if c.startswith("edge_valid") else F.lit(None).cast("double") for c in kernels.EVIDENCE})
     names = [f.name for f in FEATURES if f.level == "l3" and f.name in found.columns]

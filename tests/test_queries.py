@@ -42,3 +42,15 @@ def test_entry(spark):
 
 def test_every_twin_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_l3_of_low_slabs(spark, tmp_path):
+    """Slabs of 4 to 13 rows: one segment each, whose edges run down as those of others do, and which may lie below the slab."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("vec_id >= 1920").toPandas()
+    rows.to_parquet(tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = con.sql(own.ORACLE_SQL["q_l3"])
+    df = own.q_l3(spark, str(tmp_path))
+    assert len(want.fetchall()) == 10
+    assert canon([tuple(r) for r in df.collect()], df.columns) == canon(want.fetchall(), want.columns)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -364,6 +365,25 @@ def test_parts_first_seen_elsewhere(spark):
     assert all(any(p.columns >= 60 for p in got[k].passages) for k in range(4, 9))
 
 
+def test_texts_in_rounds(spark, monkeypatch):
+    """Texts of each block in a round of their own have the same links, and what the jobs exchange is gone when they end."""
+    base = words(60, 31)
+    rows = [(k, f"{words(40, 3100 + k)} {base if k % 3 else words(30, 32)} {words(40, 3200 + k)}") for k in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(4, "doc_id")
+    show = lambda df: sorted((r.doc_id, r.class_id, r.n_links, r.n_words) for r in df.collect())
+    want = show(chaining.linked_documents(df))
+    assert [x[2] for x in want] == [0 if k % 3 == 0 else 15 for k in range(24)]
+    names, written = [], chaining.written
+    monkeypatch.setattr(chaining, "written", lambda df, name: names.append(name) or written(df, name))
+    monkeypatch.setattr(chaining, "ROUND", 0)
+    exchanged = lambda: {f for _, _, files in os.walk(spark.conf.get("spark.local.dir")) for f in files if f.startswith("shuffle_")}
+    before = exchanged()
+    out = chaining.linked_documents(df)
+    assert exchanged() <= before
+    assert show(out) == want and names.count("chaining-passages") == 4
+    assert chaining._rounds([(2, 5), (1, 5), (3, 9), (4, 1)], 10) == [[1, 2], [3, 4]] and chaining._rounds([], 0) == [[]]
+
+
 def test_fuzzy_passages_at_the_rule(spark):
     """Sixty words with every sixth, seventh or eighth changed: 83 to 88 % are equal."""
     rows, n = [], 0
